@@ -109,18 +109,22 @@ def _verdict_exprs(name: str, keep: Column | None) -> list[Column]:
 
 
 def derive_types(df: DataFrame, columns: Sequence[str], group_by: Sequence[str] = (),
-                 keep: Column | None = None) -> dict:
+                 keep: Column | None = None, row_counts: dict | None = None) -> dict:
     """One aggregate job over the whole batch.
 
     ``keep`` restricts inference to some rows (the unfiltered ones, Q1).
     Returns ``{group_key_tuple: {column: ColumnVerdict}}``; without ``group_by``
-    the single key is ``()``.
+    the single key is ``()``.  When ``row_counts`` is given it receives the
+    number of rows per group from the same job.
     """
     exprs = [e for name in columns for e in _verdict_exprs(name, keep)]
+    exprs.append(F.count(F.lit(1)).alias("\u0001rows"))
     agg = df.groupBy(*group_by).agg(*exprs) if group_by else df.agg(*exprs)
     out: dict = {}
     for row in agg.collect():      # one row per target table: plan metadata only
         key = tuple(row[g] for g in group_by)
+        if row_counts is not None:
+            row_counts[key] = row["\u0001rows"]
         out[key] = {
             name: ColumnVerdict(
                 name=name,

@@ -1,3 +1,136 @@
-"""Registered end-to-end ingest runs (filled below)."""
-INGEST_QUERIES = {}
-INGEST_ORACLE_SQL = {}
+"""End-to-end ingest runs over landing files that Spark derives from the driver tables.
+
+Each run writes its landing files with Spark writers into a fresh folder under
+the shared checkpoint directory, runs the real ingest job into a fresh
+database whose tables live next to it, and returns the loaded rows.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeshore.plans.ingest import (Customer, ingest_flat_reports, ingest_report_documents,
+                                    ingest_workflow_results)
+from lakeshore.plans.queries import FIXED_TIMESTAMP, run_id, table
+from lakeshore.session import scratch_path
+
+ORDERS_PER_DOCUMENT = 500
+
+
+def _run_dirs(spark: SparkSession, name: str) -> tuple[str, str, str]:
+    rid = run_id()
+    base = scratch_path(spark, "ingest", f"{name}-{rid}")
+    return os.path.join(base, "landing"), os.path.join(base, "tables"), f"lake_{name}_{rid}"
+
+
+# ---- CSV results -------------------------------------------------------------------
+
+def csv_ingest(spark, sf_dir):
+    """Orders landed as CSV results of three workflows; the 'P' workflow is all filtered and dropped."""
+    landing, tables, db = _run_dirs(spark, "csv")
+    o = table(spark, sf_dir, "orders")
+    filtered = (F.when(F.col("o_orderstatus") == "P", "TRUE")
+                .when(F.col("o_orderpriority") == "5-LOW", "true").otherwise("false"))
+    (o.select(F.concat(F.lit("orders_"), F.lower("o_orderstatus")).alias("workflow"),
+              F.lit("adhoc").alias("schedule"), "o_orderkey", "o_custkey", "o_totalprice",
+              F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority",
+              filtered.alias("filtered"))
+     .write.partitionBy("workflow", "schedule").option("header", True).csv(landing))
+    result = ingest_workflow_results(spark, landing, db, Customer("acme", "c0ffee", ("orders_x",)),
+                                     location_root=tables)
+    frames = [spark.table(f"{db}.{name}").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "filtered",
+        F.lit(name).alias("table_name")) for name in sorted(result)]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+SQL_CSV_INGEST = """
+SELECT o_orderkey, o_custkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority,
+       o_orderpriority = '5-LOW' AS filtered, 'acme_orders_' || lower(o_orderstatus) || '_adhoc' AS table_name
+FROM orders WHERE o_orderstatus <> 'P'
+"""
+
+
+# ---- flat JSON array reports (gzip) ------------------------------------------------
+
+def _line_record(sales_mixed: bool = True):
+    sales = (F.when(F.col("l_linenumber") % 2 == 1, F.floor("l_extendedprice").cast("string"))
+             .otherwise(F.col("l_extendedprice").cast("string"))) if sales_mixed \
+        else F.col("l_extendedprice").cast("string")
+    return F.concat(F.lit('{"l_orderkey":'), F.col("l_orderkey").cast("string"),
+                    F.lit(',"l_linenumber":'), F.col("l_linenumber").cast("string"),
+                    F.lit(',"sales":'), sales, F.lit(',"flag":"'), F.col("l_returnflag"), F.lit('"}'))
+
+
+def report_ingest(spark, sf_dir):
+    """Lineitem landed as gzip'd JSON-array reports, one per block of orders; ``sales`` mixes int and double."""
+    landing, tables, db = _run_dirs(spark, "flat")
+    li = table(spark, sf_dir, "lineitem")
+    docs = (li.groupBy(F.floor(F.col("l_orderkey") / ORDERS_PER_DOCUMENT).alias("doc"))
+            .agg(F.concat(F.lit("["), F.array_join(F.collect_list(_line_record()), ","), F.lit("]")).alias("value")))
+    docs.write.partitionBy("doc").option("compression", "gzip").text(landing)
+    loaded = ingest_flat_reports(spark, landing, db, "lineitem_report", FIXED_TIMESTAMP, location_root=tables)
+    return loaded.select("l_orderkey", "l_linenumber", "sales", "flag",
+                         F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
+SQL_REPORT_INGEST = """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+       CASE WHEN l_linenumber % 2 = 1 THEN CAST(floor(l_extendedprice) AS DOUBLE) ELSE l_extendedprice END AS sales,
+       l_returnflag AS flag, TIMESTAMP '2024-02-01 00:00:00' AS timestamp
+FROM lineitem
+"""
+
+
+# ---- JSON report documents ---------------------------------------------------------
+
+def document_ingest(spark, sf_dir):
+    """Report documents with a specification and two arrays, split into one table per array."""
+    landing, tables, db = _run_dirs(spark, "doc")
+    li = table(spark, sf_dir, "lineitem")
+    rec = _line_record()
+    spec = F.concat(F.lit('{"reportType":"LINES","dataStartTime":"'),
+                    F.min("l_shipdate").cast("string"), F.lit('"}'))
+    docs = (li.groupBy(F.floor(F.col("l_orderkey") / ORDERS_PER_DOCUMENT).alias("doc"))
+            .agg(F.concat(F.lit('{"reportSpecification":'), spec,
+                          F.lit(',"dataByLine":['), F.array_join(F.collect_list(rec), ","),
+                          F.lit('],"dataByReturn":['),
+                          F.array_join(F.collect_list(F.when(F.col("l_returnflag") == "R", rec)), ","),
+                          F.lit("]}")).alias("value")))
+    docs.write.partitionBy("doc").option("compression", "gzip").text(landing + "_json")
+    written = ingest_report_documents(spark, landing + "_json", db, "lines_report", FIXED_TIMESTAMP,
+                                      location_root=tables)
+    frames = [df.select("l_orderkey", "l_linenumber", "sales", "flag", F.lit(name.lower()).alias("table_name"))
+              for name, df in sorted(written.items())]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+SQL_DOCUMENT_INGEST = """
+WITH l AS (
+  SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+         CASE WHEN l_linenumber % 2 = 1 THEN CAST(floor(l_extendedprice) AS DOUBLE) ELSE l_extendedprice END AS sales,
+         l_returnflag AS flag FROM lineitem)
+SELECT *, 'lines_report_databyline' AS table_name FROM l
+UNION ALL
+SELECT *, 'lines_report_databyreturn' AS table_name FROM l WHERE flag = 'R'
+"""
+
+INGEST_QUERIES = {
+    "csv_ingest": csv_ingest,
+    "report_ingest": report_ingest,
+    "document_ingest": document_ingest,
+}
+INGEST_ORACLE_SQL = {
+    "csv_ingest": SQL_CSV_INGEST,
+    "report_ingest": SQL_REPORT_INGEST,
+    "document_ingest": SQL_DOCUMENT_INGEST,
+}

@@ -65,8 +65,8 @@ def evolve_table(spark: SparkSession, name: str, df_schema: StructType) -> list[
 
 
 def create_or_update_table(spark: SparkSession, df: DataFrame, name: str, partition_by: Sequence[str] = (),
-                           properties: Mapping[str, str] | None = None, overwrite_partitions: bool = False
-                           ) -> None:
+                           properties: Mapping[str, str] | None = None, overwrite_partitions: bool = False,
+                           location: str | None = None) -> None:
     """K2: append to a catalog table, creating it or evolving its columns first.
 
     Columns are matched by name; columns the table has but the batch lacks are
@@ -77,7 +77,8 @@ def create_or_update_table(spark: SparkSession, df: DataFrame, name: str, partit
     if not spark.catalog.tableExists(name):
         data_cols = [f for f in df.schema.fields if f.name not in partition_by]
         part_cols = [StructType().add(c, StringType()).fields[0] for c in partition_by]
-        create_table_with_properties(spark, name, StructType(data_cols + part_cols), partition_by, properties)
+        create_table_with_properties(spark, name, StructType(data_cols + part_cols), partition_by, properties,
+                                     location)
     else:
         evolve_table(spark, name, df.schema)
     target = spark.table(name).schema

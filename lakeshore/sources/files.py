@@ -31,6 +31,7 @@ def read_workflow_csv(spark: SparkSession, paths: str | Sequence[str], schema: S
     (all strings, for streaming) no header inference pass is needed.
     """
     reader = (spark.read.option("header", True).option("escape", "\\").option("multiLine", False)
+              .option("recursiveFileLookup", True)
               .option("inferSchema", False).option("mode", "PERMISSIVE").option("enforceSchema", False))
     if schema is not None:
         reader = reader.schema(schema)
@@ -47,7 +48,8 @@ def read_record_array_json(spark: SparkSession, paths: str | Sequence[str], sche
     mixes as STRING (C7).  A multi-line file is read whole by one task, so
     parallelism comes from the number of files.
     """
-    reader = spark.read.option("multiLine", True).option("pathGlobFilter", "*.{json,gz}")
+    reader = (spark.read.option("multiLine", True).option("pathGlobFilter", "*.{json,gz}")
+              .option("recursiveFileLookup", True))
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.json(list(paths) if not isinstance(paths, str) else paths)
