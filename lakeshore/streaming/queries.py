@@ -1,3 +1,118 @@
-"""Registered streaming runs (filled below)."""
-STREAM_QUERIES = {}
-STREAM_ORACLE_SQL = {}
+"""Registered streaming runs: driver tables as file streams, run with ``availableNow``.
+
+Each result must equal the batch answer to the same question, so each one
+reuses the batch query's oracle SQL.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from lakeshore.plans import queries as Q
+from lakeshore.plans.ingest import Customer
+from lakeshore.plans.ingest_queries import SQL_CSV_INGEST
+from lakeshore.session import scratch_path
+from lakeshore.streaming.ingest import ingest_stream
+from lakeshore.streaming import state as S
+from lakeshore.streaming.state import (current_from_log, run_available_now, stream_latest_per_key,
+                                       write_batch_partition)
+
+
+def _dirs(spark: SparkSession, name: str) -> str:
+    return scratch_path(spark, "streams", f"{name}-{Q.run_id()}")
+
+
+def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1):
+    schema = Q.table(spark, sf_dir, "events").schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+
+
+def stream_daily_metrics(spark, sf_dir):
+    """A5 as a stream: windowed daily sums with a watermark (bounded state), update mode, and an
+    idempotent sink partitioned by (day, metric) so every partition holds the latest total."""
+    base = _dirs(spark, "daily")
+    out_path = os.path.join(base, "out")
+    # event time must be a zoned TIMESTAMP for watermarks; the session zone is UTC
+    ev = events_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    agg = (ev.withWatermark("ts", "2 days")
+           .groupBy(F.window("ts", "1 day"), F.col("event_type").alias("metric"))
+           .agg(F.sum(Q.money("value")).alias("total"), F.count(F.lit(1)).alias("datapoints")))
+
+    def handle(batch, batch_id):
+        (batch.select(F.col("window.start").cast("date").cast("string").alias("day"), "metric",
+                      F.col("total").cast("double").alias("total"), "datapoints")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("day", "metric").parquet(out_path))
+
+    run_available_now(agg, handle, os.path.join(base, "checkpoint"), output_mode="update")
+    res = (spark.read.option("basePath", out_path).option("recursiveFileLookup", False)
+           .schema("total double, datapoints bigint, day string, metric string").parquet(out_path))
+    return res.select(F.col("day").cast("date").alias("day"), "metric", "total", "datapoints")
+
+
+def stream_object_catalog(spark, sf_dir):
+    """W1/T4 as a stream: latest row per user kept in the state store, change log per batch."""
+    base = _dirs(spark, "catalog")
+    log = os.path.join(base, "log")
+    stream_latest_per_key(events_stream(spark, sf_dir), ["user_id"], ["ts", "event_id"], log,
+                          os.path.join(base, "checkpoint"), F.col("event_type") == "error")
+    return current_from_log(spark, log, ["user_id"], ["ts", "event_id"])
+
+
+def stream_metric_alerts(spark, sf_dir):
+    """T3 as a stream with counters, fired-ONCE keys and alerts as change logs."""
+    base = _dirs(spark, "alerts")
+    rules = spark.createDataFrame(Q.ALERT_RULES, "metric string, metric_type string, evaluation string, "
+                                                 "threshold bigint, notify string")
+    ev = events_stream(spark, sf_dir)
+    updates = ev.select(F.col("event_type").alias("code"), F.date_format("ts", "yyyy-MM-dd").alias("date"),
+                        F.floor("value").cast("bigint").alias("value"), F.col("event_id").alias("seq"), "ts")
+    alerts = S.stream_metric_alerts(spark, updates, rules, os.path.join(base, "state"),
+                                  os.path.join(base, "checkpoint"), ["ts", "seq"], F.date_trunc("hour", "ts"))
+    return alerts.drop("batch_id")
+
+
+def stream_csv_ingest(spark, sf_dir):
+    """The CSV landing zone drained by the ingest stream, two files per micro-batch."""
+    base = _dirs(spark, "csv")
+    landing, tables = os.path.join(base, "landing"), os.path.join(base, "tables")
+    db = f"lake_stream_{Q.run_id()}"
+    o = Q.table(spark, sf_dir, "orders")
+    filtered = (F.when(F.col("o_orderstatus") == "P", "TRUE")
+                .when(F.col("o_orderpriority") == "5-LOW", "true").otherwise("false"))
+    (o.select(F.concat(F.lit("orders_"), F.lower("o_orderstatus")).alias("workflow"),
+              F.lit("adhoc").alias("schedule"), "o_orderkey", "o_custkey", "o_totalprice",
+              F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority",
+              filtered.alias("filtered"))
+     .write.partitionBy("workflow", "schedule").option("header", True).csv(landing))
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
+    ingest_stream(spark, landing, db, Customer("acme", "c0ffee"), os.path.join(base, "checkpoint"),
+                  location_root=tables, max_files=2)
+    names = sorted(r.tableName for r in spark.sql(f"SHOW TABLES IN `{db}`").collect())
+    frames = [spark.table(f"`{db}`.`{n}`").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "filtered",
+        F.lit(n).alias("table_name")) for n in names]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+STREAM_QUERIES = {
+    "stream_daily_metrics": stream_daily_metrics,
+    "stream_object_catalog": stream_object_catalog,
+    "stream_metric_alerts": stream_metric_alerts,
+    "stream_csv_ingest": stream_csv_ingest,
+}
+STREAM_ORACLE_SQL = {
+    "stream_daily_metrics": Q.SQL_DAILY_METRICS,
+    "stream_object_catalog": Q.SQL_OBJECT_CATALOG,
+    "stream_metric_alerts": Q.SQL_METRIC_ALERTS,
+    "stream_csv_ingest": SQL_CSV_INGEST,
+}
+
+__all__ = ["STREAM_QUERIES", "STREAM_ORACLE_SQL", "run_available_now", "write_batch_partition"]
