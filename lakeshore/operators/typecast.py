@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DataType, DoubleType, LongType, StringType,
                                StructField, StructType, _parse_datatype_string)
 
+from lakeshore.operators.parallel import spread
+
 # Text that the CSV reader treats as missing.
 NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -51,6 +53,18 @@ NAME_OVERRIDES = (
 _RANK = {"boolean": 0, "bigint": 1, "double": 2, "string": 3}
 
 _INT_TEXT = r"^[+-]?\d+$"
+_NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+
+
+def _as_bigint(col: Column) -> Column:
+    """BIGINT for integer-looking text, else NULL (the shape test avoids per-value parse failures)."""
+    return F.when(col.rlike(_INT_TEXT), col.try_cast("bigint"))
+
+
+def _as_double(col: Column) -> Column:
+    """DOUBLE for numeric-looking text, else NULL; the shape test keeps non-numeric text away from
+    the number parser (whose per-value failures are costly)."""
+    return F.when(col.rlike(_NUMBER_TEXT), col.try_cast("double"))
 
 
 def _c(name: str) -> Column:
@@ -71,71 +85,81 @@ def null_tokens(df: DataFrame, columns: Iterable[str] | None = None) -> DataFram
 
 # ---- C1 -----------------------------------------------------------------------------
 
+# Value classes seen by C1, combined per column with bit_or.
+_BOOL, _INT, _WHOLE, _FRACTION, _TEXT = 1, 2, 4, 8, 16
+
+
 @dataclass(frozen=True)
 class ColumnVerdict:
-    """What the data says about one text column."""
+    """What the data says about one text column (C1): the set of value classes seen."""
     name: str
-    non_null: int
-    all_bool: bool
-    all_int: bool
-    all_numeric: bool
-    all_whole: bool
+    mask: int
+
+    @property
+    def non_null(self) -> bool:
+        return self.mask != 0
 
     @property
     def inferred(self) -> str:
-        if self.non_null == 0:
+        m = self.mask
+        if m == 0:
             return "bigint"          # an all-missing column is numeric and narrows to BIGINT
-        if self.all_bool:
+        if m == _BOOL:
             return "boolean"
-        if self.all_int or (self.all_numeric and self.all_whole):
-            return "bigint"
-        if self.all_numeric:
+        if m & _TEXT or m & _BOOL:
+            return "string"          # text, or booleans mixed with numbers
+        if m & _FRACTION:
             return "double"
-        return "string"
+        return "bigint"              # integers and whole-valued decimals narrow to BIGINT (C4)
 
 
-def _verdict_exprs(name: str, keep: Column | None) -> list[Column]:
-    col = _c(name)
-    if keep is not None:
-        col = F.when(keep, col)
-    as_double = col.try_cast("double")
-    return [
-        F.count(col).alias(f"{name}\u0001n"),
-        F.bool_and(col.isin(*(TRUE_TEXT + FALSE_TEXT))).alias(f"{name}\u0001b"),
-        F.bool_and(col.rlike(_INT_TEXT) & col.try_cast("bigint").isNotNull()).alias(f"{name}\u0001i"),
-        F.bool_and(as_double.isNotNull() & ~F.isnan(as_double)).alias(f"{name}\u0001d"),
-        F.bool_and(as_double == F.floor(as_double)).alias(f"{name}\u0001w"),
-    ]
+def value_class(col: Column, as_double: Column | None = None, as_bigint: Column | None = None) -> Column:
+    """C1 per value: NULL for missing, else one bit naming its class.
+
+    ``as_double`` / ``as_bigint`` may be given as precomputed columns so each
+    parse happens once per value.
+    """
+    as_double = _as_double(col) if as_double is None else as_double
+    as_bigint = _as_bigint(col) if as_bigint is None else as_bigint
+    return (F.when(col.isNull(), F.lit(None).cast("int"))
+            .when(col.isin(*(TRUE_TEXT + FALSE_TEXT)), F.lit(_BOOL))
+            .when(as_bigint.isNotNull(), F.lit(_INT))
+            .when(as_double.isNull() | F.isnan(as_double), F.lit(_TEXT))
+            .when((as_double == F.floor(as_double)) & (F.abs(as_double) < F.lit(9.2e18)), F.lit(_WHOLE))
+            .otherwise(F.lit(_FRACTION)))
 
 
 def derive_types(df: DataFrame, columns: Sequence[str], group_by: Sequence[str] = (),
                  keep: Column | None = None, row_counts: dict | None = None) -> dict:
-    """One aggregate job over the whole batch.
+    """One aggregate job over the whole batch, one ``bit_or`` per column.
 
     ``keep`` restricts inference to some rows (the unfiltered ones, Q1).
     Returns ``{group_key_tuple: {column: ColumnVerdict}}``; without ``group_by``
     the single key is ``()``.  When ``row_counts`` is given it receives the
     number of rows per group from the same job.
+
+    The number parses are projected once per value below the aggregate (they
+    are not cheap, so Catalyst keeps the projection instead of repeating them
+    inside every branch of the classification).
     """
-    exprs = [e for name in columns for e in _verdict_exprs(name, keep)]
-    exprs.append(F.count(F.lit(1)).alias("\u0001rows"))
-    agg = df.groupBy(*group_by).agg(*exprs) if group_by else df.agg(*exprs)
+    keep_col = F.coalesce(keep, F.lit(False)) if keep is not None else None
+    parsed = df.select(
+        *[F.col(f"`{g}`") for g in group_by],
+        *[(F.when(keep_col, _c(n)) if keep_col is not None else _c(n)).alias(f"v{i}") for i, n in enumerate(columns)])
+    parsed = parsed.select(
+        *[F.col(f"`{g}`") for g in group_by],
+        *[c for i in range(len(columns)) for c in (
+            F.col(f"v{i}"), _as_double(F.col(f"v{i}")).alias(f"d{i}"), _as_bigint(F.col(f"v{i}")).alias(f"b{i}"))])
+    exprs = [F.bit_or(value_class(F.col(f"v{i}"), F.col(f"d{i}"), F.col(f"b{i}"))).alias(f"c{i}")
+             for i in range(len(columns))]
+    exprs.append(F.count(F.lit(1)).alias("_rows"))
+    agg = parsed.groupBy(*group_by).agg(*exprs) if group_by else parsed.agg(*exprs)
     out: dict = {}
     for row in agg.collect():      # one row per target table: plan metadata only
         key = tuple(row[g] for g in group_by)
         if row_counts is not None:
-            row_counts[key] = row["\u0001rows"]
-        out[key] = {
-            name: ColumnVerdict(
-                name=name,
-                non_null=row[f"{name}\u0001n"] or 0,
-                all_bool=bool(row[f"{name}\u0001b"]),
-                all_int=bool(row[f"{name}\u0001i"]),
-                all_numeric=bool(row[f"{name}\u0001d"]),
-                all_whole=bool(row[f"{name}\u0001w"]),
-            )
-            for name in columns
-        }
+            row_counts[key] = row["_rows"]
+        out[key] = {name: ColumnVerdict(name, row[f"c{i}"] or 0) for i, name in enumerate(columns)}
     return out
 
 
@@ -165,8 +189,7 @@ def map_boolean_text(col: Column) -> Column:
 
 def text_to_bigint(col: Column) -> Column:
     """C4: integer text directly, whole-valued decimals through DOUBLE (``'1.0'`` -> 1)."""
-    direct = col.try_cast("bigint")
-    return F.coalesce(direct, col.try_cast("double").try_cast("bigint"))
+    return F.coalesce(_as_bigint(col), _as_double(col).try_cast("bigint"))
 
 
 def cast_text(col: Column, type_name: str) -> Column:
@@ -176,8 +199,10 @@ def cast_text(col: Column, type_name: str) -> Column:
         return map_boolean_text(col)
     if t in ("bigint", "long", "int", "integer", "smallint", "tinyint"):
         return text_to_bigint(col) if t in ("bigint", "long") else text_to_bigint(col).try_cast(t)
-    if t in ("double", "float") or t.startswith("decimal"):
-        return col.try_cast(t)
+    if t in ("double", "float"):
+        return _as_double(col).cast(t)
+    if t.startswith("decimal"):
+        return F.when(col.rlike(_NUMBER_TEXT), col.try_cast(t))
     if t == "string":
         return col
     return col.try_cast(t)
@@ -195,7 +220,7 @@ def type_text_columns(df: DataFrame, columns: Sequence[str] | None = None,
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)
                    and f.name != filtered_col]
-    cleaned = null_tokens(df, columns)
+    cleaned = null_tokens(spread(df), columns)
     keep = None
     if filtered_col and filtered_col in df.columns:
         keep = unfiltered(filtered_col)

@@ -92,7 +92,7 @@ def stream_csv_ingest(spark, sf_dir):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
     ingest_stream(spark, landing, db, Customer("acme", "c0ffee"), os.path.join(base, "checkpoint"),
                   location_root=tables, max_files=2)
-    names = sorted(r.tableName for r in spark.sql(f"SHOW TABLES IN `{db}`").collect())
+    names = sorted(r.tableName for r in spark.sql(f"SHOW TABLES IN `{db}`").collect() if not r.isTemporary)
     frames = [spark.table(f"`{db}`.`{n}`").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "filtered",
         F.lit(n).alias("table_name")) for n in names]
