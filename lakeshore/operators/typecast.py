@@ -244,12 +244,14 @@ def spark_type(type_text: str | DataType) -> DataType:
 
 
 def conform_to_schema(df: DataFrame, table_schema: StructType, source_types: dict[str, str] | None = None,
-                      strict: bool = False) -> DataFrame:
+                      strict: bool = False, keep_source: bool = False) -> DataFrame:
     """Cast shared columns to the table's types; unknown columns keep their own type.
 
     A value that does not survive the cast is never silently truncated: the
     row gets its column name in ``_bad_columns`` (quarantine, K6), or with
-    ``strict=True`` the job fails, as the reference does.  Boolean targets use
+    ``strict=True`` the job fails, as the reference does.  ``keep_source``
+    adds the untouched input row as ``_source`` so quarantined rows can be
+    replayed.  Boolean targets use
     the C3 map rather than "non-empty text is true" (Q15).
     """
     target = {f.name: f.dataType for f in table_schema.fields}
@@ -270,8 +272,9 @@ def conform_to_schema(df: DataFrame, table_schema: StructType, source_types: dic
             cast = src.try_cast(want.simpleString())
         cols.append(cast.alias(f.name))
         checks.append(F.when(src.isNotNull() & cast.isNull(), F.lit(f.name)))
+    extra = [F.struct(*[_c(f.name) for f in df.schema.fields]).alias("_source")] if keep_source else []
     out = df.select(*cols, F.filter(F.array(*checks), lambda x: x.isNotNull()).alias("_bad_columns")
-                    if checks else F.array().cast("array<string>").alias("_bad_columns"))
+                    if checks else F.array().cast("array<string>").alias("_bad_columns"), *extra)
     if strict:
         out = out.withColumn("_bad_columns", F.when(
             F.size("_bad_columns") > 0,

@@ -104,17 +104,18 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
             continue        # every file of this table was empty or fully filtered: nothing to load (F4/F6)
         types = typecast.plan_types(verdicts)
         typed = typecast.apply_types(kept, types)
-        if spark.catalog.tableExists(f"{database}.{table_name}"):
-            typed = typecast.conform_to_schema(typed, spark.table(f"{database}.{table_name}").schema,
-                                               strict=strict)
-            bad = typed.where(F.size("_bad_columns") > 0)
-            if quarantine_path is not None:
-                bad.write.mode("append").parquet(f"{quarantine_path}/{table_name}")
-            typed = typed.where(F.size("_bad_columns") == 0).drop("_bad_columns")
         # the file plan of this table has exactly len(paths) rows: a proven bound for the broadcast
         withparts = typed.join(F.broadcast(meta) if len(paths) <= 100_000 else meta,
                                F.col("file_path") == F.col("_path"))
         out = withparts.drop("_path", "file_path", "file_size", "file_modification_time", "_length")
+        if spark.catalog.tableExists(f"{database}.{table_name}"):
+            out = typecast.conform_to_schema(out, spark.table(f"{database}.{table_name}").schema,
+                                             strict=strict, keep_source=quarantine_path is not None)
+            if quarantine_path is not None:
+                (out.where(F.size("_bad_columns") > 0).select("_source.*", "_bad_columns")
+                 .write.mode("append").parquet(f"{quarantine_path}/{table_name}"))
+                out = out.drop("_source")
+            out = out.where(F.size("_bad_columns") == 0).drop("_bad_columns")
         out, obs = observe_job_totals(out, f"ingest_{table_name}", F.lit(0))
         create_or_update_table(spark, out, f"{database}.{table_name}", PARTITION_COLUMNS,
                                {"customer_hash": customer.customer_hash},

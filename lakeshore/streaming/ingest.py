@@ -63,10 +63,10 @@ def redrive(spark: SparkSession, quarantine_path: str, database: str, table: str
     drop = [c for c in q.columns if c.startswith("_")]
     rows = q.drop(*drop)
     target = spark.table(f"{database}.{table}").schema
-    conformed = typecast.conform_to_schema(rows, target).persist()
+    conformed = typecast.conform_to_schema(rows, target, keep_source=True).persist()
     try:
-        good = conformed.where(F.size("_bad_columns") == 0).drop("_bad_columns")
-        still_bad = conformed.where(F.size("_bad_columns") > 0)
+        good = conformed.where(F.size("_bad_columns") == 0).drop("_bad_columns", "_source")
+        still_bad = conformed.where(F.size("_bad_columns") > 0).select("_source.*", "_bad_columns")
         n = good.count()
         if n:
             create_or_update_table(spark, good, f"{database}.{table}")

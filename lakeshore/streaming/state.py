@@ -145,4 +145,7 @@ def stream_metric_alerts(spark: SparkSession, updates: DataFrame, rules: DataFra
     """T3 as a stream; returns the alert log."""
     stream = updates.withColumn("_b", bucket)
     run_available_now(stream, metric_alert_handler(spark, rules, state_dir, order, "_b"), checkpoint)
-    return spark.read.parquet(f"{state_dir}/alerts")
+    schema = (f"root string, metric string, type string, threshold bigint, evaluation string, notify string, "
+              f"value bigint, `{order[-1]}` bigint, batch_id bigint")
+    alerts = read_log(spark, f"{state_dir}/alerts", schema)
+    return alerts if alerts is not None else spark.createDataFrame([], schema)
