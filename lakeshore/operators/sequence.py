@@ -52,9 +52,11 @@ def keyed_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
     for name in lags:
         local = local.withColumn(f"_loc_{name}", F.lag(f"_l_{name}").over(inner))
 
-    # One row per (key, bucket): totals and the bucket's last value of each lag input.
+    # One row per (key, bucket): totals and the bucket's last value of each lag input.  Aggregated
+    # from the windowed rows, which are already clustered by (key, bucket): no second scan and
+    # no second shuffle of the input.
     order_struct = F.struct(*order_cols)
-    per_bucket = base.groupBy(*keys, _B).agg(
+    per_bucket = local.groupBy(*keys, _B).agg(
         *[F.sum(f"_v_{name}").alias(f"_tot_{name}") for name in sums],
         *[F.max_by(f"_l_{name}", order_struct).alias(f"_last_{name}") for name in lags],
         F.lit(1).alias("_seq_dummy"),

@@ -130,39 +130,56 @@ def value_class(col: Column, as_double: Column | None = None, as_bigint: Column
 
 
 def derive_types(df: DataFrame, columns: Sequence[str], group_by: Sequence[str] = (),
-                 keep: Column | None = None, row_counts: dict | None = None) -> dict:
+                 keep: Column | None = None, row_counts: dict | None = None,
+                 kept_counts: dict | None = None) -> dict:
     """One aggregate job over the whole batch, one ``bit_or`` per column.
 
     ``keep`` restricts inference to some rows (the unfiltered ones, Q1).
     Returns ``{group_key_tuple: {column: ColumnVerdict}}``; without ``group_by``
-    the single key is ``()``.  When ``row_counts`` is given it receives the
-    number of rows per group from the same job.
+    the single key is ``()``.  When ``row_counts`` / ``kept_counts`` are given
+    they receive the number of rows / kept rows per group from the same job.
 
     The number parses are projected once per value below the aggregate (they
     are not cheap, so Catalyst keeps the projection instead of repeating them
     inside every branch of the classification).
     """
-    keep_col = F.coalesce(keep, F.lit(False)) if keep is not None else None
+    keep_col = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)
     parsed = df.select(
-        *[F.col(f"`{g}`") for g in group_by],
-        *[(F.when(keep_col, _c(n)) if keep_col is not None else _c(n)).alias(f"v{i}") for i, n in enumerate(columns)])
+        *[F.col(f"`{g}`") for g in group_by], keep_col.alias("_keep"),
+        *[F.when(keep_col, _c(n)).alias(f"v{i}") for i, n in enumerate(columns)])
     parsed = parsed.select(
-        *[F.col(f"`{g}`") for g in group_by],
+        *[F.col(f"`{g}`") for g in group_by], "_keep",
         *[c for i in range(len(columns)) for c in (
             F.col(f"v{i}"), _as_double(F.col(f"v{i}")).alias(f"d{i}"), _as_bigint(F.col(f"v{i}")).alias(f"b{i}"))])
     exprs = [F.bit_or(value_class(F.col(f"v{i}"), F.col(f"d{i}"), F.col(f"b{i}"))).alias(f"c{i}")
              for i in range(len(columns))]
     exprs.append(F.count(F.lit(1)).alias("_rows"))
+    exprs.append(F.count_if(F.col("_keep")).alias("_kept"))
     agg = parsed.groupBy(*group_by).agg(*exprs) if group_by else parsed.agg(*exprs)
     out: dict = {}
     for row in agg.collect():      # one row per target table: plan metadata only
         key = tuple(row[g] for g in group_by)
         if row_counts is not None:
             row_counts[key] = row["_rows"]
+        if kept_counts is not None:
+            kept_counts[key] = row["_kept"]
         out[key] = {name: ColumnVerdict(name, row[f"c{i}"] or 0) for i, name in enumerate(columns)}
     return out
 
 
+def merge_verdicts(parts: Sequence[dict[str, ColumnVerdict]]) -> dict[str, ColumnVerdict]:
+    """Combine per-file verdicts of one table (union of the value classes)."""
+    names = list(parts[0]) if parts else []
+    return {n: ColumnVerdict(n, _or_all(p[n].mask for p in parts)) for n in names}
+
+
+def _or_all(masks) -> int:
+    out = 0
+    for m in masks:
+        out |= m
+    return out
+
+
 # ---- C2 -----------------------------------------------------------------------------
 
 def name_override(name: str) -> str | None:

@@ -38,7 +38,7 @@ def csv_ingest(spark, sf_dir):
               F.lit("adhoc").alias("schedule"), "o_orderkey", "o_custkey", "o_totalprice",
               F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority",
               filtered.alias("filtered"))
-     .write.partitionBy("workflow", "schedule").option("header", True).csv(landing))
+     .repartition(8).write.partitionBy("workflow", "schedule").option("header", True).csv(landing))
     result = ingest_workflow_results(spark, landing, db, Customer("acme", "c0ffee", ("orders_x",)),
                                      location_root=tables)
     frames = [spark.table(f"{db}.{name}").select(

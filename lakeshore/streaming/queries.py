@@ -77,7 +77,7 @@ def stream_metric_alerts(spark, sf_dir):
 
 
 def stream_csv_ingest(spark, sf_dir):
-    """The CSV landing zone drained by the ingest stream, two files per micro-batch."""
+    """The CSV landing zone drained by the ingest stream, six files per micro-batch."""
     base = _dirs(spark, "csv")
     landing, tables = os.path.join(base, "landing"), os.path.join(base, "tables")
     db = f"lake_stream_{Q.run_id()}"
@@ -88,10 +88,10 @@ def stream_csv_ingest(spark, sf_dir):
               F.lit("adhoc").alias("schedule"), "o_orderkey", "o_custkey", "o_totalprice",
               F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority",
               filtered.alias("filtered"))
-     .write.partitionBy("workflow", "schedule").option("header", True).csv(landing))
+     .repartition(8).write.partitionBy("workflow", "schedule").option("header", True).csv(landing))
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
     ingest_stream(spark, landing, db, Customer("acme", "c0ffee"), os.path.join(base, "checkpoint"),
-                  location_root=tables, max_files=2)
+                  location_root=tables, max_files=6)
     names = sorted(r.tableName for r in spark.sql(f"SHOW TABLES IN `{db}`").collect() if not r.isTemporary)
     frames = [spark.table(f"`{db}`.`{n}`").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "filtered",
