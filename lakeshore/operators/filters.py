@@ -63,9 +63,16 @@ def recent(df: DataFrame, ts_col: str, now: dt.datetime, days: int = 1) -> DataF
     return df.where(F.col(ts_col) >= F.lit(since).cast(df.schema[ts_col].dataType))
 
 
-def index_query(df: DataFrame, key: Column, attribute: Column, max_items: int | None = None) -> DataFrame:
-    """F8/O2: key and attribute equality, at most ``max_items`` rows (always applied, Q18)."""
+def index_query(df: DataFrame, key: Column, attribute: Column, max_items: int | None = None,
+                order: Sequence[Column] = ()) -> DataFrame:
+    """F8/O2: key and attribute equality, at most ``max_items`` rows (always applied, Q18).
+
+    With ``order`` the first rows in that order are returned (Catalyst plans a
+    top-K: each task keeps ``max_items`` rows, one small final merge).
+    """
     out = df.where(key & attribute)
+    if order:
+        out = out.orderBy(*order)
     return out.limit(max_items) if max_items is not None else out
 
 

@@ -140,3 +140,20 @@ def test_schema_validation(spark):
     assert schemas_match(exp, act)
     rows = validate_schema(spark, exp, StructType([StructField("a", StringType())])).collect()
     assert [(r.column, r.ok) for r in rows] == [("a", False), ("b", False)]
+
+
+def test_transform_registry_and_record_function(spark):
+    import pandas as pd
+    from lakeshore.plans.registry import TransformRegistry, record_function, with_record_column
+    reg = TransformRegistry()
+    reg.register("memberships", light=reports.keep_scalar_fields,
+                 heavy=lambda df: df.withColumn("n", F.lit(1)))
+    df = spark.createDataFrame([("p1", [1])], "person_id string, tags array<int>")
+    light = reg.apply(df, "memberships", "light")
+    assert light.columns == ["person_id"]
+    assert reg.apply(light, "memberships", "heavy").columns == ["person_id", "n"]
+    assert reg.apply(df, "unknown", "heavy") is df
+    with pytest.raises(KeyError):
+        reg.apply(df, "unknown", "heavy", required=True)
+    upper = record_function(lambda s: s.str.upper(), "string")
+    assert with_record_column(light, "u", upper, "person_id").first().u == "P1"
