@@ -62,12 +62,15 @@ def rollup_metrics(updates: DataFrame, code_col: str = "code", date_col: str = "
     the run that produced it and a total ``order_col`` for "last".
     """
     keys = explode_metric_keys(updates, code_col, date_col)
+    # fixed-width aggregation buffers only (the date as DATE, not text): a hash aggregate with
+    # partial aggregation before the shuffle, no sort
     return keys.groupBy("root", "metric", "type").agg(
         F.sum("value").alias("value"),
         F.count(F.lit(1)).alias("version"),
-        F.max(date_col).alias("last_updated_date"),
+        F.max(F.to_date(date_col)).alias("_last_date"),
         F.max_by(F.col(run_col), F.col(order_col)).alias("last_pipeline_execution_id"),
-    )
+    ).select("root", "metric", "type", "value", "version",
+             F.date_format("_last_date", "yyyy-MM-dd").alias("last_updated_date"), "last_pipeline_execution_id")
 
 
 def metric_alerts(updates: DataFrame, rules: DataFrame, bucket: Column, code_col: str = "code",

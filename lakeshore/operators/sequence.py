@@ -9,7 +9,8 @@ running total of earlier buckets and the last value of the previous bucket,
 comes from a per-(key, bucket) aggregate (partial aggregation before the
 shuffle, one row per bucket) windowed per key: that table is rows/bucket-size
 smaller than the input.  The result is joined back on (key, bucket), the same
-distribution the bucket window already needs, so the fact side is shuffled once.
+distribution the bucket window already has, so the rows are shuffled once; the
+per-bucket side is partially aggregated before its own (small) shuffle.
 
 The bucket expression must be monotone in the ordering (``date_trunc`` of the
 leading order column is).
@@ -52,11 +53,12 @@ def keyed_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
     for name in lags:
         local = local.withColumn(f"_loc_{name}", F.lag(f"_l_{name}").over(inner))
 
-    # One row per (key, bucket): totals and the bucket's last value of each lag input.  Aggregated
-    # from the windowed rows, which are already clustered by (key, bucket): no second scan and
-    # no second shuffle of the input.
+    # One row per (key, bucket): totals and the bucket's last value of each lag input.  This
+    # branch re-reads only the key, bucket, order and value columns and aggregates them before
+    # its shuffle, so it ships one row per (key, bucket) and input partition: the rows
+    # themselves are shuffled once, by the bucket window above.
     order_struct = F.struct(*order_cols)
-    per_bucket = local.groupBy(*keys, _B).agg(
+    per_bucket = base.groupBy(*keys, _B).agg(
         *[F.sum(f"_v_{name}").alias(f"_tot_{name}") for name in sums],
         *[F.max_by(f"_l_{name}", order_struct).alias(f"_last_{name}") for name in lags],
         F.lit(1).alias("_seq_dummy"),
