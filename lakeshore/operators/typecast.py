@@ -18,8 +18,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BooleanType, DataType, DoubleType, LongType, StringType,
-                               StructField, StructType, _parse_datatype_string)
+from pyspark.sql.types import (DataType, DoubleType, LongType, StringType, StructField, StructType,
+                               _parse_datatype_string)
 
 from lakeshore.operators.parallel import spread
 

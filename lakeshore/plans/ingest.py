@@ -14,7 +14,7 @@ bounded metadata, like Spark's own file index.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,10 +66,6 @@ def _escape(text: str) -> str:
     return "".join("\\" + c if c in r".^$*+?{}[]\|()" else c for c in text)
 
 
-def _uri(path: str) -> str:
-    return path if ":" in path.split("/")[0] else "file:" + path
-
-
 def ingest_workflow_results(spark: SparkSession, root: str, database: str, customer: Customer,
                             files: DataFrame | None = None, strict: bool = False,
                             quarantine_path: str | None = None, location_root: str | None = None
@@ -178,7 +174,6 @@ def ingest_report_documents(spark: SparkSession, paths: str | Sequence[str], dat
         docs.unpersist()
 
 
-def apply_transform(df: DataFrame, registry: Mapping[str, object], dataset: str) -> DataFrame:
-    """Run the dataset's registered DataFrame -> DataFrame transform (identity when none)."""
-    fn = registry.get(dataset)
-    return df.transform(fn) if fn else df
+def apply_transform(df: DataFrame, registry, dataset: str, stage: str = "heavy") -> DataFrame:
+    """Run the dataset's registered transform for a stage (see ``plans.registry``)."""
+    return registry.apply(df, dataset, stage)
