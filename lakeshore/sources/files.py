@@ -8,11 +8,12 @@ listing loop on the driver.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 FILE_COLS = ("file_path", "file_size", "file_modification_time")
 
@@ -39,23 +40,138 @@ def read_workflow_csv(spark: SparkSession, paths: str | Sequence[str], schema: S
     return _file_attrs(df) if with_attributes else df
 
 
+def _report_reader(spark: SparkSession):
+    return (spark.read.option("multiLine", True).option("pathGlobFilter", "*.{json,gz}")
+            .option("recursiveFileLookup", True))
+
+
 def read_record_array_json(spark: SparkSession, paths: str | Sequence[str], schema: StructType | None = None,
                            with_attributes: bool = True) -> DataFrame:
     """S2 (+S4): each file is one JSON array of records -> one row per record.
 
     ``.json.gz`` files are decompressed by the codec chosen from the extension.
-    Schema inference settles mixed numeric fields as DOUBLE and numeric/text
-    mixes as STRING (C7).  A multi-line file is read whole by one task, so
-    parallelism comes from the number of files.
+    Without a ``schema`` the batch's schema is inferred by ``infer_json_schema``
+    (distributed; mixed numeric fields DOUBLE, numeric/text mixes STRING: C7/C8),
+    then the files are read with it.  A multi-line file is read whole by one
+    task, so parallelism comes from the number of files.
     """
-    reader = (spark.read.option("multiLine", True).option("pathGlobFilter", "*.{json,gz}")
-              .option("recursiveFileLookup", True))
+    paths = list(paths) if not isinstance(paths, str) else paths
+    if schema is None:
+        schema = infer_json_schema(spark, paths)
+    reader = _report_reader(spark)
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.json(list(paths) if not isinstance(paths, str) else paths)
+    df = reader.json(paths)
     return _file_attrs(df) if with_attributes else df
 
 
+# ---- distributed JSON schema inference -----------------------------------------------
+
+_SCALARS = {"BIGINT": "bigint", "INT": "bigint", "SMALLINT": "bigint", "TINYINT": "bigint",
+            "DOUBLE": "double", "FLOAT": "double", "STRING": "string", "BOOLEAN": "boolean",
+            "VOID": "string", "VARIANT": "string", "DATE": "date", "TIMESTAMP": "timestamp",
+            "TIMESTAMP_NTZ": "timestamp_ntz", "BINARY": "binary"}
+_DECIMAL = re.compile(r"DECIMAL\((\d+),\s*(\d+)\)")
+_WORD = re.compile(r"[A-Z_]+")
+_NAME = re.compile(r"[^:`]+")
+
+
+def variant_schema_to_ddl(text: str) -> str:
+    """Schema text of ``schema_of_variant_agg`` -> Spark DDL type with the JSON-inference rules.
+
+    Integers stay BIGINT (DECIMAL(p,0) beyond the long range stays decimal), any
+    fraction makes DOUBLE, incompatible mixes (VARIANT) and all-null fields
+    (VOID) become STRING, objects become structs and arrays keep their merged
+    element type.
+    """
+    pos = 0
+
+    def expect(token: str) -> None:
+        nonlocal pos
+        if not text.startswith(token, pos):
+            raise ValueError(f"unexpected variant schema at {pos}: {text[pos:pos + 20]!r}")
+        pos += len(token)
+
+    def name() -> str:
+        nonlocal pos
+        if text[pos] == "`":
+            pos += 1
+            out = []
+            while True:
+                ch = text[pos]
+                if ch == "`" and text.startswith("``", pos):
+                    out.append("`")
+                    pos += 2
+                elif ch == "`":
+                    pos += 1
+                    return "".join(out)
+                else:
+                    out.append(ch)
+                    pos += 1
+        m = _NAME.match(text, pos)
+        pos = m.end()
+        return m.group(0)
+
+    def typ() -> str:
+        nonlocal pos
+        if text.startswith("OBJECT<", pos):
+            pos += len("OBJECT<")
+            fields = []
+            while not text.startswith(">", pos):
+                field_name = name()
+                expect(": ")
+                fields.append("`" + field_name.replace("`", "``") + "`:" + typ())
+                if text.startswith(", ", pos):
+                    pos += 2
+            expect(">")
+            return "struct<" + ",".join(fields) + ">"
+        if text.startswith("ARRAY<", pos):
+            pos += len("ARRAY<")
+            element = typ()
+            expect(">")
+            return f"array<{element}>"
+        m = _DECIMAL.match(text, pos)
+        if m:
+            pos = m.end()
+            precision, scale = int(m.group(1)), int(m.group(2))
+            if scale == 0:
+                return "bigint" if precision <= 18 else f"decimal({min(precision, 38)},0)"
+            return "double"
+        m = _WORD.match(text, pos)
+        if not m or m.group(0) not in _SCALARS:
+            raise ValueError(f"unknown variant type at {pos}: {text[pos:pos + 20]!r}")
+        pos = m.end()
+        return _SCALARS[m.group(0)]
+
+    out = typ()
+    if pos != len(text):
+        raise ValueError(f"trailing variant schema text: {text[pos:]!r}")
+    return out
+
+
+def infer_json_schema(spark: SparkSession, paths: str | Sequence[str]) -> StructType | None:
+    """Record schema of a batch of JSON files, inferred by one distributed aggregate.
+
+    Files are read whole as text (one task per file or group of small files),
+    parsed to VARIANT, top-level arrays expanded to their records, and the
+    record types merged by ``schema_of_variant_agg``.  Spark's own multi-line
+    JSON inference reads the batch through at most two tasks, which does not
+    scale with the number of report files.  Returns None when the records are
+    not objects (the caller then falls back to Spark's inference).
+    """
+    text = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.{json,gz}")
+            .option("recursiveFileLookup", True).text(paths))
+    docs = text.select(F.ltrim("value").startswith("[").alias("_is_array"),
+                       F.try_parse_json("value").alias("_v")).where(F.col("_v").isNotNull())
+    records = docs.select(F.explode(
+        F.when(F.col("_is_array"), F.variant_get("_v", "$", "array<variant>"))
+        .otherwise(F.array(F.col("_v")))).alias("_r"))
+    merged = records.agg(F.schema_of_variant_agg("_r").alias("s")).first().s
+    if not merged or not merged.startswith("OBJECT<"):
+        return None
+    return _parse_datatype_string(variant_schema_to_ddl(merged))
+
+
 def read_report_document_json(spark: SparkSession, paths: str | Sequence[str],
                               schema: StructType | None = None, with_attributes: bool = True) -> DataFrame:
     """S3 (+S4): each file is one JSON object holding named arrays -> one row per document."""

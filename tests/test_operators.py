@@ -157,3 +157,19 @@ def test_transform_registry_and_record_function(spark):
         reg.apply(df, "unknown", "heavy", required=True)
     upper = record_function(lambda s: s.str.upper(), "string")
     assert with_record_column(light, "u", upper, "person_id").first().u == "P1"
+
+
+def test_distributed_json_inference_matches_spark_inference(spark, workdir):
+    from lakeshore.sources.files import infer_json_schema, variant_schema_to_ddl
+    docs = ['[{"a": 1, "b": 1.5, "c": "x", "d": {"e": 1}, "f": [1, 2], "g": null, "h": true, "detail-type": 1, '
+            '"a b": 2, "k": [], "big": 12345678901234567890, "exp": 1e5}]',
+            '[{"a": 2, "b": 2, "c": 5, "d": "s", "f": [1.5], "g": null, "h": 1, "n": {"x": [{"y": 1}]}, "k": []}]']
+    path = os.path.join(workdir, "j")
+    os.makedirs(path)
+    for i, d in enumerate(docs):
+        with open(os.path.join(path, f"r{i}.json"), "w") as f:
+            f.write(d)
+    ours = infer_json_schema(spark, path)
+    theirs = spark.read.option("multiLine", True).json(path).schema
+    assert ours.simpleString() == theirs.simpleString()
+    assert variant_schema_to_ddl("OBJECT<`x``y`: ARRAY<VOID>, z: DECIMAL(3,0)>") == "struct<`x``y`:array<string>,`z`:bigint>"
