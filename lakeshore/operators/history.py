@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeshore.operators.sequence import keyed_running
+from lakeshore.session import ensure_checkpoint_dir
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -35,7 +36,7 @@ def object_catalog(events: DataFrame, key_col: str, order: Sequence[str], is_del
 
 def run_history(events: DataFrame, pipeline_col: str, ts_col: str, order: Sequence[str], status_col: str,
                 start_status: str, terminal_statuses: Sequence[str], success_status: str,
-                bucket: Column) -> dict[str, DataFrame]:
+                bucket: Column, materialize: bool = True) -> dict[str, DataFrame]:
     """W2 + W3: runs of a pipeline from status events.
 
     A ``start_status`` event opens a new run; the first terminal status closes
@@ -54,10 +55,15 @@ def run_history(events: DataFrame, pipeline_col: str, ts_col: str, order: Sequen
                .select(pipeline_col, "run_seq", "_end.*"))
     tagged = numbered.join(closing, [pipeline_col, "run_seq"], "left").withColumn(
         "_accepted", (F.col("run_seq") > 0) & (F.col("end_order").isNull() | (order_struct <= F.col("end_order"))))
+    if materialize:
+        # runs, history and rejects all derive from the labelled events: write them once to the
+        # shared checkpoint folder instead of re-running the windows and joins per output
+        ensure_checkpoint_dir(tagged.sparkSession)
+        tagged = tagged.checkpoint(eager=True)
     accepted = tagged.where("_accepted")
     runs = accepted.groupBy(pipeline_col, "run_seq").agg(
         F.min(ts_col).alias("start_ts"),
-        F.first("end_ts", ignorenulls=True).alias("end_ts"),
+        F.max("end_ts").alias("end_ts"),
         F.count(F.lit(1)).alias("n_updates"),
         F.max_by(F.col(status_col), order_struct).alias("status"),
     )

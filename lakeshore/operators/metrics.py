@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lakeshore.functions.dates import threshold_met
 from lakeshore.operators.lookups import bounded_broadcast
 from lakeshore.operators.sequence import keyed_running
+from lakeshore.session import ensure_checkpoint_dir
 
 # Metric separator, period types and their key suffixes.
 SEPARATOR = "#"
@@ -74,7 +75,8 @@ def rollup_metrics(updates: DataFrame, code_col: str = "code", date_col: str = "
 
 
 def metric_alerts(updates: DataFrame, rules: DataFrame, bucket: Column, code_col: str = "code",
-                  date_col: str = "date", order: Sequence[str] = ("seq",), max_rules: int = 10_000) -> DataFrame:
+                  date_col: str = "date", order: Sequence[str] = ("seq",), max_rules: int = 10_000,
+                  materialize: bool = True) -> DataFrame:
     """Alerts emitted by threshold rules as counters grow.
 
     The counter value after each update is a running sum per metric key
@@ -93,6 +95,10 @@ def metric_alerts(updates: DataFrame, rules: DataFrame, bucket: Column, code_col
     matched = running.join(bounded_broadcast(r, max_rules),
                            (F.col("root") == F.col("_rule_metric")) & (F.col("type") == F.col("_rule_type")))
     hits = matched.where(threshold_met(F.col("running_value"), F.col("evaluation"), F.col("threshold")))
+    if materialize:
+        # both alert kinds read the threshold hits: compute them once (shared checkpoint folder)
+        ensure_checkpoint_dir(hits.sparkSession)
+        hits = hits.checkpoint(eager=True)
     last = order[-1]
     cols = ["root", "metric", "type", "threshold", "evaluation", "notify",
             F.col("running_value").alias("value"), last]
