@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeshore.operators.sequence import keyed_running
-from lakeshore.session import ensure_checkpoint_dir
+from lakeshore.session import materialize as written_table
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -46,6 +46,10 @@ def run_history(events: DataFrame, pipeline_col: str, ts_col: str, order: Sequen
     """
     is_start = (F.col(status_col) == start_status).cast("bigint")
     numbered = keyed_running(events, [pipeline_col], order, bucket, sums={"run_seq": is_start})
+    if materialize:
+        # the run numbering (bucketed windows, joins, two shuffles) feeds the run ends, the runs,
+        # the history rows and the rejects: write it once to the shared checkpoint folder
+        numbered = written_table(numbered, "run-numbered")
     terminal = F.col(status_col).isin(*terminal_statuses)
     order_struct = F.struct(*[F.col(c) for c in order])
     closing = (numbered.where(terminal & (F.col("run_seq") > 0))
@@ -55,11 +59,6 @@ def run_history(events: DataFrame, pipeline_col: str, ts_col: str, order: Sequen
                .select(pipeline_col, "run_seq", "_end.*"))
     tagged = numbered.join(closing, [pipeline_col, "run_seq"], "left").withColumn(
         "_accepted", (F.col("run_seq") > 0) & (F.col("end_order").isNull() | (order_struct <= F.col("end_order"))))
-    if materialize:
-        # runs, history and rejects all derive from the labelled events: write them once to the
-        # shared checkpoint folder instead of re-running the windows and joins per output
-        ensure_checkpoint_dir(tagged.sparkSession)
-        tagged = tagged.checkpoint(eager=True)
     accepted = tagged.where("_accepted")
     runs = accepted.groupBy(pipeline_col, "run_seq").agg(
         F.min(ts_col).alias("start_ts"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lakeshore.functions.dates import threshold_met
 from lakeshore.operators.lookups import bounded_broadcast
 from lakeshore.operators.sequence import keyed_running
-from lakeshore.session import ensure_checkpoint_dir
+from lakeshore.session import materialize as written_table
 
 # Metric separator, period types and their key suffixes.
 SEPARATOR = "#"
@@ -97,8 +97,7 @@ def metric_alerts(updates: DataFrame, rules: DataFrame, bucket: Column, code_col
     hits = matched.where(threshold_met(F.col("running_value"), F.col("evaluation"), F.col("threshold")))
     if materialize:
         # both alert kinds read the threshold hits: compute them once (shared checkpoint folder)
-        ensure_checkpoint_dir(hits.sparkSession)
-        hits = hits.checkpoint(eager=True)
+        hits = written_table(hits, "alert-hits")
     last = order[-1]
     cols = ["root", "metric", "type", "threshold", "evaluation", "notify",
             F.col("running_value").alias("value"), last]

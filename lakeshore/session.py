@@ -72,6 +72,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def materialize(df, name: str = "stage"):
+    """Cut lineage with a written table: Parquet in the shared checkpoint folder, read back.
+
+    Used where one expensive prefix (windows, joins, shuffles) feeds several
+    outputs, so it is computed once.  Columnar, so later reads prune columns.
+    """
+    import uuid
+    path = scratch_path(df.sparkSession, "materialized", f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder, for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
