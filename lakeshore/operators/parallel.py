@@ -18,7 +18,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     target = min_partitions or spark.sparkContext.defaultParallelism
     if target <= 1:
         return df
-    current = df.rdd.getNumPartitions()      # planning only, no job
+    try:
+        current = df.rdd.getNumPartitions()      # planning only, no job
+    except Exception:                             # sessions without RDD access: leave the plan alone
+        return df
     if current >= target:
         return df
     return df.repartition(target)

@@ -225,10 +225,29 @@ def cast_text(col: Column, type_name: str) -> Column:
     return col.try_cast(t)
 
 
-def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Projection that casts the text columns named in ``types``; other columns pass through."""
-    return df.select(*[cast_text(_c(f.name), types[f.name]).alias(f.name) if f.name in types else _c(f.name)
-                       for f in df.schema.fields])
+def _proven_cast(col: Column, type_name: str, mask: int) -> Column | None:
+    """A cast without shape tests when the verdict proves every value parses (None otherwise)."""
+    if type_name == "bigint" and mask and mask & ~_INT == 0:
+        return col.try_cast("bigint")
+    if type_name == "double" and mask and mask & ~(_INT | _WHOLE | _FRACTION) == 0:
+        return col.try_cast("double")
+    return None
+
+
+def apply_types(df: DataFrame, types: dict[str, str], verdicts: dict[str, ColumnVerdict] | None = None
+                ) -> DataFrame:
+    """Projection that casts the text columns named in ``types``; other columns pass through.
+
+    With the batch's ``verdicts`` a column whose values are all proven valid
+    for its type is cast directly (no per-value shape test).
+    """
+    def cast(name: str) -> Column:
+        if verdicts and name in verdicts:
+            direct = _proven_cast(_c(name), types[name], verdicts[name].mask)
+            if direct is not None:
+                return direct
+        return cast_text(_c(name), types[name])
+    return df.select(*[cast(f.name).alias(f.name) if f.name in types else _c(f.name) for f in df.schema.fields])
 
 
 def type_text_columns(df: DataFrame, columns: Sequence[str] | None = None,
@@ -243,7 +262,9 @@ def type_text_columns(df: DataFrame, columns: Sequence[str] | None = None,
         keep = unfiltered(filtered_col)
     verdicts = derive_types(cleaned, columns, keep=keep)[()]
     types = plan_types(verdicts)
-    return apply_types(cleaned, types), types
+    # verdicts come from the kept rows only; filtered rows may hold other values, so proven casts
+    # are used only when every row took part in the inference
+    return apply_types(cleaned, types, verdicts if keep is None else None), types
 
 
 def unfiltered(filtered_col: str = "filtered") -> Column:

@@ -30,6 +30,14 @@ from lakeshore.sources.files import list_objects, read_record_array_json, read_w
 PARTITION_COLUMNS = ("customer_hash", "export_year", "export_month", "file_last_modified")
 
 
+def create_database(spark: SparkSession, database: str, location_root: str | None = None) -> None:
+    """The silver database; placed next to its tables when they have an explicit location."""
+    ddl = f"CREATE DATABASE IF NOT EXISTS `{database}`"
+    if location_root:
+        ddl += f" LOCATION '{location_root}/_database'"
+    spark.sql(ddl)
+
+
 @dataclass
 class Customer:
     """Customer configuration row (J1 dimension): table prefix, hash and out-of-box reports."""
@@ -75,7 +83,7 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
     Returns per table: chosen types, rows written and bytes read (A6, observed
     in the write itself, no extra pass).
     """
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    create_database(spark, database, location_root)
     listing = files if files is not None else list_objects(spark, root, "*.csv")
     planned = plan_workflow_files(filters.non_empty_objects(listing), root, customer)
     plan_rows = planned.select("table", "path", "length").collect()   # bounded: one row per file of the batch
@@ -138,7 +146,7 @@ def ingest_flat_reports(spark: SparkSession, paths: str | Sequence[str], databas
     Spark's JSON inference over the whole batch.  Without an explicit
     ``timestamp`` the file's modification time is used (S5).
     """
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    create_database(spark, database, location_root)
     df = read_record_array_json(spark, paths)
     stamp = F.lit(timestamp).cast("timestamp") if timestamp else F.col("file_modification_time")
     out = df.withColumn("timestamp", stamp).drop("file_path", "file_size", "file_modification_time")
@@ -155,7 +163,7 @@ def ingest_report_documents(spark: SparkSession, paths: str | Sequence[str], dat
 
     The parsed documents are persisted once because each array is a separate write.
     """
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    create_database(spark, database, location_root)
     docs = read_record_array_json(spark, paths).drop("file_path", "file_size")
     docs = docs.persist()
     try:

@@ -78,7 +78,13 @@ def test_bounded_broadcast_checks_size(spark):
     big = spark.range(50)
     assert lookups.has_at_most(small, 10) and not lookups.has_at_most(big, 10)
     joined = spark.range(100).join(lookups.bounded_broadcast(small, 10), "id")
-    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString() or joined.count() == 5
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        joined.explain()
+    assert "BroadcastHashJoin" in buf.getvalue()
+    assert joined.count() == 5
 
 
 def test_newest_per_group_and_union_pages(spark):
