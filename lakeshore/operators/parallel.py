@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if target <= 1:
-        return df
     try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         current = df.rdd.getNumPartitions()      # planning only, no job
     except Exception:                             # sessions without RDD access: leave the plan alone
         return df
+    if target <= 1:
+        return df
     if current >= target:
         return df
     return df.repartition(target)

@@ -15,6 +15,7 @@ bounded metadata, like Spark's own file index.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,8 +77,8 @@ def _escape(text: str) -> str:
 
 def ingest_workflow_results(spark: SparkSession, root: str, database: str, customer: Customer,
                             files: DataFrame | None = None, strict: bool = False,
-                            quarantine_path: str | None = None, location_root: str | None = None
-                            ) -> dict[str, dict]:
+                            quarantine_path: str | None = None, location_root: str | None = None,
+                            max_parallel_tables: int = 4) -> dict[str, dict]:
     """The CSV job for one batch of landing files under ``root``.
 
     Returns per table: chosen types, rows written and bytes read (A6, observed
@@ -92,8 +93,8 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
     for r in plan_rows:
         by_table.setdefault(r.table, []).append(r.path)
         sizes[r.table] = sizes.get(r.table, 0) + int(r.length)
-    results = {}
-    for table_name, paths in sorted(by_table.items()):
+
+    def load(table_name: str, paths: list[str]) -> dict | None:
         raw = read_workflow_csv(spark, paths)
         text_cols = [f.name for f in raw.schema.fields if isinstance(f.dataType, StringType)
                      and f.name not in ("file_path",)]
@@ -108,7 +109,7 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
                                          row_counts=(counts := {}), kept_counts=(kept_counts := {}))
         kept_files = [k[0] for k, n in kept_counts.items() if n > 0]
         if not kept_files:
-            continue        # every file of this table was empty or fully filtered: nothing to load (F4/F6)
+            return None     # every file of this table was empty or fully filtered: nothing to load (F4/F6)
         verdicts = typecast.merge_verdicts([per_file[(f,)] for f in kept_files])
         kept = cleaned
         if len(kept_files) < len(per_file):
@@ -132,8 +133,18 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
                                {"customer_hash": customer.customer_hash},
                                location=f"{location_root}/{table_name}" if location_root else None)
         metrics = obs.get
-        results[table_name] = {"types": types, "records": metrics.get("records", 0), "files": len(paths),
-                               "bytes_read": sizes[table_name]}
+        return {"types": types, "records": metrics.get("records", 0), "files": len(paths),
+                "bytes_read": sizes[table_name]}
+
+    # Tables of one batch are independent: their jobs are submitted from a few driver threads so
+    # the cluster works on all of them at once instead of one table after another.
+    results = {}
+    items = sorted(by_table.items())
+    with ThreadPoolExecutor(max_workers=max(1, min(max_parallel_tables, len(items)))) as pool:
+        done = pool.map(lambda item: (item[0], load(*item)), items)
+        for table_name, result in done:
+            if result is not None:
+                results[table_name] = result
     return results
 
 
