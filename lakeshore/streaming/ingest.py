@@ -16,7 +16,7 @@ from lakeshore.operators import typecast
 from lakeshore.operators.batching import micro_batch_options
 from lakeshore.plans.ingest import Customer, ingest_workflow_results
 from lakeshore.sinks.tables import create_or_update_table
-from lakeshore.streaming.state import read_log, run_available_now, write_batch_partition
+from lakeshore.streaming.state import init_log, read_log, run_available_now, write_batch_partition
 
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -36,6 +36,7 @@ def ingest_stream(spark: SparkSession, root: str, database: str, customer: Custo
                   max_files: int = 100) -> list[dict]:
     """Run the CSV job on every batch of new files until the landing zone is drained."""
     marker_path = f"{checkpoint}/_committed"
+    init_log(spark, marker_path, "n bigint, batch_id bigint")
     reports: list[dict] = []
 
     def handle(files: DataFrame, batch_id: int) -> None:

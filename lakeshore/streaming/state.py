@@ -46,6 +46,12 @@ def read_log(spark: SparkSession, path: str, schema: str | None = None, before_b
     return df
 
 
+def init_log(spark: SparkSession, path: str, schema: str) -> None:
+    """Create a change log with its schema (an empty append, harmless when it exists), so the
+    first micro-batch reads an empty log instead of a missing folder."""
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+
+
 def run_available_now(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str,
                       name: str | None = None, output_mode: str = "append") -> None:
     """Process everything available now through ``handler`` and stop (the scheduled-run trigger)."""
@@ -144,6 +150,8 @@ def stream_metric_alerts(spark: SparkSession, updates: DataFrame, rules: DataFra
                          checkpoint: str, order: Sequence[str], bucket: Column) -> DataFrame:
     """T3 as a stream; returns the alert log."""
     stream = updates.withColumn("_b", bucket)
+    init_log(spark, f"{state_dir}/counters", COUNTER_SCHEMA)
+    init_log(spark, f"{state_dir}/fired", FIRED_SCHEMA)
     run_available_now(stream, metric_alert_handler(spark, rules, state_dir, order, "_b"), checkpoint)
     schema = (f"root string, metric string, type string, threshold bigint, evaluation string, notify string, "
               f"value bigint, `{order[-1]}` bigint, batch_id bigint")
