@@ -58,11 +58,25 @@ def duck_rows(con, sql: str) -> tuple[list[str], list[tuple]]:
     return [cols[i] for i in order], sorted(rows)
 
 
+_DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                  "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz", "FLOAT": "float"}
+
+
+def type_differences(df, con, sql: str) -> dict:
+    spark_types = dict(df.dtypes)
+    duck_types = {r[0]: _DUCK_TO_SPARK.get(r[1], r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return {c: (spark_types.get(c), duck_types.get(c)) for c in set(spark_types) | set(duck_types)
+            if spark_types.get(c) != duck_types.get(c)}
+
+
 def compare(df, con, sql: str) -> list[str]:
     """Empty list when equal, else human-readable differences."""
     scols, srows = spark_rows(df)
     dcols, drows = duck_rows(con, sql)
     problems = []
+    types = type_differences(df, con, sql)
+    if types:
+        problems.append(f"column types differ (spark, duckdb): {types}")
     if scols != dcols:
         problems.append(f"columns differ: spark={scols} duckdb={dcols}")
     if len(srows) != len(drows):
