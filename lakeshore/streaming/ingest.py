@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeshore.operators import typecast
-from lakeshore.operators.batching import micro_batch_options
+from lakeshore.operators.batching import micro_batch_options, pending_files_ready
 from lakeshore.plans.ingest import Customer, ingest_workflow_results
+from lakeshore.sources.files import list_objects
 from lakeshore.sinks.tables import create_or_update_table
 from lakeshore.streaming.state import init_log, read_log, run_available_now, write_batch_partition
 
@@ -31,12 +32,26 @@ def landing_stream(spark: SparkSession, root: str, glob: str = "*.csv", max_file
     return reader.load(root).select("path", "length", "modificationTime")
 
 
+PROCESSED_SCHEMA = "path string, batch_id bigint"
+
+
 def ingest_stream(spark: SparkSession, root: str, database: str, customer: Customer, checkpoint: str,
                   location_root: str | None = None, quarantine_path: str | None = None,
-                  max_files: int = 100) -> list[dict]:
-    """Run the CSV job on every batch of new files until the landing zone is drained."""
+                  max_files: int = 100, min_files: int = 1) -> list[dict]:
+    """T1 + O3: run the CSV job on every batch of new files until the landing zone is drained.
+
+    A run starts only when at least ``min_files`` landed files are not processed
+    yet (checked before the stream starts: inside a batch its offsets would
+    already be consumed); each micro-batch takes at most ``max_files`` files.
+    """
     marker_path = f"{checkpoint}/_committed"
+    processed_path = f"{checkpoint}/_files"
     init_log(spark, marker_path, "n bigint, batch_id bigint")
+    init_log(spark, processed_path, PROCESSED_SCHEMA)
+    if min_files > 1:
+        processed = read_log(spark, processed_path, PROCESSED_SCHEMA)
+        if not pending_files_ready(list_objects(spark, root, "*.csv"), processed, min_files):
+            return []
     reports: list[dict] = []
 
     def handle(files: DataFrame, batch_id: int) -> None:
@@ -45,6 +60,7 @@ def ingest_stream(spark: SparkSession, root: str, database: str, customer: Custo
             return      # replay of a committed batch
         result = ingest_workflow_results(spark, root, database, customer, files=files,
                                          quarantine_path=quarantine_path, location_root=location_root)
+        write_batch_partition(files.select("path"), processed_path, batch_id)
         write_batch_partition(spark.range(1).select(F.lit(len(result)).cast("bigint").alias("n")),
                               marker_path, batch_id)
         reports.append({"batch_id": batch_id, "tables": result})

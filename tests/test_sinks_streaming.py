@@ -54,8 +54,12 @@ def test_ingest_stream_restart_adds_no_rows(spark, workdir):
     ingest_stream(spark, root, "st_db", cust, ckpt, location_root=tables, max_files=1)     # restart: nothing new
     assert spark.table("st_db.p_s_adhoc").count() == 3
     _land(root, "2024-01-03-c.csv", "n,v\n4,d\n")
-    ingest_stream(spark, root, "st_db", cust, ckpt, location_root=tables, max_files=1)
-    assert sorted(r.n for r in spark.table("st_db.p_s_adhoc").collect()) == [1, 2, 3, 4]
+    # one new file is waiting but the batch minimum is two: nothing runs (O3)
+    assert ingest_stream(spark, root, "st_db", cust, ckpt, location_root=tables, max_files=5, min_files=2) == []
+    assert spark.table("st_db.p_s_adhoc").count() == 3
+    _land(root, "2024-01-04-d.csv", "n,v\n5,e\n")
+    ingest_stream(spark, root, "st_db", cust, ckpt, location_root=tables, max_files=5, min_files=2)
+    assert sorted(r.n for r in spark.table("st_db.p_s_adhoc").collect()) == [1, 2, 3, 4, 5]
 
 
 def test_redrive_loads_rows_that_now_conform(spark, workdir):
