@@ -23,11 +23,12 @@ def _file_attrs(df: DataFrame) -> DataFrame:
 
 
 def read_workflow_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType | None = None,
-                      with_attributes: bool = True) -> DataFrame:
+                      with_attributes: bool = True, quote_parity: bool = False) -> DataFrame:
     """CSV results with a header, every column as text.
 
     Blank lines are skipped by the reader; ``\\`` escapes quotes, so a quoted
-    ``it\\"s`` reads as ``it"s``.  Missing-value words are *not* handled here
+    ``it\\"s`` reads as ``it"s`` (``quote_parity=True`` gives ``it's``, as the
+    reference's pre-parse replacement does).  Missing-value words are *not* handled here
     (the reader knows one ``nullValue`` only); C10 does it.  With a ``schema``
     (all strings, for streaming) no header inference pass is needed.
     """
@@ -37,6 +38,9 @@ def read_workflow_csv(spark: SparkSession, paths: str | Sequence[str], schema: S
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.csv(list(paths) if not isinstance(paths, str) else paths)
+    if quote_parity:
+        # the reference turns an escaped quote into a single quote before parsing
+        df = df.select(*[F.translate(F.col(f"`{c}`"), '"', "'").alias(c) for c in df.columns])
     return _file_attrs(df) if with_attributes else df
 
 

@@ -63,6 +63,33 @@ def stream_object_catalog(spark, sf_dir):
     return current_from_log(spark, log, ["user_id"], ["ts", "event_id"])
 
 
+def stream_execution_status(spark, sf_dir):
+    """T4: execution status polls (one per line item, in line order) -> latest status per execution."""
+    base = _dirs(spark, "status")
+    schema = Q.table(spark, sf_dir, "lineitem").schema
+    polls = (spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+             .select(F.col("l_orderkey").alias("execution_id"), F.col("l_linenumber").alias("poll"),
+                     F.when(F.col("l_linestatus") == "O", "RUNNING")
+                     .when(F.col("l_returnflag") == "R", "FAILED").otherwise("SUCCEEDED").alias("status"),
+                     F.col("l_shipdate").alias("updated"), F.col("l_partkey").alias("part"),
+                     F.col("l_suppkey").alias("supp")))
+    log = os.path.join(base, "log")
+    order = ["poll", "updated", "part", "supp"]          # a total order within an execution
+    stream_latest_per_key(polls, ["execution_id"], order, log, os.path.join(base, "checkpoint"))
+    return current_from_log(spark, log, ["execution_id"], order)
+
+
+SQL_STREAM_EXECUTION_STATUS = """
+SELECT execution_id, poll, status, updated, part, supp FROM (
+  SELECT l_orderkey AS execution_id, l_linenumber AS poll,
+         CASE WHEN l_linestatus = 'O' THEN 'RUNNING' WHEN l_returnflag = 'R' THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
+         l_shipdate AS updated, l_partkey AS part, l_suppkey AS supp,
+         row_number() OVER (PARTITION BY l_orderkey
+                            ORDER BY l_linenumber DESC, l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS rn
+  FROM lineitem) WHERE rn = 1
+"""
+
+
 def stream_metric_alerts(spark, sf_dir):
     """T3 as a stream with counters, fired-ONCE keys and alerts as change logs."""
     base = _dirs(spark, "alerts")
@@ -107,12 +134,14 @@ STREAM_QUERIES = {
     "stream_object_catalog": stream_object_catalog,
     "stream_metric_alerts": stream_metric_alerts,
     "stream_csv_ingest": stream_csv_ingest,
+    "stream_execution_status": stream_execution_status,
 }
 STREAM_ORACLE_SQL = {
     "stream_daily_metrics": Q.SQL_DAILY_METRICS,
     "stream_object_catalog": Q.SQL_OBJECT_CATALOG,
     "stream_metric_alerts": Q.SQL_METRIC_ALERTS,
     "stream_csv_ingest": SQL_CSV_INGEST,
+    "stream_execution_status": SQL_STREAM_EXECUTION_STATUS,
 }
 
 __all__ = ["STREAM_QUERIES", "STREAM_ORACLE_SQL", "run_available_now", "write_batch_partition"]

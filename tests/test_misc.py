@@ -59,3 +59,12 @@ def test_file_attributes_manifest_and_min_batch_gate(spark, workdir):
     assert batching.pending_files_ready(listing, None, 2)
     assert not batching.pending_files_ready(listing, listing.limit(1), 2)
     assert batching.micro_batch_options(1, 100) == {"maxFilesPerTrigger": "100"}
+
+
+def test_csv_quote_parity(spark, workdir):
+    from lakeshore.sources.files import read_workflow_csv
+    path = os.path.join(workdir, "q.csv")
+    with open(path, "w") as f:
+        f.write('a,b\n"it\\"s",x\n')
+    assert read_workflow_csv(spark, path, with_attributes=False).first().a == 'it"s'
+    assert read_workflow_csv(spark, path, with_attributes=False, quote_parity=True).first().a == "it's"
