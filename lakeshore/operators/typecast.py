@@ -167,6 +167,33 @@ def derive_types(df: DataFrame, columns: Sequence[str], group_by: Sequence[str]
     return out
 
 
+def derive_types_by_file(df: DataFrame, columns: Sequence[str], file_col: str, keep: Column | None = None
+                         ) -> tuple[dict[str, ColumnVerdict] | None, DataFrame, bool]:
+    """C1 with per-file filtering (F4), aggregated in Spark: per file, then across kept files.
+
+    Returns (verdicts of the kept files' unfiltered rows, kept file keys as a
+    DataFrame, whether any file was dropped).  Only one row reaches the driver.
+    Verdicts are None when no file has an unfiltered row.
+    """
+    keep_col = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)
+    parsed = df.select(F.col(f"`{file_col}`").alias("_file"), keep_col.alias("_keep"),
+                       *[F.when(keep_col, _c(n)).alias(f"v{i}") for i, n in enumerate(columns)])
+    parsed = parsed.select("_file", "_keep", *[c for i in range(len(columns)) for c in (
+        F.col(f"v{i}"), _as_double(F.col(f"v{i}")).alias(f"d{i}"), _as_bigint(F.col(f"v{i}")).alias(f"b{i}"))])
+    per_file = parsed.groupBy("_file").agg(
+        F.count_if(F.col("_keep")).alias("_kept"),
+        *[F.bit_or(value_class(F.col(f"v{i}"), F.col(f"d{i}"), F.col(f"b{i}"))).alias(f"c{i}")
+          for i in range(len(columns))])
+    summary = per_file.agg(
+        F.count_if(F.col("_kept") > 0).alias("kept_files"), F.count_if(F.col("_kept") == 0).alias("dropped_files"),
+        *[F.bit_or(F.when(F.col("_kept") > 0, F.col(f"c{i}"))).alias(f"c{i}") for i in range(len(columns))]).first()
+    kept_files = per_file.where(F.col("_kept") > 0).select(F.col("_file").alias(file_col))
+    if not summary.kept_files:
+        return None, kept_files, bool(summary.dropped_files)
+    verdicts = {name: ColumnVerdict(name, summary[f"c{i}"] or 0) for i, name in enumerate(columns)}
+    return verdicts, kept_files, bool(summary.dropped_files)
+
+
 def merge_verdicts(parts: Sequence[dict[str, ColumnVerdict]]) -> dict[str, ColumnVerdict]:
     """Combine per-file verdicts of one table (union of the value classes)."""
     names = list(parts[0]) if parts else []

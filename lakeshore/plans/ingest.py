@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lakeshore.functions import paths as P
-from lakeshore.operators import filters, reports, typecast
+from lakeshore.operators import filters, lookups, reports, typecast
 from lakeshore.operators.aggregates import observe_job_totals
 from lakeshore.sinks.tables import create_or_update_table
 from lakeshore.sources.files import list_objects, read_record_array_json, read_workflow_csv
@@ -78,73 +78,77 @@ def _escape(text: str) -> str:
 def ingest_workflow_results(spark: SparkSession, root: str, database: str, customer: Customer,
                             files: DataFrame | None = None, strict: bool = False,
                             quarantine_path: str | None = None, location_root: str | None = None,
-                            max_parallel_tables: int = 4) -> dict[str, dict]:
+                            max_parallel_tables: int = 4, max_listed_files: int = 10_000) -> dict[str, dict]:
     """The CSV job for one batch of landing files under ``root``.
 
-    Returns per table: chosen types, rows written and bytes read (A6, observed
-    in the write itself, no extra pass).
+    ``files`` is the batch's listing (a micro-batch of the ingest stream);
+    without it the whole prefix is the batch.  Only one row per target table
+    reaches the driver: a micro-batch's tables read exactly their files (at
+    most ``max_listed_files`` paths each), a whole prefix reads each table's
+    ``workflow=/schedule=`` folder and keeps the planned files with a join.
+    Per-file decisions (all rows filtered, F4) and the column verdicts are
+    aggregated in Spark (per file, then across the kept files).
+
+    Files of one table within one batch are read with one header, as one scan.
+    Returns per table: chosen types, rows written, files and bytes read (A6,
+    observed in the write itself, no extra pass).
     """
     create_database(spark, database, location_root)
     listing = files if files is not None else list_objects(spark, root, "*.csv")
     planned = plan_workflow_files(filters.non_empty_objects(listing), root, customer)
-    plan_rows = planned.select("table", "path", "length").collect()   # bounded: one row per file of the batch
-    by_table: dict[str, list[str]] = {}
-    sizes: dict[str, int] = {}
-    for r in plan_rows:
-        by_table.setdefault(r.table, []).append(r.path)
-        sizes[r.table] = sizes.get(r.table, 0) + int(r.length)
-
-    def load(table_name: str, paths: list[str]) -> dict | None:
-        raw = read_workflow_csv(spark, paths)
+    tables = (planned.groupBy("table").agg(
+        F.collect_set(F.struct("workflow", "schedule")).alias("folders"),     # raw names that map to it
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+        .collect())                                          # one row per target table
+
+    def load(t) -> dict | None:
+        table_files = planned.where(F.col("table") == t.table).select(
+            F.col("path").alias("_path"), *PARTITION_COLUMNS)
+        if files is not None and t.files <= max_listed_files:
+            paths = [r._path for r in table_files.select("_path").collect()]     # bounded micro-batch
+            raw = read_workflow_csv(spark, paths)
+        else:
+            raw = read_workflow_csv(spark, [f"{root.rstrip('/')}/workflow={f.workflow}/schedule={f.schedule}"
+                                            for f in t.folders])
+        # planned files only, with their partition values (the file plan has t.files rows: a
+        # proven bound for the broadcast; beyond it a shuffle join)
+        plan_side = F.broadcast(table_files) if t.files <= 1_000_000 else table_files
+        raw = raw.join(plan_side, F.col("file_path") == F.col("_path")).drop("_path")
         text_cols = [f.name for f in raw.schema.fields if isinstance(f.dataType, StringType)
-                     and f.name not in ("file_path",)]
-        meta = planned.where(F.col("table") == table_name).select(
-            F.col("path").alias("_path"), *PARTITION_COLUMNS, F.col("length").alias("_length"))
+                     and f.name not in ("file_path", *PARTITION_COLUMNS)]
         cleaned = typecast.null_tokens(raw, text_cols)
-        # One job: per file, the row count, the unfiltered row count and the value classes of its
-        # unfiltered rows.  Files without unfiltered rows are dropped (F4); types come from the
-        # unfiltered rows of the kept files (Q1).  Bounded plan metadata: one row per file.
         keep = typecast.unfiltered("filtered") if "filtered" in cleaned.columns else None
-        per_file = typecast.derive_types(cleaned, text_cols, group_by=["file_path"], keep=keep,
-                                         row_counts=(counts := {}), kept_counts=(kept_counts := {}))
-        kept_files = [k[0] for k, n in kept_counts.items() if n > 0]
-        if not kept_files:
+        verdicts, kept_files, dropped = typecast.derive_types_by_file(cleaned, text_cols, "file_path", keep)
+        if verdicts is None:
             return None     # every file of this table was empty or fully filtered: nothing to load (F4/F6)
-        verdicts = typecast.merge_verdicts([per_file[(f,)] for f in kept_files])
         kept = cleaned
-        if len(kept_files) < len(per_file):
-            kept = cleaned.where(F.col("file_path").isin(kept_files))
+        if dropped:
+            kept = cleaned.join(lookups.bounded_broadcast(kept_files, 1_000_000), "file_path", "left_semi")
         types = typecast.plan_types(verdicts)
         typed = typecast.apply_types(kept, types)
-        # the file plan of this table has exactly len(paths) rows: a proven bound for the broadcast
-        withparts = typed.join(F.broadcast(meta) if len(paths) <= 100_000 else meta,
-                               F.col("file_path") == F.col("_path"))
-        out = withparts.drop("_path", "file_path", "file_size", "file_modification_time", "_length")
-        if spark.catalog.tableExists(f"{database}.{table_name}"):
-            out = typecast.conform_to_schema(out, spark.table(f"{database}.{table_name}").schema,
+        out = typed.drop("file_path", "file_size", "file_modification_time")
+        if spark.catalog.tableExists(f"{database}.{t.table}"):
+            out = typecast.conform_to_schema(out, spark.table(f"{database}.{t.table}").schema,
                                              strict=strict, keep_source=quarantine_path is not None)
             if quarantine_path is not None:
                 (out.where(F.size("_bad_columns") > 0).select("_source.*", "_bad_columns")
-                 .write.mode("append").parquet(f"{quarantine_path}/{table_name}"))
+                 .write.mode("append").parquet(f"{quarantine_path}/{t.table}"))
                 out = out.drop("_source")
             out = out.where(F.size("_bad_columns") == 0).drop("_bad_columns")
-        out, obs = observe_job_totals(out, f"ingest_{table_name}", F.lit(0))
-        create_or_update_table(spark, out, f"{database}.{table_name}", PARTITION_COLUMNS,
+        out, obs = observe_job_totals(out, f"ingest_{t.table}", F.lit(0))
+        create_or_update_table(spark, out, f"{database}.{t.table}", PARTITION_COLUMNS,
                                {"customer_hash": customer.customer_hash},
-                               location=f"{location_root}/{table_name}" if location_root else None)
-        metrics = obs.get
-        return {"types": types, "records": metrics.get("records", 0), "files": len(paths),
-                "bytes_read": sizes[table_name]}
+                               location=f"{location_root}/{t.table}" if location_root else None)
+        return {"types": types, "records": obs.get.get("records", 0), "files": t.files, "bytes_read": t.bytes}
 
     # Tables of one batch are independent: their jobs are submitted from a few driver threads so
     # the cluster works on all of them at once instead of one table after another.
     results = {}
-    items = sorted(by_table.items())
+    items = sorted(tables, key=lambda t: t.table)
     with ThreadPoolExecutor(max_workers=max(1, min(max_parallel_tables, len(items)))) as pool:
-        done = pool.map(lambda item: (item[0], load(*item)), items)
-        for table_name, result in done:
+        for t, result in zip(items, pool.map(load, items)):
             if result is not None:
-                results[table_name] = result
+                results[t.table] = result
     return results
 
 
