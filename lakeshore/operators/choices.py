@@ -45,16 +45,24 @@ def choice_resolution(types: set[str]) -> str:
     return "string"
 
 
+MAX_DISCOVERED_FIELDS = 10_000
+
+
 def resolve_choice_text(df: DataFrame, json_col: str, fields: Sequence[str] | None = None,
                         keep: Sequence[str] = ()) -> DataFrame:
     """C7 over a JSON-object text column: one typed column per field.
 
-    ``fields`` defaults to every key seen in the batch (one more small aggregate).
+    ``fields`` defaults to every key seen in the batch (one more small aggregate);
+    keys that are data rather than names (more than ``MAX_DISCOVERED_FIELDS``)
+    are refused: pass ``fields`` or keep such objects as a map.
     """
     parsed = df.select(*keep, F.parse_json(F.col(json_col)).alias("_v"))
     if fields is None:
         keys = parsed.select(F.explode(F.json_object_keys(F.to_json("_v"))).alias("k")).distinct()
-        fields = sorted(r.k for r in keys.collect())
+        found = [r.k for r in keys.limit(MAX_DISCOVERED_FIELDS + 1).collect()]
+        if len(found) > MAX_DISCOVERED_FIELDS:
+            raise ValueError(f"more than {MAX_DISCOVERED_FIELDS} distinct keys in {json_col!r}; pass fields")
+        fields = sorted(found)
     verdict = field_types(parsed, "_v", fields)
     cols = [F.variant_get(F.col("_v"), f"$.{name}", choice_resolution(verdict[name])).alias(name)
             for name in fields]

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from lakeshore.operators import typecast
 from lakeshore.operators.batching import micro_batch_options, pending_files_ready
-from lakeshore.plans.ingest import Customer, ingest_workflow_results
+from lakeshore.plans.ingest import (Customer, ingest_flat_reports, ingest_report_documents,
+                                    ingest_workflow_results)
 from lakeshore.sources.files import list_objects
 from lakeshore.sinks.tables import create_or_update_table
 from lakeshore.streaming.state import init_log, read_log, run_available_now, write_batch_partition
@@ -69,6 +70,36 @@ def ingest_stream(spark: SparkSession, root: str, database: str, customer: Custo
     return reports
 
 
+def report_stream(spark: SparkSession, root: str, database: str, table: str, checkpoint: str,
+                  documents: bool = False, location_root: str | None = None, max_files: int = 100,
+                  timestamp: str | None = None) -> list[dict]:
+    """T1 for report datasets: each micro-batch of new ``*.json`` / ``*.gz`` files is loaded by the
+    flat-report job (one table) or, with ``documents=True``, split into one table per array."""
+    marker_path = f"{checkpoint}/_committed"
+    init_log(spark, marker_path, "n bigint, batch_id bigint")
+    reports: list[dict] = []
+
+    def handle(files: DataFrame, batch_id: int) -> None:
+        done = read_log(spark, marker_path, "n bigint, batch_id bigint")
+        if done.where(F.col("batch_id") == batch_id).limit(1).count() > 0:
+            return      # replay of a committed batch
+        paths = [r.path for r in files.select("path").collect()]      # bounded by max_files
+        if not paths:
+            return
+        if documents:
+            written = ingest_report_documents(spark, paths, database, table, timestamp, location_root)
+            names = sorted(written)
+        else:
+            ingest_flat_reports(spark, paths, database, table, timestamp, location_root=location_root)
+            names = [table]
+        write_batch_partition(spark.range(1).select(F.lit(len(names)).cast("bigint").alias("n")),
+                              marker_path, batch_id)
+        reports.append({"batch_id": batch_id, "files": len(paths), "tables": names})
+
+    run_available_now(landing_stream(spark, root, "*.{json,gz}", max_files), handle, checkpoint)
+    return reports
+
+
 def redrive(spark: SparkSession, quarantine_path: str, database: str, table: str, next_path: str) -> int:
     """Replay quarantined rows of a table against its current schema.
 

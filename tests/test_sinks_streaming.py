@@ -87,3 +87,27 @@ def test_latest_per_key_stream_over_two_batches(spark, workdir):
     stream_latest_per_key(stream, ["k"], ["t"], log, ckpt, F.col("d"))
     cur = current_from_log(spark, log, ["k"], ["t"]).collect()
     assert [(r.k, r.v) for r in cur] == [("k1", "c")]
+
+
+def test_report_stream_flat_and_documents(spark, workdir):
+    import gzip
+    import json
+    from lakeshore.streaming.ingest import report_stream
+    flat = os.path.join(workdir, "flat")
+    os.makedirs(flat)
+    for i in range(3):
+        with gzip.open(os.path.join(flat, f"report-{i}.json.gz"), "wt") as f:
+            json.dump([{"campaignId": i, "sales14d": i + 0.5 if i else 1}], f)
+    spark.sql("CREATE DATABASE IF NOT EXISTS rs_db")
+    ck = os.path.join(workdir, "ck1")
+    out = report_stream(spark, flat, "rs_db", "ads", ck, location_root=os.path.join(workdir, "t"), max_files=2)
+    assert len(out) == 2
+    assert sorted(r.campaignId for r in spark.table("rs_db.ads").collect()) == [0, 1, 2]
+    assert report_stream(spark, flat, "rs_db", "ads", ck, location_root=os.path.join(workdir, "t")) == []
+    docs = os.path.join(workdir, "docs")
+    os.makedirs(docs)
+    with open(os.path.join(docs, "d.json"), "w") as f:
+        json.dump({"reportSpecification": {"reportType": "X"}, "rows": [{"a": 1}], "other": []}, f)
+    report_stream(spark, docs, "rs_db", "sp", os.path.join(workdir, "ck2"), documents=True,
+                  location_root=os.path.join(workdir, "t2"))
+    assert [r.a for r in spark.table("rs_db.sp_rows").collect()] == [1]
