@@ -114,3 +114,14 @@ def test_bad_values_go_to_quarantine(spark, workdir):
     assert sorted(r.n for r in spark.table("q_db.p_q_adhoc").collect()) == [1, 2, 3]
     bad = spark.read.parquet(f"{quarantine}/p_q_adhoc").collect()
     assert [(r.n, r._bad_columns) for r in bad] == [("not-a-number", ["n"])]
+
+
+def test_changed_header_within_one_batch(spark, workdir):
+    root = os.path.join(workdir, "hdr")
+    _write(f"{root}/workflow=w/schedule=adhoc/2023-05-01-a.csv", "n,v\n1,a\n")
+    _write(f"{root}/workflow=w/schedule=adhoc/2023-05-02-b.csv", "n,v,extra_cost\n2,b,1.5\n")
+    res = ingest_workflow_results(spark, root, "hdr_db", Customer("p", "h", ()),
+                                  location_root=os.path.join(workdir, "t"))
+    assert res["p_w_adhoc"]["records"] == 2
+    rows = spark.table("hdr_db.p_w_adhoc").orderBy("n").collect()
+    assert [(r.n, r.v, r.extra_cost) for r in rows] == [(1, "a", None), (2, "b", 1.5)]
