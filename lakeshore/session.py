@@ -24,6 +24,10 @@ DEFAULT_CONF = {
     # Parquet is the lake format; keep the vectorized reader and codegen paths.
     "spark.sql.parquet.compression.codec": "snappy",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # keyed streaming state (latest row per key, windowed sums) lives off-heap in RocksDB,
+    # so its size is bounded by disk, not by executor memory
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -97,11 +97,30 @@ FIRED_SCHEMA = "root string, metric string, type string, threshold bigint, evalu
                "batch_id bigint"
 
 
+def previous_counters(spark: SparkSession, counters_path: str, snapshot_path: str, batch_id: int) -> DataFrame:
+    """Counter values before ``batch_id``: the latest snapshot plus the per-batch values after it.
+
+    Snapshots keep the read bounded by the snapshot interval instead of the age of the stream.
+    """
+    snaps = read_log(spark, snapshot_path, COUNTER_SCHEMA, before_batch=batch_id)
+    last = snaps.agg(F.max("batch_id").alias("b")).first().b
+    deltas = read_log(spark, counters_path, COUNTER_SCHEMA, before_batch=batch_id)
+    if last is None:
+        return deltas
+    return snaps.where(F.col("batch_id") == last).unionByName(deltas.where(F.col("batch_id") > last))
+
+
 def metric_alert_handler(spark: SparkSession, rules: DataFrame, state_dir: str, order: Sequence[str],
-                         bucket_col: str, max_rules: int = 10_000) -> Callable[[DataFrame, int], None]:
-    """foreachBatch handler: counters, ALWAYS/ONCE alerts with state in three change logs."""
+                         bucket_col: str, max_rules: int = 10_000, snapshot_every: int = 20
+                         ) -> Callable[[DataFrame, int], None]:
+    """foreachBatch handler: counters, ALWAYS/ONCE alerts with state in change logs.
+
+    Every ``snapshot_every`` batches the full counter table is written as a snapshot.
+    """
     counters_path, fired_path, alerts_path = (f"{state_dir}/counters", f"{state_dir}/fired",
                                               f"{state_dir}/alerts")
+    snapshot_path = f"{state_dir}/counter_snapshots"
+    init_log(spark, snapshot_path, COUNTER_SCHEMA)
     r = rules.select(F.col("metric").alias("_rule_metric"), F.col("metric_type").alias("_rule_type"),
                      "evaluation", "threshold", "notify")
     last = order[-1]
@@ -110,12 +129,9 @@ def metric_alert_handler(spark: SparkSession, rules: DataFrame, state_dir: str,
         keys = explode_metric_keys(batch)
         running = keyed_running(keys, ["root", "metric"], list(order), F.col(bucket_col),
                                 sums={"batch_value": F.col("value")})
-        prev_log = read_log(spark, counters_path, COUNTER_SCHEMA, before_batch=batch_id)
-        if prev_log is not None:
-            prev = prev_log.groupBy("root", "metric").agg(F.max_by("value", "batch_id").alias("_prev"))
-            running = running.join(prev, ["root", "metric"], "left")
-        else:
-            running = running.withColumn("_prev", F.lit(None).cast("bigint"))
+        prev_log = previous_counters(spark, counters_path, snapshot_path, batch_id)
+        prev = prev_log.groupBy("root", "metric").agg(F.max_by("value", "batch_id").alias("_prev"))
+        running = running.join(prev, ["root", "metric"], "left")
         running = running.withColumn("running_value", F.col("batch_value") + F.coalesce("_prev", F.lit(0)))
         running = running.persist()
         try:
@@ -140,6 +156,11 @@ def metric_alert_handler(spark: SparkSession, rules: DataFrame, state_dir: str,
             counters = running.groupBy("root", "metric").agg(
                 F.max_by("running_value", F.struct(*[F.col(c) for c in order])).alias("value"))
             write_batch_partition(counters, counters_path, batch_id)
+            if (batch_id + 1) % snapshot_every == 0:
+                current = (prev_log.unionByName(read_log(spark, counters_path, COUNTER_SCHEMA)
+                                                .where(F.col("batch_id") == batch_id))
+                           .groupBy("root", "metric").agg(F.max_by("value", "batch_id").alias("value")))
+                write_batch_partition(current, snapshot_path, batch_id)
         finally:
             running.unpersist()
 
@@ -147,12 +168,14 @@ def metric_alert_handler(spark: SparkSession, rules: DataFrame, state_dir: str,
 
 
 def stream_metric_alerts(spark: SparkSession, updates: DataFrame, rules: DataFrame, state_dir: str,
-                         checkpoint: str, order: Sequence[str], bucket: Column) -> DataFrame:
+                         checkpoint: str, order: Sequence[str], bucket: Column, snapshot_every: int = 20
+                         ) -> DataFrame:
     """T3 as a stream; returns the alert log."""
     stream = updates.withColumn("_b", bucket)
     init_log(spark, f"{state_dir}/counters", COUNTER_SCHEMA)
     init_log(spark, f"{state_dir}/fired", FIRED_SCHEMA)
-    run_available_now(stream, metric_alert_handler(spark, rules, state_dir, order, "_b"), checkpoint)
+    run_available_now(stream, metric_alert_handler(spark, rules, state_dir, order, "_b",
+                                                   snapshot_every=snapshot_every), checkpoint)
     schema = (f"root string, metric string, type string, threshold bigint, evaluation string, notify string, "
               f"value bigint, `{order[-1]}` bigint, batch_id bigint")
     alerts = read_log(spark, f"{state_dir}/alerts", schema)

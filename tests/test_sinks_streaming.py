@@ -111,3 +111,30 @@ def test_report_stream_flat_and_documents(spark, workdir):
     report_stream(spark, docs, "rs_db", "sp", os.path.join(workdir, "ck2"), documents=True,
                   location_root=os.path.join(workdir, "t2"))
     assert [r.a for r in spark.table("rs_db.sp_rows").collect()] == [1]
+
+
+def test_stream_alerts_over_many_batches_match_batch(spark, workdir):
+    from lakeshore.operators.metrics import metric_alerts
+    from lakeshore.streaming.state import stream_metric_alerts
+    from conftest import SF_SMALL
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    updates = ev.select(F.col("event_type").alias("code"), F.date_format("ts", "yyyy-MM-dd").alias("date"),
+                        F.floor("value").cast("bigint").alias("value"), F.col("event_id").alias("seq"), "ts")
+    src = os.path.join(workdir, "src")
+    days = [r.d for r in updates.select(F.col("date").alias("d")).distinct().orderBy("d").collect()]
+    for i, d in enumerate(days[:6]):            # one file per day, written in time order
+        updates.where(F.col("date") == d).coalesce(1).write.parquet(os.path.join(src, f"p{i:02d}"))
+    rules = spark.createDataFrame([("purchase", "DAILY", ">=", 40, "ONCE"), ("view", "ROOT", ">", 100, "ALWAYS"),
+                                   ("click", "MONTHLY", ">=", 150, "ONCE")],
+                                  "metric string, metric_type string, evaluation string, threshold bigint, "
+                                  "notify string")
+    stream = (spark.readStream.schema(updates.schema).option("recursiveFileLookup", True)
+              .option("maxFilesPerTrigger", 1).parquet(src))
+    got = stream_metric_alerts(spark, stream, rules, os.path.join(workdir, "state"), os.path.join(workdir, "ck"),
+                               ["ts", "seq"], F.date_trunc("hour", "ts"), snapshot_every=2).drop("batch_id")
+    want = metric_alerts(updates.where(F.col("date").isin(days[:6])), rules, F.date_trunc("hour", "ts"),
+                         order=["ts", "seq"])
+    cols = ["root", "metric", "type", "threshold", "value", "seq"]
+    assert got.count() > 0
+    assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
+    assert want.select(*cols).exceptAll(got.select(*cols)).count() == 0
