@@ -68,9 +68,11 @@ def run_available_now(stream: DataFrame, handler: Callable[[DataFrame, int], Non
 # ---- T4 / W1 streaming ----------------------------------------------------------------
 
 def stream_latest_per_key(stream: DataFrame, keys: Sequence[str], order: Sequence[str], log_path: str,
-                          checkpoint: str, is_delete: Column | None = None) -> None:
+                          checkpoint: str, is_delete: Column | None = None, snapshot_every: int = 20) -> None:
     """Status/catalog change feed: the state store keeps max_by(row, order) per key; each
-    micro-batch appends the updated keys' latest rows to a change log."""
+    micro-batch appends the updated keys' latest rows to a change log, and every
+    ``snapshot_every`` batches the full current table is written as a snapshot."""
+    spark = stream.sparkSession
     payload = [c for c in stream.columns if c not in keys]
     flagged = stream.withColumn("_deleted", is_delete if is_delete is not None else F.lit(False))
     latest = flagged.groupBy(*keys).agg(
@@ -79,15 +81,34 @@ def stream_latest_per_key(stream: DataFrame, keys: Sequence[str], order: Sequenc
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch_partition(batch.select(*keys, "_row.*"), log_path, batch_id)
+        if (batch_id + 1) % snapshot_every == 0:
+            current = _log_rows(spark, log_path, keys, order, upto=batch_id)
+            write_batch_partition(current.drop("batch_id"), f"{log_path}_snapshots", batch_id)
 
     run_available_now(latest, handle, checkpoint, output_mode="update")
 
 
+def _log_rows(spark: SparkSession, log_path: str, keys: Sequence[str], order: Sequence[str],
+              upto: int | None = None) -> DataFrame:
+    """Latest row per key (deleted ones included) from the last snapshot and the deltas after it."""
+    deltas = read_log(spark, log_path)
+    snaps = read_log(spark, f"{log_path}_snapshots", deltas.schema.simpleString()) \
+        if deltas is not None else None
+    if upto is not None:
+        deltas = deltas.where(F.col("batch_id") <= upto)
+        snaps = snaps.where(F.col("batch_id") <= upto) if snaps is not None else None
+    rows = deltas
+    if snaps is not None:
+        last = snaps.agg(F.max("batch_id").alias("b")).first().b
+        if last is not None:
+            rows = snaps.where(F.col("batch_id") == last).unionByName(deltas.where(F.col("batch_id") > last))
+    latest = latest_per_key(rows.drop("batch_id"), list(keys), list(order))
+    return latest.where(~F.col("_deleted")) if upto is not None else latest
+
+
 def current_from_log(spark: SparkSession, log_path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Latest live row per key over the change log (deleted keys dropped)."""
-    log = read_log(spark, log_path)
-    latest = latest_per_key(log.drop("batch_id"), list(keys), list(order))
-    return latest.where(~F.col("_deleted")).drop("_deleted")
+    """Latest live row per key: last snapshot plus later deltas (deleted keys dropped)."""
+    return _log_rows(spark, log_path, keys, order).where(~F.col("_deleted")).drop("_deleted")
 
 
 # ---- T3 streaming ---------------------------------------------------------------------

@@ -81,12 +81,19 @@ def test_latest_per_key_stream_over_two_batches(spark, workdir):
     schema = "k string, t bigint, v string, d boolean"
     log, ckpt = os.path.join(workdir, "log"), os.path.join(workdir, "ck")
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(src)
-    stream_latest_per_key(stream, ["k"], ["t"], log, ckpt, F.col("d"))
+    stream_latest_per_key(stream, ["k"], ["t"], log, ckpt, F.col("d"), snapshot_every=1)
     spark.createDataFrame([("k1", 2, "c", False), ("k2", 2, None, True)], schema).write.parquet(os.path.join(src, "b2"))
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(src)
-    stream_latest_per_key(stream, ["k"], ["t"], log, ckpt, F.col("d"))
+    stream_latest_per_key(stream, ["k"], ["t"], log, ckpt, F.col("d"), snapshot_every=1)
     cur = current_from_log(spark, log, ["k"], ["t"]).collect()
     assert [(r.k, r.v) for r in cur] == [("k1", "c")]
+    snaps = spark.read.parquet(log + "_snapshots")
+    assert sorted(r.batch_id for r in snaps.select("batch_id").distinct().collect()) == [0, 1]
+    spark.createDataFrame([("k3", 3, "z", False)], schema).write.parquet(os.path.join(src, "b3"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(src)
+    stream_latest_per_key(stream, ["k"], ["t"], log, ckpt, F.col("d"), snapshot_every=5)
+    cur = current_from_log(spark, log, ["k"], ["t"]).collect()   # snapshot of batch 1 + delta of batch 2
+    assert sorted((r.k, r.v) for r in cur) == [("k1", "c"), ("k3", "z")]
 
 
 def test_report_stream_flat_and_documents(spark, workdir):
