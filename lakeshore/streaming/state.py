@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakeshore.functions.dates import threshold_met
 from lakeshore.operators.history import latest_per_key
@@ -29,7 +30,8 @@ def write_batch_partition(df: DataFrame, path: str, batch_id: int, extra_partiti
      .partitionBy("batch_id", *extra_partitions).parquet(path))
 
 
-def read_log(spark: SparkSession, path: str, schema: str | None = None, before_batch: int | None = None
+def read_log(spark: SparkSession, path: str, schema: str | StructType | None = None,
+             before_batch: int | None = None
              ) -> DataFrame | None:
     """A change log written by ``write_batch_partition`` (None while it does not exist yet)."""
     try:
@@ -92,7 +94,7 @@ def _log_rows(spark: SparkSession, log_path: str, keys: Sequence[str], order: Se
               upto: int | None = None) -> DataFrame:
     """Latest row per key (deleted ones included) from the last snapshot and the deltas after it."""
     deltas = read_log(spark, log_path)
-    snaps = read_log(spark, f"{log_path}_snapshots", deltas.schema.simpleString()) \
+    snaps = read_log(spark, f"{log_path}_snapshots", deltas.schema) \
         if deltas is not None else None
     if upto is not None:
         deltas = deltas.where(F.col("batch_id") <= upto)
