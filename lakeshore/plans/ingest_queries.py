@@ -11,11 +11,18 @@ import os
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-
-from lakeshore.plans.ingest import (Customer, ingest_flat_reports, ingest_report_documents,
-                                    ingest_workflow_results)
-from lakeshore.plans.queries import FIXED_TIMESTAMP, run_id, table
+from pyspark.sql.types import StructType
+
+from lakeshore.operators import filters
+from lakeshore.operators.history import latest_objects
+from lakeshore.operators.validate import validate_schema
+from lakeshore.plans.ingest import (PARTITION_COLUMNS, Customer, create_database, ingest_flat_reports,
+                                    ingest_report_documents, ingest_workflow_results)
+from lakeshore.plans.queries import CUSTOMER_PREFIX, FIXED_TIMESTAMP, run_id, table
 from lakeshore.session import scratch_path
+from lakeshore.sinks.tables import create_or_update_table, overwrite_table, recover_partitions, write_parquet
+from lakeshore.sources.files import list_objects, parquet_schema
+from lakeshore.streaming.ingest import redrive
 
 ORDERS_PER_DOCUMENT = 500
 
@@ -57,6 +64,41 @@ FROM orders WHERE o_orderstatus <> 'P'
 """
 
 
+# ---- quarantine and redrive --------------------------------------------------------
+
+def redrive_ingest(spark, sf_dir):
+    """T2 with C5, K3, K6: finished orders land first with whole-number totals, so the table
+    types the total BIGINT; the other orders follow with real totals.  Totals that a BIGINT
+    would cut go to quarantine (never truncated).  The operator widens the table (a K3
+    rewrite as DOUBLE) and redrives the quarantine into it: the table then holds every order."""
+    landing, tables, db = _run_dirs(spark, "redrive")
+    quarantine = os.path.join(os.path.dirname(landing), "quarantine")
+    customer = Customer("acme", "c0ffee", ())
+    o = table(spark, sf_dir, "orders")
+    total = F.when(F.col("o_orderstatus") == "F", F.floor("o_totalprice").cast("string")) \
+        .otherwise(F.col("o_totalprice").cast("string"))
+    for batch, rows in (("b1", o.where(F.col("o_orderstatus") == "F")), ("b2", o.where(F.col("o_orderstatus") != "F"))):
+        (rows.select(F.lit("orders").alias("workflow"), F.lit("adhoc").alias("schedule"), "o_orderkey",
+                     "o_custkey", total.alias("o_totalprice"), "o_orderpriority")
+         .repartition(4).write.partitionBy("workflow", "schedule").option("header", True)
+         .csv(os.path.join(landing, batch)))
+        ingest_workflow_results(spark, os.path.join(landing, batch), db, customer, quarantine_path=quarantine,
+                                location_root=tables)
+    narrow = spark.table(f"{db}.acme_orders_adhoc")
+    overwrite_table(spark, narrow.withColumn("o_totalprice", F.col("o_totalprice").cast("double")),
+                    f"{db}.orders_wide", PARTITION_COLUMNS)
+    redrive(spark, os.path.join(quarantine, "acme_orders_adhoc"), db, "orders_wide",
+            os.path.join(quarantine, "acme_orders_adhoc_2"))
+    return spark.table(f"{db}.orders_wide").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+
+
+SQL_REDRIVE_INGEST = """
+SELECT o_orderkey, o_custkey,
+       CASE WHEN o_orderstatus = 'F' THEN floor(o_totalprice) ELSE o_totalprice END AS o_totalprice, o_orderpriority
+FROM orders
+"""
+
+
 # ---- flat JSON array reports (gzip) ------------------------------------------------
 
 def _line_record(sales_mixed: bool = True):
@@ -124,13 +166,54 @@ UNION ALL
 SELECT *, 'lines_report_databyreturn' AS table_name FROM l WHERE flag = 'R'
 """
 
+# ---- schema validation of the newest object of a table ------------------------------
+
+def schema_validation(spark, sf_dir):
+    """C9 with S6-S8, F9, W4, K4, K5: orders up to 2000 go through the catalog (a partitioned
+    table with properties); the 2001 export lands later as plain files with an added column.
+    The newest non-empty object under the table's location is checked against the catalog's
+    data columns (partition columns live in folder names, not in the files)."""
+    _, tables, db = _run_dirs(spark, "schema")
+    create_database(spark, db, tables)
+    location = os.path.join(tables, "orders")
+    o = table(spark, sf_dir, "orders").withColumn("export_year", F.date_format("o_orderdate", "yyyy"))
+    create_or_update_table(spark, o.where(F.col("export_year") < "2001"), f"{db}.orders", ["export_year"],
+                           {"customer_hash": CUSTOMER_PREFIX}, location=location)
+    later = o.where(F.col("export_year") == "2001").withColumn(
+        "o_discount", F.round(F.col("o_totalprice") * 0.05, 2))
+    write_parquet(later, location, ["export_year"], mode="append")
+    recover_partitions(spark, f"{db}.orders")
+    newest = latest_objects(filters.non_empty_objects(list_objects(spark, location, "*.parquet")),
+                            "modificationTime").first()
+    partition_cols = {c.name for c in spark.catalog.listColumns(f"{db}.orders") if c.isPartition}
+    catalog = spark.table(f"{db}.orders").schema
+    expected = StructType([f for f in catalog.fields if f.name not in partition_cols])
+    return validate_schema(spark, expected, parquet_schema(spark, newest.path))
+
+
+SQL_SCHEMA_VALIDATION = """
+WITH d AS (
+  SELECT lower(column_name) AS name,
+         CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+                          WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS t
+  FROM (DESCRIBE orders))
+SELECT name AS "column", t AS expected_type, t AS actual_type, true AS ok FROM d
+UNION ALL
+SELECT 'o_discount', NULL, 'double', false
+"""
+
+
 INGEST_QUERIES = {
     "csv_ingest": csv_ingest,
     "report_ingest": report_ingest,
     "document_ingest": document_ingest,
+    "schema_validation": schema_validation,
+    "redrive_ingest": redrive_ingest,
 }
 INGEST_ORACLE_SQL = {
     "csv_ingest": SQL_CSV_INGEST,
     "report_ingest": SQL_REPORT_INGEST,
     "document_ingest": SQL_DOCUMENT_INGEST,
+    "schema_validation": SQL_SCHEMA_VALIDATION,
+    "redrive_ingest": SQL_REDRIVE_INGEST,
 }
