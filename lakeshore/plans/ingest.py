@@ -20,11 +20,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from lakeshore.functions import paths as P
 from lakeshore.operators import filters, lookups, reports, typecast
 from lakeshore.operators.aggregates import observe_job_totals
+from lakeshore.session import materialize
 from lakeshore.sinks.tables import create_or_update_table
 from lakeshore.sources.files import list_objects, read_record_array_json, read_workflow_csv
 
@@ -71,16 +72,19 @@ def plan_workflow_files(listing: DataFrame, root: str, customer: Customer) -> Da
         F.date_format("modificationTime", "yyyy-MM-dd-HH-mm-ss").alias("file_last_modified"))
 
 
-def csv_header_groups(spark: SparkSession, source, table_files: DataFrame) -> list[list[str]]:
-    """The planned files of a table grouped by their header line, computed in Spark: the first
-    line of each file is the first row (in read order) of the split that starts the file."""
+def csv_header_groups(spark: SparkSession, source, table_files: DataFrame) -> tuple[DataFrame, list]:
+    """The planned files of a table with their header line, computed in Spark (the first line of
+    each file is the first row, in read order, of the split that starts the file).  Returns the
+    (file, header) table, written once to the shared folder, and one row per distinct header
+    (header, n files, first file): only the header variants reach the driver, not the files."""
     lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(source)
              .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
                      F.monotonically_increasing_id().alias("seq"), "value"))
-    heads = (lines.where(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "seq").alias("header"))
-             .join(table_files.select(F.col("_path").alias("file")), "file", "left_semi"))
-    groups = heads.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
-    return [g.files for g in sorted(groups, key=lambda g: g.files[0])]
+    heads = materialize(
+        lines.where(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "seq").alias("header"))
+        .join(table_files.select(F.col("_path").alias("file")), "file", "left_semi"), "csv_heads")
+    groups = heads.groupBy("header").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("first")).collect()
+    return heads, sorted(groups, key=lambda g: g.first)
 
 
 def _escape(text: str) -> str:
@@ -126,16 +130,24 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
             if "CSVHeaderChecker" not in str(exc) and "CSV header" not in str(exc):
                 raise
         merged = None
-        for group in csv_header_groups(spark, source, table_files):
-            part = load_source(t, table_files, group)
+        heads, groups = csv_header_groups(spark, source, table_files)
+        for g in groups:
+            files_of = heads.where(F.col("header") == g.header).select(F.col("file").alias("_path"))
+            if g.n <= max_listed_files:        # a bounded list of paths: read exactly those files
+                part = load_source(t, table_files, [r._path for r in files_of.collect()])
+            else:                              # too many to list: read the folders with this header's
+                header = read_workflow_csv(spark, g.first, with_attributes=False).schema   # columns, keep
+                part = load_source(t, table_files.join(files_of, "_path", "left_semi"),  # its files by join
+                                   source, header)
             if part is not None:
                 merged = part if merged is None else {
                     "types": {**merged["types"], **part["types"]},
                     "records": merged["records"] + part["records"], "files": t.files, "bytes_read": t.bytes}
         return merged
 
-    def load_source(t, table_files, source) -> dict | None:
-        raw = read_workflow_csv(spark, source)
+    def load_source(t, table_files, source, header: StructType | None = None) -> dict | None:
+        # with a header schema, files are read positionally and their own header lines are not checked
+        raw = read_workflow_csv(spark, source, schema=header, check_header=header is None)
         # planned files only, with their partition values (the file plan has t.files rows: a
         # proven bound for the broadcast; beyond it a shuffle join)
         plan_side = F.broadcast(table_files) if t.files <= 1_000_000 else table_files

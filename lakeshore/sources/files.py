@@ -23,18 +23,20 @@ def _file_attrs(df: DataFrame) -> DataFrame:
 
 
 def read_workflow_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType | None = None,
-                      with_attributes: bool = True, quote_parity: bool = False) -> DataFrame:
+                      with_attributes: bool = True, quote_parity: bool = False, check_header: bool = True
+                      ) -> DataFrame:
     """CSV results with a header, every column as text.
 
     Blank lines are skipped by the reader; ``\\`` escapes quotes, so a quoted
     ``it\\"s`` reads as ``it"s`` (``quote_parity=True`` gives ``it's``, as the
     reference's pre-parse replacement does).  Missing-value words are *not* handled here
     (the reader knows one ``nullValue`` only); C10 does it.  With a ``schema``
-    (all strings, for streaming) no header inference pass is needed.
+    (all strings, for streaming) no header inference pass is needed; ``check_header=False``
+    then skips each file's header line without comparing it with the schema.
     """
     reader = (spark.read.option("header", True).option("escape", "\\").option("multiLine", False)
               .option("recursiveFileLookup", True)
-              .option("inferSchema", False).option("mode", "PERMISSIVE").option("enforceSchema", False))
+              .option("inferSchema", False).option("mode", "PERMISSIVE").option("enforceSchema", not check_header))
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.csv(list(paths) if not isinstance(paths, str) else paths)

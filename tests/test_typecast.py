@@ -125,3 +125,16 @@ def test_changed_header_within_one_batch(spark, workdir):
     assert res["p_w_adhoc"]["records"] == 2
     rows = spark.table("hdr_db.p_w_adhoc").orderBy("n").collect()
     assert [(r.n, r.v, r.extra_cost) for r in rows] == [(1, "a", None), (2, "b", 1.5)]
+
+
+def test_changed_header_read_by_folder_scan(spark, workdir):
+    # with no room for file lists, each header group is read from the table folders with its
+    # own columns and keeps its files by a join (nothing per file reaches the driver)
+    root = os.path.join(workdir, "hdr2")
+    _write(f"{root}/workflow=w/schedule=adhoc/2023-05-01-a.csv", "n,v\n1,a\n3,c\n")
+    _write(f"{root}/workflow=w/schedule=adhoc/2023-05-02-b.csv", "n,v,extra_cost\n2,b,1.5\n")
+    res = ingest_workflow_results(spark, root, "hdr2_db", Customer("p", "h", ()),
+                                  location_root=os.path.join(workdir, "t"), max_listed_files=0)
+    assert res["p_w_adhoc"]["records"] == 3
+    rows = spark.table("hdr2_db.p_w_adhoc").orderBy("n").collect()
+    assert [(r.n, r.v, r.extra_cost) for r in rows] == [(1, "a", None), (2, "b", 1.5), (3, "c", None)]
