@@ -85,7 +85,20 @@ def create_or_update_table(spark: SparkSession, df: DataFrame, name: str, partit
     have = set(df.columns)
     aligned = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in have
                           else F.lit(None).cast(f.dataType).alias(f.name) for f in target.fields])
-    aligned.write.insertInto(name, overwrite=overwrite_partitions)
+    if not overwrite_partitions:
+        aligned.write.insertInto(name)
+        return
+    # replace only the batch's partitions, whatever the session's default mode is
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "dynamic")
+    try:
+        aligned.write.insertInto(name, overwrite=True)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def overwrite_table(spark: SparkSession, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:

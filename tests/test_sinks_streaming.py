@@ -145,3 +145,17 @@ def test_stream_alerts_over_many_batches_match_batch(spark, workdir):
     assert got.count() > 0
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
     assert want.select(*cols).exceptAll(got.select(*cols)).count() == 0
+
+
+def test_partition_overwrite_keeps_other_partitions(spark, workdir):
+    loc = os.path.join(workdir, "po")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        a = spark.createDataFrame([(1, "p1"), (2, "p2")], "id bigint, part string")
+        create_or_update_table(spark, a, "po_t", ["part"], location=loc)
+        b = spark.createDataFrame([(3, "p2")], "id bigint, part string")
+        create_or_update_table(spark, b, "po_t", ["part"], overwrite_partitions=True)
+        assert sorted((r.id, r.part) for r in spark.table("po_t").collect()) == [(1, "p1"), (3, "p2")]
+        assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == "static"
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
