@@ -38,20 +38,37 @@ def parse_workflow_key(key) -> Column:
     )
 
 
+_SLOT = "\u0001"     # separator of the parts of one match (never part of a key)
+
+
+def _slots(text: Column, pattern: str, groups: Sequence[int | None]) -> Column:
+    """The capture groups of ONE match laid out in fixed slots (None -> empty slot): a single
+    ``regexp_replace`` over the matched text instead of one ``regexp_extract`` per group.
+    A trailing catch-all drops whatever follows the match, as ``regexp_extract`` would."""
+    template = _SLOT.join(f"${g}" if g else "" for g in groups)
+    return F.split(F.regexp_replace(text, f"{pattern}(?s:.*)", template), _SLOT)
+
+
 def parse_file_timestamp(file_name) -> Column:
-    """Timestamped or dated file name -> its parts and a path-safe timestamp text."""
+    """Timestamped or dated file name -> its parts and a path-safe timestamp text.
+
+    Which layout matches is tested once per layout; the parts of the matching layout come
+    from one array expression that every field reads, so Catalyst evaluates it once per
+    row (common subexpression) rather than once per part.
+    """
     name = _col(file_name)
     timed = name.rlike(FILE_WITH_TIME)
     dated = ~timed & name.rlike(FILE_WITH_DATE)
+    parts = (F.when(timed, _slots(name, FILE_WITH_TIME, range(1, 10)))
+             .when(dated, _slots(name, FILE_WITH_DATE, (1, 2, 3, None, None, None, None, 4, 5)))
+             .otherwise(F.array_repeat(F.lit(""), 9)))
 
-    def part(i_time: int, i_date: int | None) -> Column:
-        from_date = F.regexp_extract(name, FILE_WITH_DATE, i_date) if i_date else F.lit("")
-        return (F.when(timed, F.regexp_extract(name, FILE_WITH_TIME, i_time))
-                .when(dated, from_date).otherwise(F.lit("")))
+    def part(i: int) -> Column:
+        return F.get(parts, i)
 
-    year, month, day = part(1, 1), part(2, 2), part(3, 3)
-    hour, minute, second, milli = part(4, None), part(5, None), part(6, None), part(7, None)
-    basename, extension = part(8, 4), part(9, 5)
+    year, month, day = part(0), part(1), part(2)
+    hour, minute, second, milli = part(3), part(4), part(5), part(6)
+    basename, extension = part(7), part(8)
     stamp = (F.when(timed, F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit("T"), hour, F.lit("-"),
                                     minute, F.lit("-"), second, F.lit("-"), milli, F.lit("Z")))
              .when(dated, F.concat_ws("-", year, month, day)).otherwise(F.lit("")))

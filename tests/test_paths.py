@@ -94,3 +94,21 @@ def test_unknown_event_shape_is_an_error(spark):
         df.select(normalize_event("e").alias("n")).collect()
     lenient = df.select(normalize_event("e", strict=False).alias("n")).first().n
     assert lenient.bucket is None
+
+
+def test_file_timestamp_parts_equal_group_extraction(spark):
+    # one match laid out in slots gives exactly what one regexp_extract per group gives
+    names = ["2024-01-02T03:04:05.678Z-a$1b\\c.csv", "2020-02-04-geo-ver2.csv\nextra",
+             "2020-02-04T01:02:03.004Z-x.tar.gz", "2020-02-04-.csv", "2020-2-4-x.csv", ""]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    ft = P.parse_file_timestamp("n")
+    timed = F.col("n").rlike(P.FILE_WITH_TIME)
+    dated = ~timed & F.col("n").rlike(P.FILE_WITH_DATE)
+
+    def ref(i_time, i_date):
+        d = F.regexp_extract("n", P.FILE_WITH_DATE, i_date) if i_date else F.lit("")
+        return F.when(timed, F.regexp_extract("n", P.FILE_WITH_TIME, i_time)).when(dated, d).otherwise("")
+
+    got = df.select("n", ft.year, ft.month, ft.day, ft.hour, ft.millisecond, ft.basename, ft.extension)
+    want = df.select("n", ref(1, 1), ref(2, 2), ref(3, 3), ref(4, None), ref(7, None), ref(8, 4), ref(9, 5))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
