@@ -1,6 +1,6 @@
 """Object-key and path parsing as Spark column expressions.
 
-All of these are ``regexp_extract`` / ``split`` / ``concat`` projections, so
+All of these are regex / ``split`` / ``concat`` projections, so
 they stay inside whole-stage codegen and run wherever the rows already are: no
 shuffle, no Python.
 """
@@ -30,12 +30,8 @@ def _col(c) -> Column:
 
 def parse_workflow_key(key) -> Column:
     """``workflow=W/schedule=S/file`` -> struct(workflow, schedule, file_name); '' when absent."""
-    key = _col(key)
-    return F.struct(
-        F.regexp_extract(key, WORKFLOW_KEY, 1).alias("workflow"),
-        F.regexp_extract(key, WORKFLOW_KEY, 2).alias("schedule"),
-        F.regexp_extract(key, WORKFLOW_KEY, 3).alias("file_name"),
-    )
+    g = _groups(_col(key), WORKFLOW_KEY, 3)
+    return F.struct(F.get(g, 0).alias("workflow"), F.get(g, 1).alias("schedule"), F.get(g, 2).alias("file_name"))
 
 
 _SLOT = "\u0001"     # separator of the parts of one match (never part of a key)
@@ -49,6 +45,11 @@ def _slots(text: Column, pattern: str, groups: Sequence[int | None]) -> Column:
     return F.split(F.regexp_replace(text, f"{pattern}(?s:.*)", template), _SLOT)
 
 
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """Groups 1..n of one match of ``pattern`` (all '' when it does not match, as ``regexp_extract``)."""
+    return F.when(text.rlike(pattern), _slots(text, pattern, range(1, n + 1))).otherwise(F.array_repeat(F.lit(""), n))
+
+
 def parse_file_timestamp(file_name) -> Column:
     """Timestamped or dated file name -> its parts and a path-safe timestamp text.
 
@@ -86,9 +87,9 @@ def parse_version(basename) -> Column:
 
 def parse_report_key(key) -> Column:
     """``team/dataset/table/file.ext`` -> struct of the five parts ('' when not matching)."""
-    key = _col(key)
     names = ("team", "dataset", "table", "file_name", "file_extension")
-    return F.struct(*[F.regexp_extract(key, REPORT_KEY, i + 1).alias(n) for i, n in enumerate(names)])
+    g = _groups(_col(key), REPORT_KEY, len(names))
+    return F.struct(*[F.get(g, i).alias(n) for i, n in enumerate(names)])
 
 
 def sanitize_table_name(name) -> Column:
