@@ -110,13 +110,18 @@ def _line_record(sales_mixed: bool = True):
                     F.lit(',"sales":'), sales, F.lit(',"flag":"'), F.col("l_returnflag"), F.lit('"}'))
 
 
-def report_ingest(spark, sf_dir):
-    """Lineitem landed as gzip'd JSON-array reports, one per block of orders; ``sales`` mixes int and double."""
-    landing, tables, db = _run_dirs(spark, "flat")
+def land_line_reports(spark, sf_dir, landing: str) -> None:
+    """Lineitem as gzip'd JSON-array reports, one file per block of orders (a bounded group)."""
     li = table(spark, sf_dir, "lineitem")
     docs = (li.groupBy(F.floor(F.col("l_orderkey") / ORDERS_PER_DOCUMENT).alias("doc"))
             .agg(F.concat(F.lit("["), F.array_join(F.collect_list(_line_record()), ","), F.lit("]")).alias("value")))
     docs.write.partitionBy("doc").option("compression", "gzip").text(landing)
+
+
+def report_ingest(spark, sf_dir):
+    """Lineitem landed as gzip'd JSON-array reports, one per block of orders; ``sales`` mixes int and double."""
+    landing, tables, db = _run_dirs(spark, "flat")
+    land_line_reports(spark, sf_dir, landing)
     loaded = ingest_flat_reports(spark, landing, db, "lineitem_report", FIXED_TIMESTAMP, location_root=tables)
     return loaded.select("l_orderkey", "l_linenumber", "sales", "flag",
                          F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))

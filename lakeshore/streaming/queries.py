@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from lakeshore.plans import queries as Q
 from lakeshore.plans.ingest import Customer
-from lakeshore.plans.ingest_queries import SQL_CSV_INGEST
+from lakeshore.plans.ingest_queries import SQL_CSV_INGEST, SQL_REPORT_INGEST, land_line_reports
 from lakeshore.session import scratch_path
-from lakeshore.streaming.ingest import ingest_stream
+from lakeshore.streaming.ingest import ingest_stream, report_stream
 from lakeshore.streaming import state as S
 from lakeshore.streaming.state import (current_from_log, run_available_now, stream_latest_per_key,
                                        write_batch_partition)
@@ -129,12 +129,27 @@ def stream_csv_ingest(spark, sf_dir):
     return out
 
 
+def stream_report_ingest(spark, sf_dir):
+    """T1 for flat reports: gzip'd JSON-array reports drained by the report stream, at most ten
+    files per micro-batch; each batch infers its own schema and the table evolves and conforms."""
+    base = _dirs(spark, "reports")
+    landing, tables = os.path.join(base, "landing"), os.path.join(base, "tables")
+    db = f"lake_reports_{Q.run_id()}"
+    land_line_reports(spark, sf_dir, landing)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
+    report_stream(spark, landing, db, "lineitem_report", os.path.join(base, "checkpoint"),
+                  location_root=tables, max_files=10, timestamp=Q.FIXED_TIMESTAMP)
+    return spark.table(f"`{db}`.lineitem_report").select(
+        "l_orderkey", "l_linenumber", "sales", "flag", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
 STREAM_QUERIES = {
     "stream_daily_metrics": stream_daily_metrics,
     "stream_object_catalog": stream_object_catalog,
     "stream_metric_alerts": stream_metric_alerts,
     "stream_csv_ingest": stream_csv_ingest,
     "stream_execution_status": stream_execution_status,
+    "stream_report_ingest": stream_report_ingest,
 }
 STREAM_ORACLE_SQL = {
     "stream_daily_metrics": Q.SQL_DAILY_METRICS,
@@ -142,6 +157,7 @@ STREAM_ORACLE_SQL = {
     "stream_metric_alerts": Q.SQL_METRIC_ALERTS,
     "stream_csv_ingest": SQL_CSV_INGEST,
     "stream_execution_status": SQL_STREAM_EXECUTION_STATUS,
+    "stream_report_ingest": SQL_REPORT_INGEST,
 }
 
 __all__ = ["STREAM_QUERIES", "STREAM_ORACLE_SQL", "run_available_now", "write_batch_partition"]
