@@ -137,9 +137,8 @@ FROM lineitem
 
 # ---- JSON report documents ---------------------------------------------------------
 
-def document_ingest(spark, sf_dir):
-    """Report documents with a specification and two arrays, split into one table per array."""
-    landing, tables, db = _run_dirs(spark, "doc")
+def land_line_documents(spark, sf_dir, landing: str) -> None:
+    """Lineitem as gzip'd report documents: a specification and two arrays per block of orders."""
     li = table(spark, sf_dir, "lineitem")
     rec = _line_record()
     spec = F.concat(F.lit('{"reportType":"LINES","dataStartTime":"'),
@@ -150,7 +149,13 @@ def document_ingest(spark, sf_dir):
                           F.lit('],"dataByReturn":['),
                           F.array_join(F.collect_list(F.when(F.col("l_returnflag") == "R", rec)), ","),
                           F.lit("]}")).alias("value")))
-    docs.write.partitionBy("doc").option("compression", "gzip").text(landing + "_json")
+    docs.write.partitionBy("doc").option("compression", "gzip").text(landing)
+
+
+def document_ingest(spark, sf_dir):
+    """Report documents with a specification and two arrays, split into one table per array."""
+    landing, tables, db = _run_dirs(spark, "doc")
+    land_line_documents(spark, sf_dir, landing + "_json")
     written = ingest_report_documents(spark, landing + "_json", db, "lines_report", FIXED_TIMESTAMP,
                                       location_root=tables)
     frames = [df.select("l_orderkey", "l_linenumber", "sales", "flag", F.lit(name.lower()).alias("table_name"))

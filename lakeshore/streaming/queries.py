@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from lakeshore.plans import queries as Q
 from lakeshore.plans.ingest import Customer
-from lakeshore.plans.ingest_queries import SQL_CSV_INGEST, SQL_REPORT_INGEST, land_line_reports
+from lakeshore.plans.ingest_queries import (SQL_CSV_INGEST, SQL_DOCUMENT_INGEST, SQL_REPORT_INGEST,
+                                            land_line_documents, land_line_reports)
 from lakeshore.session import scratch_path
 from lakeshore.streaming.ingest import ingest_stream, report_stream
 from lakeshore.streaming import state as S
@@ -143,6 +144,24 @@ def stream_report_ingest(spark, sf_dir):
         "l_orderkey", "l_linenumber", "sales", "flag", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
 
 
+def stream_document_ingest(spark, sf_dir):
+    """T1 for report documents: each micro-batch of documents is split into one table per array."""
+    base = _dirs(spark, "documents")
+    landing, tables = os.path.join(base, "landing"), os.path.join(base, "tables")
+    db = f"lake_documents_{Q.run_id()}"
+    land_line_documents(spark, sf_dir, landing)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
+    report_stream(spark, landing, db, "lines_report", os.path.join(base, "checkpoint"), documents=True,
+                  location_root=tables, max_files=10, timestamp=Q.FIXED_TIMESTAMP)
+    names = sorted(r.tableName for r in spark.sql(f"SHOW TABLES IN `{db}`").collect() if not r.isTemporary)
+    frames = [spark.table(f"`{db}`.`{n}`").select("l_orderkey", "l_linenumber", "sales", "flag",
+                                                   F.lit(n.lower()).alias("table_name")) for n in names]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 STREAM_QUERIES = {
     "stream_daily_metrics": stream_daily_metrics,
     "stream_object_catalog": stream_object_catalog,
@@ -150,6 +169,7 @@ STREAM_QUERIES = {
     "stream_csv_ingest": stream_csv_ingest,
     "stream_execution_status": stream_execution_status,
     "stream_report_ingest": stream_report_ingest,
+    "stream_document_ingest": stream_document_ingest,
 }
 STREAM_ORACLE_SQL = {
     "stream_daily_metrics": Q.SQL_DAILY_METRICS,
@@ -158,6 +178,7 @@ STREAM_ORACLE_SQL = {
     "stream_csv_ingest": SQL_CSV_INGEST,
     "stream_execution_status": SQL_STREAM_EXECUTION_STATUS,
     "stream_report_ingest": SQL_REPORT_INGEST,
+    "stream_document_ingest": SQL_DOCUMENT_INGEST,
 }
 
 __all__ = ["STREAM_QUERIES", "STREAM_ORACLE_SQL", "run_available_now", "write_batch_partition"]
