@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from lakeshore.functions.dates import threshold_met
 from lakeshore.operators.history import latest_per_key
@@ -48,7 +48,7 @@ def read_log(spark: SparkSession, path: str, schema: str | StructType | None = N
     return df
 
 
-def init_log(spark: SparkSession, path: str, schema: str) -> None:
+def init_log(spark: SparkSession, path: str, schema: str | StructType) -> None:
     """Create a change log with its schema (an empty append, harmless when it exists), so the
     first micro-batch reads an empty log instead of a missing folder."""
     spark.createDataFrame([], schema).write.mode("append").parquet(path)
@@ -80,6 +80,9 @@ def stream_latest_per_key(stream: DataFrame, keys: Sequence[str], order: Sequenc
     latest = flagged.groupBy(*keys).agg(
         F.max_by(F.struct(*[F.col(c) for c in payload + ["_deleted"]]),
                  F.struct(*[F.col(c) for c in order])).alias("_row"))
+    # the snapshot log exists (empty) from the start, so reading it never meets a missing folder
+    snapshot_schema = StructType([*latest.select(*keys, "_row.*").schema.fields]).add("batch_id", LongType())
+    init_log(spark, f"{log_path}_snapshots", snapshot_schema)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch_partition(batch.select(*keys, "_row.*"), log_path, batch_id)
