@@ -11,7 +11,9 @@ SQL = E.oracle_sql()
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(SQL)
+    # queries of the training-data subpackage have SQL only where SQL can express them
+    own = {name for name in QUERIES if name != "pipeline" and not name.startswith("op")}
+    assert own <= set(SQL) <= set(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +21,7 @@ def con():
     return duck(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
     assert compare(df, con, SQL[name]) == []
