@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.llm import chunk_prints, line_chunks, mixing, packing
+from lakeshore.llm import chunk_prints, lattice, line_chunks, mixing, ngram_join, packing, prefix_forest, wrappers, zip_warc
 from lakeshore.llm import toxicity as tox
 from lakeshore.llm.common import table, text_batches, word_count
 
@@ -27,16 +27,39 @@ def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens")), "n_tokens")
 
 
+def op4_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return lattice.score(table(spark, sf_dir, "documents"), held_out)
+
+
+def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return prefix_forest.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
 def op6_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_batches(spark)
     return chunk_prints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zip_warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tox.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_line_chunks, op3_length_buckets, op6_chunk_fingerprints,
-                                   op10_toxicity_chain)}
+QUERIES = {f.__name__: f for f in (
+    op1_mixing, op2_line_chunks, op3_length_buckets, op4_lattice_likelihood, op5_prefix_forest, op6_chunk_fingerprints,
+    op7_ngram_join, op8_zip_warc, op9_wrapper_induction, op10_toxicity_chain)}
 
 ORACLE_SQL: dict[str, str] = {}
