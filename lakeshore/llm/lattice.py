@@ -1,17 +1,18 @@
 """Subword lattice likelihood (operator 4).
 
-A text is words and one end.  With a blank put before each word, a word's probability is the sum over
-all its segmentations into vocabulary pieces of the product of the pieces' probabilities: the forward
-recursion over a lattice of byte positions, in log space.  As only the first piece of a word holds the
-blank, the marginal of a text is the product of its words' marginals and the end's probability.
+A text is words and one end.  With a blank put before each word, a word's spelling has the summed
+probability of all its segmentations into vocabulary pieces, each the product of its pieces'
+probabilities: the forward recursion over a lattice of byte positions, in log space.  As only the first
+piece of a word holds the blank, the marginal of a text is the product over its words and its end.
 
 A piece has one probability for each place in a word (WHOLE, INITIAL, MIDDLE, FINAL).  At a word's start
-the whole and initial ones and the text's end sum to one, inside it the middle and final ones, so the
-probabilities of all texts sum to one.
+the whole and initial ones sum to one, inside it the middle and final ones.  A word of the training
+documents is an arc of its own too, of probability (c - d) / N; the discounts d of all of them are the
+weight of the subword arcs, which so tell how new words are spelt.  All texts' probabilities sum to one.
 
 The vocabulary is an existing tokenizer's (a file, never trained here); its scores start the
-probabilities and a few rounds of expectation-maximisation fit them to the training documents' words.
-Single bytes are pieces, so every text has a segmentation.
+probabilities and a few rounds of expectation-maximisation fit them to the training documents' distinct
+words.  Single bytes are pieces, so every text has a segmentation.
 
 Words are counted over the whole corpus and scored once each.  A document's sum needs its words' values:
 the most frequent ``top_words`` words go to every task, the others are joined by word.
@@ -215,27 +216,28 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _normalised(n: np.ndarray, train_docs: float) -> tuple[np.ndarray, float]:
-    """Log probabilities [place, piece] (-inf for the missing piece) and the end's, from (expected) counts."""
-    start = n[WHOLE].sum() + n[INITIAL].sum() + train_docs
-    inside = n[MIDDLE].sum() + n[FINAL].sum()
+def _normalised(n: np.ndarray) -> np.ndarray:
+    """Log probabilities [place, piece] (-inf for the missing piece) from (expected) counts."""
+    start, inside = n[WHOLE].sum() + n[INITIAL].sum(), n[MIDDLE].sum() + n[FINAL].sum()
     logp = np.log(n / np.array([start, start, inside, inside])[:, None])
-    return np.hstack([logp, np.full((4, 1), -np.inf)]), float(np.log(train_docs / start))
+    return np.hstack([logp, np.full((4, 1), -np.inf)])
 
 
-def fit_pieces(words: DataFrame, train_docs: int, vocabulary: str = VOCABULARY, rounds: int = ROUNDS):
-    """Pieces, their log probabilities by place and the end's, after ``rounds`` of expectation-maximisation."""
+def fit_pieces(words: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray]:
+    """Pieces and their log probabilities by place, after ``rounds`` of expectation-maximisation.
+
+    Every distinct training word counts once: the subword arcs spell words that are new.
+    """
     pieces, first = read_vocabulary(vocabulary)
-    logp, end = _normalised(np.tile(np.exp(first), (4, 1)), 0.01)
+    logp = _normalised(np.tile(np.exp(first), (4, 1)))
     smooth = np.array([SMOOTH_BYTE if len(p) == 1 else SMOOTH for p in pieces])
-    trained = words.filter(F.col("c") > 0)
+    trained = words.filter(F.col("c") > 0).select("word")
     for _ in range(rounds):
         def step(batches: Iterator[pa.RecordBatch], logp=logp) -> Iterator[pa.RecordBatch]:
             table, into = Pieces(pieces), np.zeros((4, len(pieces) + 1))
-            for ws, cs in _in_chunks(batches):
-                weight = np.array(cs, dtype=float)
+            for (ws,) in _in_chunks(batches):
                 for at, block in by_length(ws):
-                    expected(table.lattice(block), logp, weight[at], into)
+                    expected(table.lattice(block), logp, np.ones(len(at)), into)
             place, piece = np.nonzero(into[:, :-1])
             yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(piece, pa.int64()), pa.array(into[place, piece])],
                                              names=["place", "piece", "n"])
@@ -246,18 +248,22 @@ def fit_pieces(words: DataFrame, train_docs: int, vocabulary: str = VOCABULARY,
         n = np.tile(smooth, (4, 1))
         for r in got:
             n[r["place"], r["piece"]] += r["n"]
-        logp, end = _normalised(n, train_docs + SMOOTH_BYTE)
-    return pieces, logp, end
+        logp = _normalised(n)
+    return pieces, logp
 
 
-def score_words(words: DataFrame, pieces: list[bytes], logp: np.ndarray) -> DataFrame:
-    """word, c, lp: log10 of the word's marginal probability."""
+def score_words(words: DataFrame, pieces: list[bytes], logp: np.ndarray, discount: float, total: float,
+                spare: float) -> DataFrame:
+    """word, c, lp: log10 of (c - discount) / total + spare * the spelling's marginal probability."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Pieces(pieces)
         for ws, cs in _in_chunks(batches):
-            out = np.zeros(len(ws))
+            spelt = np.zeros(len(ws))
             for at, block in by_length(ws):
-                out[at] = forward(table.lattice(block), logp)[:, -1] / LN10
+                spelt[at] = forward(table.lattice(block), logp)[:, -1]
+            with np.errstate(divide="ignore"):
+                known = np.log(np.maximum(np.array(cs, dtype=float) - discount, 0.0) / total)
+            out = np.logaddexp(known, spelt + np.log(spare)) / LN10
             yield pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), pa.array(cs, pa.int64()), pa.array(out)],
                                              names=["word", "c", "lp"])
     return words.mapInArrow(score, "word binary, c long, lp double")
@@ -292,14 +298,19 @@ def score(docs: DataFrame, held_out, vocabulary: str = VOCABULARY, rounds: int =
                        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     counted = written(count_words(rows), "lm-counts")
     train_docs = rows.filter(~F.col("held_out")).count()
-    n, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    once = lambda k: F.count(F.when(F.col("c") == k, 1))
+    n, v, n1, n2 = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), once(1), once(2)).first()
+    # absolute discounting; without training words everything is spelt and an end has odds of 1 in 100
+    discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+    end_p = train_docs / (n + train_docs) if n and train_docs else 0.01
+    spare = discount * v / (n + train_docs) if v else 1.0 - end_p
+    pieces, logp = fit_pieces(counted, vocabulary, rounds)
     n, v = n + train_docs, v + (train_docs > 0)
-    pieces, logp, end = fit_pieces(counted, train_docs, vocabulary, rounds)
-    words = written(score_words(counted, pieces, logp), "lm-words")
+    words = written(score_words(counted, pieces, logp, discount, float(max(n, 1)), spare), "lm-words")
     space = float(n + v + 1)
     top = spark.sparkContext.broadcast({bytes(r["word"]): (r["c"], r["lp"]) for r in frequent(words, top_words).collect()})
     # the end's terms
-    end_base, end_lp, end_known = float(np.log10((train_docs + 1) / space)), end / LN10, int(train_docs > 0)
+    end_base, end_lp, end_known = float(np.log10((train_docs + 1) / space)), float(np.log10(end_p)), int(train_docs > 0)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: (c > 0, float(np.log10((c + 1) / space)), lp) for w, (c, lp) in top.value.items()}

@@ -239,3 +239,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     """Fit the chain on ``labels`` and score every row of ``docs``."""
     chain = fit_chain(labelled_documents(docs, labels), [*SEEDS, "toxic"], max_train=max_train)
     return score_chain(docs, chain)
+
+
+def toxic_column(chain: list[Link], text: Column, threshold: float = THRESHOLD) -> Column:
+    """The chain's last decision as a column, for filters that keep whole rows (Arrow batches)."""
+    import pandas as pd
+    known = frozenset(w for x in chain for w in x.weights)
+
+    @F.pandas_udf("boolean")
+    def decide(texts: pd.Series) -> pd.Series:
+        odds = [chain_log_odds(chain, known & words(t))[-1] if chain else -np.inf for t in texts]
+        return pd.Series(1 / (1 + np.exp(-np.clip(np.array(odds, dtype=float), -700, 700))) >= threshold)
+
+    return decide(text.cast("binary"))
