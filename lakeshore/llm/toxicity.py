@@ -1,30 +1,33 @@
 """Toxicity by classifier chains (operator 10).
 
-Categories are predicted one after the other.  Each has a linear (logistic) model over the words a text
-contains and over the log-odds that the earlier categories got.  In training those are out-of-fold
+Categories are predicted one after the other.  Each has a linear (logistic) model over the words and word beginnings of
+a text and over the log-odds that the earlier categories got.  In training those are out-of-fold
 predictions, so a later model learns how far the earlier ones can be trusted on unseen texts.
 
 The chain is fitted in one task on a bounded sample of labelled rows (``max_train``); the fitted chain
-is at most ``max_features`` words a category.  Scoring runs over all rows.
+is at most ``max_features`` words and stems a category.  Scoring runs over all rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeshore.llm.common import text_batches
+from lakeshore.llm.common import text_batches, written
 
-MAX_TRAIN, MAX_FEATURES, FOLDS = 10_000, 128, 5
+MAX_TRAIN, MAX_FEATURES, FOLDS = 10_000, 256, 5
 #: a word must be in so many training texts, and its rate differ by so many standard errors, to be a feature
-LEAST_DF, LEAST_Z = 3, 4.0
-RIDGE = 1.0
+LEAST_DF, LEAST_Z = 3, 6.0
+RIDGE = 0.3
 THRESHOLD = 0.5
 
 #: weak labels of the two narrower categories: a toxic row that has one of these words
@@ -35,11 +38,33 @@ _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORDS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in _FOLD)
 
 
+#: beginnings of words (bytes) that are features too, so that inflected forms count together
+STEMS = (5, 6, 7)
+#: a stem's feature for each of these numbers of different words that have it
+STEM_WORDS = (1, 2, 4)
+
+
 def words(text: bytes | None) -> set[bytes]:
     """Lower-cased runs of letters (and of anything outside ASCII)."""
     return set(text.translate(_WORDS).split()) if text else set()
 
 
+def features(text: bytes | None, stems: frozenset[bytes] | None = None) -> set[bytes]:
+    """The words and, as "number stem", the stems that so many of them begin with (of ``stems`` only, if given)."""
+    found = words(text)
+    if stems is None:
+        count = Counter([w[:k] for w in found for k in STEMS if len(w) > k])
+    else:
+        count = Counter([w[:k] for w in found if w[:STEMS[0]] in stems for k in STEMS if len(w) > k])
+    return found.union(b"%d %s" % (n, s) for s, k in count.items() for n in STEM_WORDS if k >= n)
+
+
+def known_features(chain: list[Link]) -> tuple[frozenset[bytes], frozenset[bytes]]:
+    """The features of a chain, and the shortest stems among them."""
+    known = frozenset(w for x in chain for w in x.weights)
+    return known, frozenset(w.partition(b" ")[2][:STEMS[0]] for w in known if b" " in w)
+
+
 @dataclass
 class Link:
     """One category's model: word weights, weights of the earlier categories' log-odds, intercept."""
@@ -77,38 +102,30 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
-def _fit_link(category: str, docs: list[set[bytes]], before: np.ndarray, y: np.ndarray, max_features: int) -> Link:
-    """Words whose rate differs most between the classes, then the weights of words and earlier categories."""
-    df, pos = {}, {}
-    for d, t in zip(docs, y):
-        for w in d:
-            df[w] = df.get(w, 0) + 1
-            if t:
-                pos[w] = pos.get(w, 0) + 1
+def _fit_link(category: str, docs: list[np.ndarray], vocabulary: list[bytes], before: np.ndarray, y: np.ndarray,
+              max_features: int) -> Link:
+    """Features whose rate differs most between the classes, then the weights of them and of earlier categories."""
     n, n1 = len(docs), float(y.sum())
     link = Link(category, earlier=[0.0] * before.shape[1])
     if not 0 < n1 < n:
         link.intercept = float(np.log((n1 + 0.5) / (n - n1 + 0.5)))
         return link
-    ranked = []
-    for w, k in df.items():
-        if k >= LEAST_DF:
-            rate = k / n
-            z = (pos.get(w, 0) / n1 - (k - pos.get(w, 0)) / (n - n1)) / np.sqrt(
-                max(rate * (1 - rate), 1e-9) * (1 / n1 + 1 / (n - n1)))
-            if abs(z) >= LEAST_Z:
-                ranked.append((-abs(z), w))
-    chosen = [w for _, w in sorted(ranked)[:max_features]]
-    at = {w: i for i, w in enumerate(chosen)}
+    flat, row = np.concatenate(docs), np.repeat(np.arange(n), [len(d) for d in docs])
+    df = np.bincount(flat, minlength=len(vocabulary))
+    pos = np.bincount(flat[y[row]], minlength=len(vocabulary))
+    rate = df / n
+    z = np.abs(pos / n1 - (df - pos) / (n - n1)) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n1 + 1 / (n - n1)))
+    good = np.flatnonzero((df >= LEAST_DF) & (z >= LEAST_Z))
+    chosen = sorted(good.tolist(), key=lambda i: (-z[i], vocabulary[i]))[:max_features]
+    at = np.full(len(vocabulary), -1)
+    at[chosen] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen) + before.shape[1] + 1))
-    for i, d in enumerate(docs):
-        for w in d:
-            if w in at:
-                x[i, at[w]] = 1.0
+    hit = at[flat] >= 0
+    x[row[hit], at[flat[hit]]] = 1.0
     x[:, len(chosen):-1] = before
     x[:, -1] = 1.0
     beta = _logistic(x, y.astype(float))
-    link.weights = {w: float(beta[i]) for w, i in at.items()}
+    link.weights = {vocabulary[i]: float(b) for i, b in zip(chosen, beta)}
     link.earlier = [float(b) for b in beta[len(chosen):-1]]
     link.intercept = float(beta[-1])
     return link
@@ -116,7 +133,10 @@ def _fit_link(category: str, docs: list[set[bytes]], before: np.ndarray, y: np.n
 
 def fit(docs: list[set[bytes]], labels: np.ndarray, folds: np.ndarray, categories: list[str],
         max_features: int = MAX_FEATURES) -> list[Link]:
-    """The chain over labelled word sets; ``labels`` has a column per category, in chain order."""
+    """The chain over labelled feature sets; ``labels`` has a column per category, in chain order."""
+    vocabulary = sorted({w for d in docs for w in d})
+    number = {w: i for i, w in enumerate(vocabulary)}
+    coded = [np.sort(np.array([number[w] for w in d], dtype=np.int64)) for d in docs]
     chain: list[Link] = []
     before = np.zeros((len(docs), 0))  # out-of-fold log-odds of the categories so far
     for c, category in enumerate(categories):
@@ -124,11 +144,11 @@ def fit(docs: list[set[bytes]], labels: np.ndarray, folds: np.ndarray, categorie
         out = np.zeros(len(docs))
         for f in np.unique(folds):
             train, test = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
-            link = (_fit_link(category, [docs[i] for i in train], before[train], y[train], max_features)
+            link = (_fit_link(category, [coded[i] for i in train], vocabulary, before[train], y[train], max_features)
                     if len(train) else Link(category, earlier=[0.0] * c))
             for i in test:
                 out[i] = link.log_odds(docs[i], list(before[i]))
-        chain.append(_fit_link(category, docs, before, y, max_features))
+        chain.append(_fit_link(category, coded, vocabulary, before, y, max_features))
         before = np.column_stack([before, np.clip(out, -10, 10)])
     return chain
 
@@ -145,7 +165,7 @@ def fit_chain(labelled: DataFrame, categories: list[str], id_col: str = "doc_id"
     """
     spark = labelled.sparkSession
     text_batches(spark)
-    ready = labelled.filter(" and ".join(f"`{c}` is not null" for c in categories) or "true")
+    ready = written(labelled.filter(" and ".join(f"`{c}` is not null" for c in categories) or "true"), "toxic-sample")
     n = ready.count()
     draw = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40))
     sample = ready.filter(draw < int((1 << 40) * min(1.0, max_train / max(n, 1)))) if n > max_train else ready
@@ -153,20 +173,17 @@ def fit_chain(labelled: DataFrame, categories: list[str], id_col: str = "doc_id"
                            *[F.col(f"`{c}`").cast("int").alias(f"y{i}") for i, c in enumerate(categories)])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-        rows = {}
+        rows, intern = {}, {}
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
             for t, d, *y in zip(*cols):
-                found = words(t)
-                key = b" ".join(sorted(found))
-                rows.setdefault(key, (found, y, d))
-                if d < rows[key][2]:
-                    rows[key] = (found, y, d)
+                key = hashlib.sha256(b" ".join(sorted(words(t)))).digest()
+                if key not in rows or d < rows[key][2]:
+                    rows[key] = (t, y, d)
         keys = sorted(rows)
-        fold = np.array([zlib.crc32(k) % folds for k in keys], dtype=int)
-        chain = fit([rows[k][0] for k in keys], np.array([rows[k][1] for k in keys]).reshape(len(keys), len(categories)),
-                    fold, categories, max_features)
+        fold = np.array([k[0] % folds for k in keys], dtype=int)
+        chain = fit([{intern.setdefault(w, w) for w in features(rows[k][0])} for k in keys],
+                    np.array([rows[k][1] for k in keys]).reshape(len(keys), len(categories)), fold, categories, max_features)
         out = []
         for link in chain:
             out += [(link.category, w, v) for w, v in sorted(link.weights.items())]
@@ -203,11 +220,11 @@ def score_chain(docs: DataFrame, chain: list[Link], id_col: str = "doc_id", text
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), *[T.StructField(f"p_{x.category}", T.DoubleType()) for x in chain],
                            T.StructField("is_toxic", T.BooleanType())])
-    known = frozenset(w for x in chain for w in x.weights)
+    known, stems = known_features(chain)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            odds = np.array([chain_log_odds(chain, known & words(t)) for t in b.column(1).to_pylist()],
+            odds = np.array([chain_log_odds(chain, known & features(t, stems)) for t in b.column(1).to_pylist()],
                             dtype=float).reshape(b.num_rows, len(chain))
             p = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
             last = p[:, -1] if len(chain) else np.zeros(b.num_rows)
@@ -222,33 +239,39 @@ def has_word(text: Column, terms: tuple[str, ...]) -> Column:
     return F.lower(text).rlike(r"(?<![a-z])(" + "|".join(terms) + r")(?![a-z])")
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str, ...]] = SEEDS) -> DataFrame:
-    """doc_id, text and a 0/1 column per category: the seeded ones, then toxic itself.
+def labelled_documents(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str, ...]] = SEEDS,
+                       max_train: int = MAX_TRAIN) -> DataFrame:
+    """doc_id, text and a 0/1 column per category of about ``max_train`` labelled documents, by a hash of the id.
 
-    Only ``toxic`` is labelled in the data; the narrower categories are weak labels within it.  Ids that
-    repeat join row by row; null ids and null labels do not train.
+    The ids are drawn before the texts are looked up, so at most that many go to every task and no text
+    is shuffled.  Only ``toxic`` is labelled in the data (the largest of an id's labels counts); the seeded
+    categories are weak labels within it.  Null ids and null labels do not train.
     """
-    known = labels.select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
-    both = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("l_id")).drop("l_id")
+    known = (labels.filter("doc_id is not null and toxic is not null")
+             .groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").cast("int").alias("toxic")))
+    known = written(known, "toxic-labels")
+    n = known.count()
+    if n > max_train:
+        known = known.filter(F.pmod(F.xxhash64("l_id"), F.lit(1 << 40)) < int((1 << 40) * max_train / n))
+    both = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).drop("l_id")
     for name, terms in seeds.items():
-        both = both.withColumn(name, (F.col("toxic") == 1) & F.coalesce(has_word(F.col("text"), terms), F.lit(False)))
-    return both.select("doc_id", "text", *[F.col(c).cast("int").alias(c) for c in [*seeds, "toxic"]])
+        both = both.withColumn(name, ((F.col("toxic") == 1) & F.coalesce(has_word(F.col("text"), terms), F.lit(False))).cast("int"))
+    return both.select("doc_id", "text", *seeds, "toxic")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """Fit the chain on ``labels`` and score every row of ``docs``."""
-    chain = fit_chain(labelled_documents(docs, labels), [*SEEDS, "toxic"], max_train=max_train)
+    chain = fit_chain(labelled_documents(docs, labels, max_train=max_train), [*SEEDS, "toxic"], max_train=max_train)
     return score_chain(docs, chain)
 
 
 def toxic_column(chain: list[Link], text: Column, threshold: float = THRESHOLD) -> Column:
     """The chain's last decision as a column, for filters that keep whole rows (Arrow batches)."""
-    import pandas as pd
-    known = frozenset(w for x in chain for w in x.weights)
+    known, stems = known_features(chain)
 
     @F.pandas_udf("boolean")
     def decide(texts: pd.Series) -> pd.Series:
-        odds = [chain_log_odds(chain, known & words(t))[-1] if chain else -np.inf for t in texts]
+        odds = [chain_log_odds(chain, known & features(t, stems))[-1] if chain else -np.inf for t in texts]
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(odds, dtype=float), -700, 700))) >= threshold)
 
     return decide(text.cast("binary"))
