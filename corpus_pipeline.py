@@ -56,7 +56,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The batch and slot of every row of the mixture, by its number of words."""
-    return packing.pack(docs.select("doc_id", "source", word_count(F.col("text")).alias("n_tokens")), "n_tokens")
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("n_tokens")), "pipeline-lengths")
+    return packing.pack(sized, "n_tokens")
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("ngram_join", keep_one_of_near_copies),

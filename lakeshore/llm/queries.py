@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeshore.llm import chunk_prints, lattice, line_chunks, mixing, ngram_join, packing, prefix_forest, wrappers, zip_warc
 from lakeshore.llm import toxicity as tox
-from lakeshore.llm.common import table, text_batches, word_count
+from lakeshore.llm.common import table, text_batches, word_count, written
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,9 @@ def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens")), "n_tokens")
+    # counted once: the plan of the packing reads the lengths several times
+    sized = written(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens")), "pack-lengths")
+    return packing.pack(sized, "n_tokens")
 
 
 def op4_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
