@@ -92,7 +92,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     line without words.  Rows that repeat id and text get the same result.  An empty table stays
     empty.  Columns of any other name are carried along; one named like an added column is replaced.
     """
-    parts = chunks(docs, id_col, text_col, window, divisor, own_words)
+    parts = written(chunks(docs, id_col, text_col, window, divisor, own_words), "line-chunks")  # read twice, without texts
     marks = written(repeated_runs(parts, min_words), "line-marks").select(
         F.col("id").alias("mark_id"), F.col("th").alias("mark_th"), "marks")
     columns = [c for c in docs.columns if c not in ADDED]
