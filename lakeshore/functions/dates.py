@@ -1,16 +1,14 @@
 """Date macros, time windows and scalar helpers.
 
 Macros such as ``TODAY(-1)`` are resolved once, at plan time, into literals and
-then *bound* as query parameters; they are never spliced into SQL text.  The
-column versions (``first_day_of_offset_month`` ...) are the same rules written
-as Spark expressions for use on data columns.
+then *bound* as query parameters; they are never spliced into SQL text.
 """
 
 from __future__ import annotations
 
 import calendar
-import copy
 import datetime as dt
+import operator
 import re
 from collections.abc import Mapping
 from zoneinfo import ZoneInfo
@@ -23,19 +21,23 @@ NOW_FORMAT = "%Y-%m-%dT%H:%M:%S"
 DEFAULT_MACRO_FORMAT = "%Y-%m-%dT00:00:00"
 REPORT_MACRO_FORMAT = "%Y-%m-%d"
 
-_OFFSET = re.compile(r"\(\s*([+-]?\d+)\s*\)")
+#: ``name(offset)``; the offset may be left out where a rule has a default
+_CALL = re.compile(r"([A-Za-z]+)\(\s*([^()\s]*)\s*\)")
 
 
-def _offset(text: str) -> int:
-    found = _OFFSET.search(text)
-    if not found:
-        raise ValueError(f"macro without an integer offset: {text!r}")
-    return int(found.group(1))
+def _in_month(now: dt.datetime, months: int, day: int | None) -> dt.datetime:
+    """``now`` moved to a day (None: the last) of the month that many months away."""
+    year, month0 = divmod(now.year * 12 + now.month - 1 + months, 12)
+    return now.replace(year=year, month=month0 + 1, day=day or calendar.monthrange(year, month0 + 1)[1])
 
 
-def _shift_months(day: dt.datetime, months: int) -> tuple[int, int]:
-    year, month0 = divmod(day.month - 1 + months, 12)
-    return day.year + year, month0 + 1
+#: macro name -> (day of an offset, default offset)
+_RULES = {
+    "TODAY": (lambda now, n: now + dt.timedelta(days=n), 0),
+    "FIRSTDAYOFOFFSETMONTH": (lambda now, n: _in_month(now, n, 1), None),
+    "FIFTEENTHDAYOFOFFSETMONTH": (lambda now, n: _in_month(now, n, 15), None),
+    "LASTDAYOFOFFSETMONTH": (lambda now, n: _in_month(now, n, None), None),
+}
 
 
 def resolve_macro(value, now: dt.datetime | None = None, date_format: str = DEFAULT_MACRO_FORMAT):
@@ -45,66 +47,32 @@ def resolve_macro(value, now: dt.datetime | None = None, date_format: str = DEFA
     runs (tests and scheduled re-runs), otherwise the current time is read at
     call time, never at import time.
     """
-    if not isinstance(value, str):
+    call = _CALL.search(value) if isinstance(value, str) else None
+    if call is None:
         return value
+    name, offset = call[1].upper(), call[2]
     now = now or dt.datetime.now()
-    upper = value.upper()
-    if upper == "NOW()":
+    if name == "NOW" and not offset:
         return now.strftime(NOW_FORMAT)
-    if "TODAY(" in upper:
-        days = 0 if upper == "TODAY()" else _offset(value)
-        return (now + dt.timedelta(days=days)).strftime(date_format)
-    if "LASTDAYOFOFFSETMONTH(" in upper:
-        year, month = _shift_months(now, _offset(value))
-        last = calendar.monthrange(year, month)[1]
-        return dt.datetime(year, month, last, now.hour, now.minute).strftime(date_format)
-    if "FIRSTDAYOFOFFSETMONTH(" in upper:
-        year, month = _shift_months(now, _offset(value))
-        return dt.datetime(year, month, 1, now.hour, now.minute).strftime(date_format)
-    if "FIFTEENTHDAYOFOFFSETMONTH(" in upper:
-        year, month = _shift_months(now, _offset(value))
-        return dt.datetime(year, month, 15, now.hour, now.minute).strftime(date_format)
-    return value
+    rule = _RULES.get(name)
+    if rule is None:
+        return value
+    day, default = rule
+    if offset or default is None:
+        try:
+            default = int(offset)
+        except ValueError:
+            raise ValueError(f"{value!r} needs a whole number as its offset") from None
+    return day(now, default).strftime(date_format)
 
 
 def resolve_parameters(params: Mapping, now: dt.datetime | None = None,
                        date_format: str = DEFAULT_MACRO_FORMAT) -> dict:
-    """Resolve every macro found in the string leaves of a nested mapping (a copy is returned)."""
+    """A new mapping with every macro resolved, in nested mappings too; lists are data and stay as they are."""
     now = now or dt.datetime.now()
-    out = copy.deepcopy(dict(params))
-
-    def walk(node):
-        for key, value in node.items():
-            if isinstance(value, Mapping):
-                node[key] = dict(value)
-                walk(node[key])
-            else:
-                node[key] = resolve_macro(value, now, date_format)
-
-    walk(out)
-    return out
-
-
-# ---- column versions of the macros -------------------------------------------------
-
-def today_offset(day: Column, days: int) -> Column:
-    """X2 on a column."""
-    return F.date_add(day, days)
-
-
-def first_day_of_offset_month(day: Column, months: int) -> Column:
-    """X3 on a column."""
-    return F.trunc(F.add_months(day, months), "MM")
-
-
-def fifteenth_day_of_offset_month(day: Column, months: int) -> Column:
-    """X4 on a column."""
-    return F.date_add(first_day_of_offset_month(day, months), 14)
-
-
-def last_day_of_offset_month(day: Column, months: int) -> Column:
-    """X5 on a column (leap-year aware)."""
-    return F.last_day(F.add_months(day, months))
+    return {key: resolve_parameters(value, now, date_format) if isinstance(value, Mapping)
+            else list(value) if isinstance(value, list) else resolve_macro(value, now, date_format)
+            for key, value in params.items()}
 
 
 # ---- time windows (X9) -------------------------------------------------------------
@@ -163,15 +131,15 @@ def is_valid_date(text: Column) -> Column:
             & F.try_to_timestamp(text, F.lit("yyyy-M-d")).isNotNull())
 
 
+#: The comparisons a rule may name
+COMPARISONS = {"=": operator.eq, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
+
+
 def threshold_met(value: Column, evaluation: Column, threshold: Column) -> Column:
-    """Compare with one of ``= > < >= <=``; any other operator is an error."""
-    return (F.when(evaluation == "=", value == threshold)
-            .when(evaluation == ">", value > threshold)
-            .when(evaluation == "<", value < threshold)
-            .when(evaluation == ">=", value >= threshold)
-            .when(evaluation == "<=", value <= threshold)
-            .otherwise(F.raise_error(F.concat(F.lit("Wrong evaluation operation: "), evaluation))
-                       .cast("boolean")))
+    """The comparison that ``evaluation`` names; a name that is none of COMPARISONS is an error."""
+    unknown = F.raise_error(F.concat(F.lit("no comparison has the name "), F.coalesce(evaluation, F.lit("NULL"))))
+    results = F.create_map(*[c for name, test in COMPARISONS.items() for c in (F.lit(name), test(value, threshold))])
+    return F.when(evaluation.isin(*COMPARISONS), F.element_at(results, evaluation)).otherwise(unknown.cast("boolean"))
 
 
 def to_text(col: Column, data_type: str) -> Column:

@@ -35,7 +35,7 @@ def normalize_event(event_json, ingest_ms: Column | None = None, strict: bool =
     operation = F.when(api, get("$.detail.eventName")).when(note, kind)
     if strict:
         bucket = F.when(api | note, bucket).otherwise(
-            F.raise_error(F.concat(F.lit("Unrecognized event source: "), F.coalesce(kind, F.lit("null"))))
+            F.raise_error(F.concat(F.lit("events of no known source: "), F.coalesce(kind, F.lit("NULL"))))
             .cast("string"))
     time_text = get("$.time")
     last_modified = F.concat(F.split(time_text, r"\.").getItem(0), F.lit("+00:00"))

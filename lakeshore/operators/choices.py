@@ -23,10 +23,16 @@ def _is_numeric(type_name: str) -> bool:
     return type_name.upper().startswith(_NUMERIC_PREFIXES)
 
 
+def json_path(name: str) -> str:
+    """The path of one key, whatever characters it has (a dot is no step)."""
+    quote = '"' if '"' not in name else "'"
+    return f"$[{quote}{name}{quote}]"
+
+
 def field_types(variants: DataFrame, variant_col: str, fields: Sequence[str]) -> dict[str, set[str]]:
     """Set of VARIANT value types seen per top-level field, in one aggregate job."""
     v = F.col(variant_col)
-    aggs = [F.collect_set(F.schema_of_variant(F.variant_get(v, f"$.{name}", "variant"))).alias(name)
+    aggs = [F.collect_set(F.schema_of_variant(F.variant_get(v, json_path(name), "variant"))).alias(name)
             for name in fields]
     row = variants.agg(*aggs).first()
     return {name: {t for t in (row[name] or []) if t and t.upper() != "NULL"} for name in fields}
@@ -64,7 +70,7 @@ def resolve_choice_text(df: DataFrame, json_col: str, fields: Sequence[str] | No
             raise ValueError(f"more than {MAX_DISCOVERED_FIELDS} distinct keys in {json_col!r}; pass fields")
         fields = sorted(found)
     verdict = field_types(parsed, "_v", fields)
-    cols = [F.variant_get(F.col("_v"), f"$.{name}", choice_resolution(verdict[name])).alias(name)
+    cols = [F.variant_get(F.col("_v"), json_path(name), choice_resolution(verdict[name])).alias(name)
             for name in fields]
     return parsed.select(*keep, *cols)
 
@@ -73,19 +79,8 @@ def resolve_choice_nested(df: DataFrame, json_col: str, array_field: str, fields
                           keep: Sequence[str] = ()) -> DataFrame:
     """The same rule for fields of the elements of an array (``report[].field``)."""
     elems = (df.select(*keep, F.parse_json(F.col(json_col)).alias("_doc"))
-             .select(*keep, F.explode(F.variant_get("_doc", f"$.{array_field}", "array<variant>")).alias("_v")))
+             .select(*keep, F.explode(F.variant_get("_doc", json_path(array_field), "array<variant>")).alias("_v")))
     verdict = field_types(elems, "_v", fields)
-    cols = [F.variant_get(F.col("_v"), f"$.{name}", choice_resolution(verdict[name])).alias(name)
+    cols = [F.variant_get(F.col("_v"), json_path(name), choice_resolution(verdict[name])).alias(name)
             for name in fields]
     return elems.select(*keep, *cols)
-
-
-def cast_choice_columns(df: DataFrame, resolutions: dict[str, str]) -> DataFrame:
-    """Apply an explicit choice spec (``{"field": "double"}``) to already-typed columns."""
-    return df.select(*[F.col(f"`{c}`").cast(resolutions[c]).alias(c) if c in resolutions else F.col(f"`{c}`")
-                       for c in df.columns])
-
-
-def numeric_or_text(col: Column) -> Column:
-    """Column form of the rule when the values are already text: DOUBLE when parsable, else NULL."""
-    return col.try_cast("double")

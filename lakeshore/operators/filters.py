@@ -10,20 +10,23 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeshore.functions.paths import is_interactive_result, not_in_list
+from lakeshore.functions.paths import not_in_list
 from lakeshore.operators.typecast import unfiltered
 
 # Workflows whose results are never loaded.
 EXCLUDED_WORKFLOWS = ("standard_impressions_by_browser_family", "standard_impressions-by-browser-family")
 
 
-def skip_interactive_results(df: DataFrame, workflow_col: str = "workflow") -> DataFrame:
-    """F1."""
-    return df.where(~is_interactive_result(F.col(workflow_col)))
+def null_safe_semi(df: DataFrame, keys: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The rows of ``df`` whose key is in ``keys``; NULL is a key value like any other."""
+    other = keys.select(*[F.col(c).alias(f"_semi_{c}") for c in cols])
+    return df.join(other, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_semi_{c}")) for c in cols]), "left_semi")
 
 
 def exclude_workflows(df: DataFrame, workflow_col: str = "workflow",
@@ -43,7 +46,7 @@ def drop_all_filtered_files(df: DataFrame, file_cols: Sequence[str], filtered_co
     """keep every row of files that have some unfiltered row (Q2: filtered rows stay, flag kept)."""
     if filtered_col not in df.columns:
         return df
-    return df.join(files_with_unfiltered_rows(df, file_cols, filtered_col), list(file_cols), "left_semi")
+    return null_safe_semi(df, files_with_unfiltered_rows(df, file_cols, filtered_col), file_cols)
 
 
 def unfiltered_rows(df: DataFrame, filtered_col: str = "filtered") -> DataFrame:
@@ -54,7 +57,7 @@ def unfiltered_rows(df: DataFrame, filtered_col: str = "filtered") -> DataFrame:
 def drop_empty_files(df: DataFrame, file_cols: Sequence[str], files: DataFrame) -> DataFrame:
     """files with zero data rows (counted, not guessed from newlines, Q6) are dropped from ``files``."""
     present = df.select(*file_cols).distinct()
-    return files.join(present, list(file_cols), "left_semi")
+    return null_safe_semi(files, present, file_cols)
 
 
 def recent(df: DataFrame, ts_col: str, now: dt.datetime, days: int = 1) -> DataFrame:

@@ -29,7 +29,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 def object_catalog(events: DataFrame, key_col: str, order: Sequence[str], is_delete: Column) -> DataFrame:
     """Catalog of live objects; the last event per key wins and a delete removes the key."""
-    flagged = events.withColumn("_deleted", is_delete)
+    flagged = events.withColumn("_deleted", F.coalesce(is_delete, F.lit(False)))     # unknown is not deleted
     latest = latest_per_key(flagged, [key_col], order)
     return latest.where(~F.col("_deleted")).drop("_deleted")
 
@@ -57,7 +57,9 @@ def run_history(events: DataFrame, pipeline_col: str, ts_col: str, order: Sequen
                .agg(F.min_by(F.struct(F.col(ts_col).alias("end_ts"), F.col(status_col).alias("end_status"),
                                       order_struct.alias("end_order")), order_struct).alias("_end"))
                .select(pipeline_col, "run_seq", "_end.*"))
-    tagged = numbered.join(closing, [pipeline_col, "run_seq"], "left").withColumn(
+    closing = closing.withColumnsRenamed({pipeline_col: "_close_key", "run_seq": "_close_seq"})
+    tagged = numbered.join(closing, F.col(pipeline_col).eqNullSafe(F.col("_close_key"))
+                           & (F.col("run_seq") == F.col("_close_seq")), "left").drop("_close_key", "_close_seq").withColumn(
         "_accepted", (F.col("run_seq") > 0) & (F.col("end_order").isNull() | (order_struct <= F.col("end_order"))))
     accepted = tagged.where("_accepted")
     runs = accepted.groupBy(pipeline_col, "run_seq").agg(

@@ -30,7 +30,7 @@ def metric_prefixes(code: Column) -> Column:
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)),
                            lambda i: F.array_join(F.slice(parts, 1, i), SEPARATOR))
     return F.when(F.size(F.array_distinct(parts)) == F.size(parts), prefixes).otherwise(
-        F.raise_error(F.concat(F.lit("Duplicated metrics are not allowed: "), code)).cast("array<string>"))
+        F.raise_error(F.concat(F.lit("a metric code names a part twice: "), code)).cast("array<string>"))
 
 
 def metric_periods(root: Column, date_text: Column) -> Column:
@@ -74,6 +74,15 @@ def rollup_metrics(updates: DataFrame, code_col: str = "code", date_col: str = "
              F.date_format("_last_date", "yyyy-MM-dd").alias("last_updated_date"), "last_pipeline_execution_id")
 
 
+def watched_keys(keys: DataFrame, rules: DataFrame) -> DataFrame:
+    """The exploded update keys that some rule watches, so that no other key is windowed.
+
+    All updates of a counter share its root and type, so a watched counter keeps all of them.
+    """
+    watched = rules.select(F.col("metric").alias("_watch"), F.col("metric_type").alias("_watch_type")).distinct()
+    return keys.join(watched, (F.col("root") == F.col("_watch")) & (F.col("type") == F.col("_watch_type")), "left_semi")
+
+
 def metric_alerts(updates: DataFrame, rules: DataFrame, bucket: Column, code_col: str = "code",
                   date_col: str = "date", order: Sequence[str] = ("seq",), max_rules: int = 10_000,
                   materialize: bool = True) -> DataFrame:
@@ -87,7 +96,7 @@ def metric_alerts(updates: DataFrame, rules: DataFrame, bucket: Column, code_col
     semantics, Q8).  The rules table is broadcast only after its row count is
     proven to be at most ``max_rules``.
     """
-    keys = explode_metric_keys(updates, code_col, date_col).withColumn("_b", bucket)
+    keys = watched_keys(explode_metric_keys(updates, code_col, date_col).withColumn("_b", bucket), rules)
     running = keyed_running(keys, ["root", "metric"], list(order), F.col("_b"),
                             sums={"running_value": F.col("value")})
     r = rules.select(F.col("metric").alias("_rule_metric"), F.col("metric_type").alias("_rule_type"),

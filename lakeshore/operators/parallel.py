@@ -1,26 +1,18 @@
-"""Input parallelism guard for CPU-heavy narrow operators.
+"""Input parallelism for CPU-heavy narrow operators.
 
-A scan yields one task per file split; a small table stored as one Parquet row
-group is one task, so per-value work (regexes, number parsing, JSON parsing)
-before the first shuffle would run on a single core.  ``spread`` re-partitions
-round-robin only when the input has fewer partitions than the cluster's
-default parallelism.  On a large lake the input already has thousands of
-splits and this is a no-op (no extra shuffle).
+A scan yields one task per file split; a small table stored as one Parquet row group is one task, so
+per-value work before the first shuffle would run on a single core.  Where inputs are such files, set
+``spark.lakeshore.inputPartitions``; ``spread`` then deals them out.  A large lake has thousands of
+splits: the setting stays unset and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+SETTING = "spark.lakeshore.inputPartitions"
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()      # planning only, no job
-    except Exception:                             # sessions without RDD access: leave the plan alone
-        return df
-    if target <= 1:
-        return df
-    if current >= target:
-        return df
-    return df.repartition(target)
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    partitions = partitions or int(df.sparkSession.conf.get(SETTING, "0"))
+    return df.repartition(partitions) if partitions > 1 else df

@@ -19,6 +19,8 @@ leading order column is).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,7 +72,10 @@ def keyed_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
         *[F.coalesce(F.sum(f"_tot_{name}").over(before), F.lit(0)).alias(f"_pre_{name}") for name in sums],
         *[F.lag(f"_last_{name}").over(outer).alias(f"_prev_{name}") for name in lags],
     )
-    joined = local.join(carried, on=[*keys, _B], how="inner")
+    # null-safe: a NULL key is a key like any other, and a NULL bucket a bucket
+    carried = carried.select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, _B]],
+                             *[c for c in carried.columns if c not in (*keys, _B)])
+    joined = local.join(carried, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*keys, _B]]))
     out_cols = [F.col(c) for c in df.columns]
     out_cols += [(F.col(f"_loc_{name}") + F.col(f"_pre_{name}")).alias(name) for name in sums]
     out_cols += [F.when(F.col("_seq_first"), F.col(f"_prev_{name}")).otherwise(F.col(f"_loc_{name}")).alias(name)

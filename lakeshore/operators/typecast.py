@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DataType, DoubleType, LongType, StringType, StructField, StructType,
                                _parse_datatype_string)
 
-from lakeshore.operators.parallel import spread
 
 # Text that the CSV reader treats as missing.
 NULL_TOKENS = (
@@ -50,7 +49,6 @@ NAME_OVERRIDES = (
 )
 
 # Widening order used when a batch and a table disagree.
-_RANK = {"boolean": 0, "bigint": 1, "double": 2, "string": 3}
 
 _INT_TEXT = r"^[+-]?\d+$"
 _NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
@@ -194,19 +192,6 @@ def derive_types_by_file(df: DataFrame, columns: Sequence[str], file_col: str, k
     return verdicts, kept_files, bool(summary.dropped_files)
 
 
-def merge_verdicts(parts: Sequence[dict[str, ColumnVerdict]]) -> dict[str, ColumnVerdict]:
-    """Combine per-file verdicts of one table (union of the value classes)."""
-    names = list(parts[0]) if parts else []
-    return {n: ColumnVerdict(n, _or_all(p[n].mask for p in parts)) for n in names}
-
-
-def _or_all(masks) -> int:
-    out = 0
-    for m in masks:
-        out |= m
-    return out
-
-
 # ---- C2 -----------------------------------------------------------------------------
 
 def name_override(name: str) -> str | None:
@@ -283,7 +268,7 @@ def type_text_columns(df: DataFrame, columns: Sequence[str] | None = None,
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)
                    and f.name != filtered_col]
-    cleaned = null_tokens(spread(df), columns)
+    cleaned = null_tokens(df, columns)
     keep = None
     if filtered_col and filtered_col in df.columns:
         keep = unfiltered(filtered_col)
@@ -343,7 +328,7 @@ def conform_to_schema(df: DataFrame, table_schema: StructType, source_types: dic
     if strict:
         out = out.withColumn("_bad_columns", F.when(
             F.size("_bad_columns") > 0,
-            F.raise_error(F.concat(F.lit("Could not cast to match table: "),
+            F.raise_error(F.concat(F.lit("values do not fit the table in "),
                                    F.array_join("_bad_columns", ","))).cast("array<string>"),
         ).otherwise(F.col("_bad_columns")))
     return out
@@ -353,8 +338,3 @@ def added_columns(df_schema: StructType, table_schema: StructType) -> list[Struc
     """Columns of the batch that the table does not have yet (add-only evolution)."""
     have = {f.name.lower() for f in table_schema.fields}
     return [f for f in df_schema.fields if f.name.lower() not in have and not f.name.startswith("_")]
-
-
-def widest(a: str, b: str) -> str:
-    """Widening order bool < bigint < double < string."""
-    return a if _RANK.get(a, 3) >= _RANK.get(b, 3) else b

@@ -10,6 +10,7 @@ actual size of a side at runtime.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -66,14 +67,16 @@ def build_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is used as is.  Only when the
-    setting is missing (a bare local session, as in tests) is a fresh scratch
-    folder created and registered.
+    A cluster names a shared folder there; it is used as is, and without one a
+    cluster session is refused.  Only a local session (one machine, as in tests)
+    may leave it out and gets a fresh scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for scratch tables")
         configured = tempfile.mkdtemp(prefix="lakeshore-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -121,14 +121,6 @@ def recover_partitions(spark: SparkSession, name: str) -> None:
     spark.sql(f"ALTER TABLE {_q(name)} RECOVER PARTITIONS")
 
 
-def write_quarantine(df: DataFrame, path: str, reason: str, batch_id: int | None = None) -> None:
-    """K6: keep failing rows for replay, with the reason and the batch that produced them."""
-    out = df.withColumn("_reason", F.lit(reason)).withColumn("_quarantined_at", F.current_timestamp())
-    if batch_id is not None:
-        out = out.withColumn("_batch_id", F.lit(batch_id))
-    out.write.mode("append").parquet(path)
-
-
 def with_sort_keys(df: DataFrame, keys: Mapping[str, Sequence[str]]) -> DataFrame:
     """K7: composite sort columns such as ``date#reason`` or ``pipeline#type``."""
     out = df

@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType, StructType
 from lakeshore.functions.dates import threshold_met
 from lakeshore.operators.history import latest_per_key
 from lakeshore.operators.lookups import bounded_broadcast
-from lakeshore.operators.metrics import ALWAYS, ONCE, explode_metric_keys
+from lakeshore.operators.metrics import ALWAYS, ONCE, explode_metric_keys, watched_keys
 from lakeshore.operators.sequence import keyed_running
 
 
@@ -76,7 +76,7 @@ def stream_latest_per_key(stream: DataFrame, keys: Sequence[str], order: Sequenc
     ``snapshot_every`` batches the full current table is written as a snapshot."""
     spark = stream.sparkSession
     payload = [c for c in stream.columns if c not in keys]
-    flagged = stream.withColumn("_deleted", is_delete if is_delete is not None else F.lit(False))
+    flagged = stream.withColumn("_deleted", F.coalesce(is_delete, F.lit(False)) if is_delete is not None else F.lit(False))
     latest = flagged.groupBy(*keys).agg(
         F.max_by(F.struct(*[F.col(c) for c in payload + ["_deleted"]]),
                  F.struct(*[F.col(c) for c in order])).alias("_row"))
@@ -108,12 +108,17 @@ def _log_rows(spark: SparkSession, log_path: str, keys: Sequence[str], order: Se
         if last is not None:
             rows = snaps.where(F.col("batch_id") == last).unionByName(deltas.where(F.col("batch_id") > last))
     latest = latest_per_key(rows.drop("batch_id"), list(keys), list(order))
-    return latest.where(~F.col("_deleted")) if upto is not None else latest
+    return latest.where(live()) if upto is not None else latest
 
 
 def current_from_log(spark: SparkSession, log_path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Latest live row per key: last snapshot plus later deltas (deleted keys dropped)."""
-    return _log_rows(spark, log_path, keys, order).where(~F.col("_deleted")).drop("_deleted")
+    return _log_rows(spark, log_path, keys, order).where(live()).drop("_deleted")
+
+
+def live() -> Column:
+    """Rows not flagged as deleted; a NULL flag (older logs) is not a deletion."""
+    return ~F.coalesce(F.col("_deleted"), F.lit(False))
 
 
 # ---- T3 streaming ---------------------------------------------------------------------
@@ -153,11 +158,15 @@ def metric_alert_handler(spark: SparkSession, rules: DataFrame, state_dir: str,
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         keys = explode_metric_keys(batch)
-        running = keyed_running(keys, ["root", "metric"], list(order), F.col(bucket_col),
-                                sums={"batch_value": F.col("value")})
         prev_log = previous_counters(spark, counters_path, snapshot_path, batch_id)
-        prev = prev_log.groupBy("root", "metric").agg(F.max_by("value", "batch_id").alias("_prev"))
-        running = running.join(prev, ["root", "metric"], "left")
+        prev = (prev_log.groupBy(F.col("root").alias("_root"), F.col("metric").alias("_metric"))
+                .agg(F.max_by("value", "batch_id").alias("_prev")))
+        known = F.col("root").eqNullSafe(F.col("_root")) & F.col("metric").eqNullSafe(F.col("_metric"))
+        # every key is counted by a plain aggregate; only the keys that a rule watches are windowed
+        counted = keys.groupBy("root", "metric").agg(F.sum("value").alias("_sum"))
+        running = keyed_running(watched_keys(keys, rules), ["root", "metric"], list(order), F.col(bucket_col),
+                                sums={"batch_value": F.col("value")})
+        running = running.join(prev, known, "left").drop("_root", "_metric")
         running = running.withColumn("running_value", F.col("batch_value") + F.coalesce("_prev", F.lit(0)))
         running = running.persist()
         try:
@@ -179,8 +188,8 @@ def metric_alert_handler(spark: SparkSession, rules: DataFrame, state_dir: str,
             write_batch_partition(always.unionByName(once), alerts_path, batch_id)
             write_batch_partition(once.select(*rule_key), fired_path, batch_id)
             once.unpersist()
-            counters = running.groupBy("root", "metric").agg(
-                F.max_by("running_value", F.struct(*[F.col(c) for c in order])).alias("value"))
+            counters = counted.join(prev, known, "left").select(
+                "root", "metric", (F.col("_sum") + F.coalesce("_prev", F.lit(0))).alias("value"))
             write_batch_partition(counters, counters_path, batch_id)
             if (batch_id + 1) % snapshot_every == 0:
                 current = (prev_log.unionByName(read_log(spark, counters_path, COUNTER_SCHEMA)
