@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 # Key and file-name layouts of the landing zone.
 WORKFLOW_KEY = r"^workflow=([^/]*)/schedule=([^/]*)/(.*)"
-FILE_WITH_TIME = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})\.(\d{3})Z-([^\.]*)\.(.*)"
+# (the time of a landed file may have hyphens for its colons and dot, which are no legal file names everywhere)
+FILE_WITH_TIME = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2})[:-](\d{2})[:-](\d{2})[.-](\d{3})Z-([^\.]*)\.(.*)"
 FILE_WITH_DATE = r"^(\d{4})-(\d{2})-(\d{2})-([^.]*)\.(.*)"
 FILE_VERSION = r"^.*-(ver\d)"
 REPORT_KEY = r"^([^/]+)/([^/]+)/([^/]+)/([^/]+)\.([^/]+)"

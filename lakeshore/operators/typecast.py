@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DataType, DoubleType, LongType, StringType, StructField, StructType,
+from pyspark.sql.types import (DataType, DoubleType, IntegralType, LongType, StringType, StructField, StructType,
                                _parse_datatype_string)
 
 
@@ -314,6 +314,9 @@ def conform_to_schema(df: DataFrame, table_schema: StructType, source_types: dic
             continue
         if isinstance(f.dataType, StringType):
             cast = cast_text(src, want.simpleString())
+            if isinstance(want, IntegralType):
+                number = _as_double(src)                             # '3.0' is 3, '2.5' does not fit
+                cast = F.when(number.isNull() | (number == F.floor(number)), cast)
         elif isinstance(want, LongType) and isinstance(f.dataType, DoubleType):
             cast = F.when(src == F.floor(src), src.cast("bigint"))   # never truncate 2.5 -> 2
         elif isinstance(want, StringType):

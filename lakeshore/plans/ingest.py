@@ -14,22 +14,25 @@ bounded metadata, like Spark's own file index.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from lakeshore.functions import paths as P
-from lakeshore.operators import filters, lookups, reports, typecast
+from lakeshore.operators import filters, reports, typecast
 from lakeshore.operators.aggregates import observe_job_totals
 from lakeshore.session import materialize
-from lakeshore.sinks.tables import create_or_update_table
-from lakeshore.sources.files import list_objects, read_record_array_json, read_workflow_csv
+from lakeshore.sinks.tables import create_or_update_table, partition_overwrite, write_rejects
+from lakeshore.sources.files import (CORRUPT, CSV_GLOB, list_objects, plain_path, read_record_array_json,
+                                     read_workflow_csv)
 
-PARTITION_COLUMNS = ("customer_hash", "export_year", "export_month", "file_last_modified")
+#: ``source_file`` is the landed file itself: loading it again replaces its own partition
+PARTITION_COLUMNS = ("customer_hash", "export_year", "export_month", "file_last_modified", "source_file")
 
 
 def create_database(spark: SparkSession, database: str, location_root: str | None = None) -> None:
@@ -69,7 +72,19 @@ def plan_workflow_files(listing: DataFrame, root: str, customer: Customer) -> Da
         "path", "length", "workflow", "schedule", "file_name", table.alias("table"),
         F.lit(customer.customer_hash).alias("customer_hash"),
         F.col("ft.year").alias("export_year"), F.col("ft.month").alias("export_month"),
-        F.date_format("modificationTime", "yyyy-MM-dd-HH-mm-ss").alias("file_last_modified"))
+        F.date_format("modificationTime", "yyyy-MM-dd-HH-mm-ss").alias("file_last_modified"),
+        source_file(F.col("key"), F.col("file_name")).alias("source_file"))
+
+
+def source_file(key, name):
+    """A partition value that names one landed file: its name and a short hash of its whole key."""
+    return F.concat(name, F.lit("-"), F.substring(F.sha1(key.cast("binary")), 1, 10))
+
+
+def quarantine_root(spark: SparkSession, database: str, location_root: str | None, given: str | None) -> str:
+    """Where rejected rows go: the given folder, else one beside the tables.  There always is one."""
+    base = given or location_root or spark.catalog.getDatabase(database).locationUri
+    return base.rstrip("/") if given else f"{base.rstrip('/')}/_quarantine"
 
 
 def csv_header_groups(spark: SparkSession, source, table_files: DataFrame) -> tuple[DataFrame, list]:
@@ -77,8 +92,8 @@ def csv_header_groups(spark: SparkSession, source, table_files: DataFrame) -> tu
     each file is the first row, in read order, of the split that starts the file).  Returns the
     (file, header) table, written once to the shared folder, and one row per distinct header
     (header, n files, first file): only the header variants reach the driver, not the files."""
-    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(source)
-             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", CSV_GLOB).text(source)
+             .select(plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("start"),
                      F.monotonically_increasing_id().alias("seq"), "value"))
     heads = materialize(
         lines.where(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "seq").alias("header"))
@@ -94,7 +109,8 @@ def _escape(text: str) -> str:
 def ingest_workflow_results(spark: SparkSession, root: str, database: str, customer: Customer,
                             files: DataFrame | None = None, strict: bool = False,
                             quarantine_path: str | None = None, location_root: str | None = None,
-                            max_parallel_tables: int = 4, max_listed_files: int = 10_000) -> dict[str, dict]:
+                            max_parallel_tables: int = 4, max_listed_files: int = 10_000,
+                            multi_line: bool = True) -> dict[str, dict]:
     """The CSV job for one batch of landing files under ``root``.
 
     ``files`` is the batch's listing (a micro-batch of the ingest stream);
@@ -106,11 +122,16 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
     aggregated in Spark (per file, then across the kept files).
 
     Files of one table within one batch are read with one header, as one scan.
-    Returns per table: chosen types, rows written, files and bytes read (A6,
-    observed in the write itself, no extra pass).
+    A file that is loaded again replaces what it loaded before.  Rows that do
+    not fit the table go to ``quarantine_path`` (default: ``_quarantine`` beside
+    the tables) as text with their file and the reason, or fail the job with
+    ``strict``; rows read = rows written + rows rejected, always.
+    Returns per table: the types chosen for new columns, rows written and
+    rejected, files and bytes read (A6, observed in the write itself, no extra pass).
     """
     create_database(spark, database, location_root)
-    listing = files if files is not None else list_objects(spark, root, "*.csv")
+    quarantine = quarantine_root(spark, database, location_root, quarantine_path)
+    listing = files if files is not None else list_objects(spark, root, CSV_GLOB)
     planned = plan_workflow_files(filters.non_empty_objects(listing), root, customer)
     tables = (planned.groupBy("table").agg(
         F.collect_set(F.struct("workflow", "schedule")).alias("folders"),     # raw names that map to it
@@ -142,48 +163,59 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
             if part is not None:
                 merged = part if merged is None else {
                     "types": {**merged["types"], **part["types"]},
-                    "records": merged["records"] + part["records"], "files": t.files, "bytes_read": t.bytes}
+                    "records": merged["records"] + part["records"], "rejected": merged["rejected"] + part["rejected"],
+                    "files": t.files, "bytes_read": t.bytes}
         return merged
 
     def load_source(t, table_files, source, header: StructType | None = None) -> dict | None:
         # with a header schema, files are read positionally and their own header lines are not checked
-        raw = read_workflow_csv(spark, source, schema=header, check_header=header is None)
-        # planned files only, with their partition values (the file plan has t.files rows: a
-        # proven bound for the broadcast; beyond it a shuffle join)
-        plan_side = F.broadcast(table_files) if t.files <= 1_000_000 else table_files
-        raw = raw.join(plan_side, F.col("file_path") == F.col("_path")).drop("_path")
+        raw = read_workflow_csv(spark, source, schema=header, check_header=header is None, quote_parity=True,
+                                multi_line=multi_line)
+        # planned files only, with their partition values; Spark's size threshold picks the join
+        raw = raw.join(table_files, F.col("file_path") == F.col("_path")).drop("_path")
         text_cols = [f.name for f in raw.schema.fields if isinstance(f.dataType, StringType)
                      and f.name not in ("file_path", *PARTITION_COLUMNS)]
         cleaned = typecast.null_tokens(raw, text_cols)
         keep = typecast.unfiltered("filtered") if "filtered" in cleaned.columns else None
-        verdicts, kept_files, dropped = typecast.derive_types_by_file(cleaned, text_cols, "file_path", keep)
-        if verdicts is None:
-            return None     # every file of this table was empty or fully filtered: nothing to load (F4/F6)
-        kept = cleaned
-        if dropped:
-            kept = cleaned.join(lookups.bounded_broadcast(kept_files, 1_000_000), "file_path", "left_semi")
-        types = typecast.plan_types(verdicts)
+        # columns that the table has keep its types: their text is cast straight to them ('007' in a
+        # STRING column stays '007'); only columns that are new are inferred
+        exists = spark.catalog.tableExists(f"{database}.{t.table}")
+        schema = spark.table(f"{database}.{t.table}").schema if exists else StructType()
+        fresh = [c for c in text_cols if c not in schema.fieldNames()]
+        kept, types = cleaned, {}
+        if fresh or keep is not None:
+            verdicts, kept_files, dropped = typecast.derive_types_by_file(cleaned, fresh, "file_path", keep)
+            if verdicts is None:
+                return None     # every file of this table was empty or fully filtered: nothing to load (F4/F6)
+            if dropped:
+                kept = cleaned.join(kept_files, "file_path", "left_semi")
+            types = typecast.plan_types(verdicts)
+        # the untouched row, for quarantine and replay
+        kept = kept.withColumn("_record", F.to_json(F.struct(*[F.col(f"`{c}`") for c in text_cols + list(PARTITION_COLUMNS)])))
         typed = typecast.apply_types(kept, types)
         out = typed.drop("file_path", "file_size", "file_modification_time")
-        if spark.catalog.tableExists(f"{database}.{t.table}"):
-            out = typecast.conform_to_schema(out, spark.table(f"{database}.{t.table}").schema,
-                                             strict=strict, keep_source=quarantine_path is not None)
-            if quarantine_path is not None:
-                (out.where(F.size("_bad_columns") > 0).select("_source.*", "_bad_columns")
-                 .write.mode("append").parquet(f"{quarantine_path}/{t.table}"))
-                out = out.drop("_source")
-            out = out.where(F.size("_bad_columns") == 0).drop("_bad_columns")
-        out, obs = observe_job_totals(out, f"ingest_{t.table}", F.lit(0))
+        out = typecast.conform_to_schema(out, schema, strict=strict)
+        rejected = out.where(F.size("_bad_columns") > 0).select(
+            F.col("_record").alias("record"), F.array_join("_bad_columns", ",").alias("reason"), "source_file")
+        rejects = Observation(f"rejects_{t.table}_{uuid.uuid4().hex[:8]}")
+        out = out.observe(rejects, F.count_if(F.size("_bad_columns") > 0).alias("rejected"))
+        out = out.where(F.size("_bad_columns") == 0).drop("_bad_columns", "_record")
+        out, obs = observe_job_totals(out, f"ingest_{t.table}_{uuid.uuid4().hex[:8]}", F.lit(0))
         create_or_update_table(spark, out, f"{database}.{t.table}", PARTITION_COLUMNS,
-                               {"customer_hash": customer.customer_hash},
+                               {"customer_hash": customer.customer_hash}, overwrite_partitions=True,
                                location=f"{location_root}/{t.table}" if location_root else None)
-        return {"types": types, "records": obs.get.get("records", 0), "files": t.files, "bytes_read": t.bytes}
+        n_rejected = rejects.get.get("rejected", 0)
+        if n_rejected:       # no second pass over the data when every row fits
+            write_rejects(rejected, f"{quarantine}/{t.table}")
+        return {"types": types, "records": obs.get.get("records", 0), "rejected": n_rejected, "files": t.files,
+                "bytes_read": t.bytes}
 
     # Tables of one batch are independent: their jobs are submitted from a few driver threads so
     # the cluster works on all of them at once instead of one table after another.
     results = {}
     items = sorted(tables, key=lambda t: t.table)
-    with ThreadPoolExecutor(max_workers=max(1, min(max_parallel_tables, len(items)))) as pool:
+    workers = max(1, min(max_parallel_tables, len(items)))
+    with partition_overwrite(spark), ThreadPoolExecutor(max_workers=workers) as pool:
         for t, result in zip(items, pool.map(load, items)):
             if result is not None:
                 results[t.table] = result
@@ -192,7 +224,7 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
 
 def ingest_flat_reports(spark: SparkSession, paths: str | Sequence[str], database: str, table: str,
                         timestamp: str | None = None, partition_by: Sequence[str] = (),
-                        location_root: str | None = None) -> DataFrame:
+                        location_root: str | None = None, quarantine_path: str | None = None) -> DataFrame:
     """Flat report job: JSON arrays (optionally gzip) -> one table, with an ingest ``timestamp``.
 
     Mixed numeric fields are DOUBLE and numeric/text mixes STRING (C7) by
@@ -202,39 +234,70 @@ def ingest_flat_reports(spark: SparkSession, paths: str | Sequence[str], databas
     create_database(spark, database, location_root)
     df = read_record_array_json(spark, paths)
     stamp = F.lit(timestamp).cast("timestamp") if timestamp else F.col("file_modification_time")
-    out = df.withColumn("timestamp", stamp).drop("file_path", "file_size", "file_modification_time")
-    out = out.drop(*[c for c in out.columns if c == "_corrupt_record"])
-    create_or_update_table(spark, out, f"{database}.{table}", partition_by,
-                           location=f"{location_root}/{table}" if location_root else None)
+    out = df.withColumn("timestamp", stamp).withColumn("source_file", report_file(F.col("file_path")))
+    load_report(spark, out.drop("file_path", "file_size", "file_modification_time"), database, table, partition_by,
+                location_root, quarantine_path)
     return spark.table(f"{database}.{table}")
 
 
+def report_file(path):
+    return source_file(path, F.element_at(F.split(path, "/"), -1))
+
+
+def load_report(spark: SparkSession, out: DataFrame, database: str, table: str, partition_by: Sequence[str],
+                location_root: str | None, quarantine_path: str | None) -> None:
+    """Write report records (with their ``source_file``): a file's records replace those it had before.
+
+    Broken files and records that do not fit the table's types go to quarantine as text.
+    """
+    name = f"{database}.{table}"
+    schema = spark.table(name).schema if spark.catalog.tableExists(name) else StructType()
+    fields = [c for c in out.columns if c not in (CORRUPT, "source_file", "timestamp")]
+    broken = F.col(CORRUPT) if CORRUPT in out.columns else F.lit(None).cast("string")
+    record = F.coalesce(broken, F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields])))
+    out = out.withColumn("_record", record).withColumn("_broken", broken.isNotNull()).drop(CORRUPT)
+    out = typecast.conform_to_schema(out, schema)
+    fits = (F.size("_bad_columns") == 0) & ~F.col("_broken")
+    rejected = out.where(~fits).select(
+        F.col("_record").alias("record"), "source_file",
+        F.when(F.col("_broken"), F.lit("no JSON")).otherwise(F.array_join("_bad_columns", ",")).alias("reason"))
+    rejects = Observation(f"rejects_{table}_{uuid.uuid4().hex[:8]}")
+    out = out.observe(rejects, F.count_if(~fits).alias("rejected"))
+    create_or_update_table(spark, out.where(fits).drop("_bad_columns", "_record", "_broken"), name,
+                           [*partition_by, "source_file"], overwrite_partitions=True,
+                           location=f"{location_root}/{table}" if location_root else None)
+    if rejects.get.get("rejected", 0):
+        write_rejects(rejected, f"{quarantine_root(spark, database, location_root, quarantine_path)}/{table}")
+
+
 def ingest_report_documents(spark: SparkSession, paths: str | Sequence[str], database: str, table_prefix: str,
-                            timestamp: str | None = None, location_root: str | None = None
-                            ) -> dict[str, DataFrame]:
+                            timestamp: str | None = None, location_root: str | None = None,
+                            quarantine_path: str | None = None) -> dict[str, DataFrame]:
     """Document report job: one table ``{prefix}_{array}`` per non-empty array of the documents (G1).
 
     The parsed documents are persisted once because each array is a separate write.
     """
     create_database(spark, database, location_root)
-    docs = read_record_array_json(spark, paths).drop("file_path", "file_size")
-    docs = docs.persist()
+    docs = read_record_array_json(spark, paths).withColumn("source_file", report_file(F.col("file_path")))
+    docs = docs.drop("file_path", "file_size").persist()
     try:
-        tables = reports.split_report(docs.drop("file_modification_time"), table_prefix)
+        if CORRUPT in docs.columns:
+            broken = docs.where(F.col(CORRUPT).isNotNull()).select(
+                F.col(CORRUPT).alias("record"), F.lit("no JSON").alias("reason"), "source_file")
+            if not broken.isEmpty():
+                write_rejects(broken, f"{quarantine_root(spark, database, location_root, quarantine_path)}/{table_prefix}")
+            docs_ok = docs.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        else:
+            docs_ok = docs
+        tables = reports.split_report(docs_ok.drop("file_modification_time"), table_prefix, keep=["source_file"])
         written = {}
         for name, frame in tables.items():
             stamp = F.lit(timestamp).cast("timestamp") if timestamp else F.current_timestamp()
             out = frame.withColumn("timestamp", stamp)
             if out.isEmpty():          # an array that is empty in every document gives no table
                 continue
-            create_or_update_table(spark, out, f"{database}.{name}",
-                                   location=f"{location_root}/{name}" if location_root else None)
+            load_report(spark, out, database, name, (), location_root, quarantine_path)
             written[name] = spark.table(f"{database}.{name}")
         return written
     finally:
         docs.unpersist()
-
-
-def apply_transform(df: DataFrame, registry, dataset: str, stage: str = "heavy") -> DataFrame:
-    """Run the dataset's registered transform for a stage (see ``plans.registry``)."""
-    return registry.apply(df, dataset, stage)

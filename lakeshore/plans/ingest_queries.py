@@ -189,7 +189,7 @@ def schema_validation(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("export_year", F.date_format("o_orderdate", "yyyy"))
     create_or_update_table(spark, o.where(F.col("export_year") < "2001"), f"{db}.orders", ["export_year"],
                            {"customer_hash": CUSTOMER_PREFIX}, location=location)
-    later = o.where(F.col("export_year") == "2001").withColumn(
+    later = o.where(F.col("export_year") >= "2001").withColumn(
         "o_discount", F.round(F.col("o_totalprice") * 0.05, 2))
     write_parquet(later, location, ["export_year"], mode="append")
     recover_partitions(spark, f"{db}.orders")

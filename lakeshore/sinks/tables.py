@@ -9,12 +9,13 @@ replaces rather than duplicates.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from lakeshore.operators.typecast import added_columns
+from lakeshore.operators.typecast import added_columns, conform_to_schema
 
 
 def _q(name: str) -> str:
@@ -22,10 +23,10 @@ def _q(name: str) -> str:
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """K1: Snappy Parquet; with ``partition_by`` and dynamic overwrite only touched partitions are replaced."""
+    """K1: Snappy Parquet; with ``partition_by`` an overwrite replaces only the touched partitions."""
     writer = df.write.mode(mode).option("compression", "snappy")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
 
 
@@ -82,18 +83,33 @@ def create_or_update_table(spark: SparkSession, df: DataFrame, name: str, partit
     else:
         evolve_table(spark, name, df.schema)
     target = spark.table(name).schema
+    if any(f.name in df.columns and df.schema[f.name].dataType != f.dataType for f in target.fields):
+        # a value that the table's type cannot hold fails the write; nothing is cut to fit
+        df = conform_to_schema(df, target, strict=True).where(F.size("_bad_columns") == 0).drop("_bad_columns")
     have = set(df.columns)
     aligned = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in have
                           else F.lit(None).cast(f.dataType).alias(f.name) for f in target.fields])
     if not overwrite_partitions:
         aligned.write.insertInto(name)
         return
-    # replace only the batch's partitions, whatever the session's default mode is
+    with partition_overwrite(spark):
+        aligned.write.insertInto(name, overwrite=True)
+
+
+@contextmanager
+def partition_overwrite(spark: SparkSession):
+    """Inside, overwriting replaces only the batch's partitions, whatever the session's own mode is.
+
+    Entered once around writes from several threads; inside it the setting is left alone.
+    """
     key = "spark.sql.sources.partitionOverwriteMode"
     before = spark.conf.get(key, None)
+    if (before or "").lower() == "dynamic":
+        yield
+        return
     spark.conf.set(key, "dynamic")
     try:
-        aligned.write.insertInto(name, overwrite=True)
+        yield
     finally:
         if before is None:
             spark.conf.unset(key)
@@ -101,6 +117,16 @@ def create_or_update_table(spark: SparkSession, df: DataFrame, name: str, partit
             spark.conf.set(key, before)
 
 
+def write_rejects(df: DataFrame, path: str) -> None:
+    """K6: rejected rows (source_file, record as JSON text, reason), replacing those of the same files.
+
+    One text column whatever the batch's types, so that all generations read as one table.
+    """
+    with partition_overwrite(df.sparkSession):
+        (df.select(F.col("record").cast("string"), F.col("reason").cast("string"), F.col("source_file").cast("string"))
+         .write.mode("overwrite").partitionBy("source_file").parquet(path))
+
+
 def overwrite_table(spark: SparkSession, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
     """K3: replace the table (definition and data)."""
     writer = df.write.mode("overwrite").format("parquet").option("compression", "snappy")

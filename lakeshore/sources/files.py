@@ -11,20 +11,31 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 FILE_COLS = ("file_path", "file_size", "file_modification_time")
 
 
+# any case of the extension, as F3 accepts it
+CSV_GLOB = "*.[cC][sS][vV]"
+JSON_GLOB = "*.{[jJ][sS][oO][nN],[gG][zZ]}"
+
+
+def plain_path(file_path: Column) -> Column:
+    """The path as listings write it: ``_metadata.file_path`` is URL-encoded (a blank is %20)."""
+    return F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+
+
 def _file_attrs(df: DataFrame) -> DataFrame:
-    return df.select("*", *[F.col(f"_metadata.{c}").alias(c) for c in FILE_COLS])
+    return df.select("*", plain_path(F.col("_metadata.file_path")).alias("file_path"),
+                     *[F.col(f"_metadata.{c}").alias(c) for c in FILE_COLS[1:]])
 
 
 def read_workflow_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType | None = None,
-                      with_attributes: bool = True, quote_parity: bool = False, check_header: bool = True
-                      ) -> DataFrame:
+                      with_attributes: bool = True, quote_parity: bool = False, check_header: bool = True,
+                      multi_line: bool = True) -> DataFrame:
     """CSV results with a header, every column as text.
 
     Blank lines are skipped by the reader; ``\\`` escapes quotes, so a quoted
@@ -33,9 +44,11 @@ def read_workflow_csv(spark: SparkSession, paths: str | Sequence[str], schema: S
     (the reader knows one ``nullValue`` only); C10 does it.  With a ``schema``
     (all strings, for streaming) no header inference pass is needed; ``check_header=False``
     then skips each file's header line without comparing it with the schema.
+    A quoted field may hold line breaks; files known to have none can be split
+    over several tasks with ``multi_line=False``.
     """
-    reader = (spark.read.option("header", True).option("escape", "\\").option("multiLine", False)
-              .option("recursiveFileLookup", True)
+    reader = (spark.read.option("header", True).option("escape", "\\").option("multiLine", multi_line)
+              .option("recursiveFileLookup", True).option("pathGlobFilter", CSV_GLOB)
               .option("inferSchema", False).option("mode", "PERMISSIVE").option("enforceSchema", not check_header))
     if schema is not None:
         reader = reader.schema(schema)
@@ -46,8 +59,11 @@ def read_workflow_csv(spark: SparkSession, paths: str | Sequence[str], schema: S
     return _file_attrs(df) if with_attributes else df
 
 
+CORRUPT = "_corrupt_record"
+
+
 def _report_reader(spark: SparkSession):
-    return (spark.read.option("multiLine", True).option("pathGlobFilter", "*.{json,gz}")
+    return (spark.read.option("multiLine", True).option("pathGlobFilter", JSON_GLOB)
             .option("recursiveFileLookup", True))
 
 
@@ -59,11 +75,14 @@ def read_record_array_json(spark: SparkSession, paths: str | Sequence[str], sche
     Without a ``schema`` the batch's schema is inferred by ``infer_json_schema``
     (distributed; mixed numeric fields DOUBLE, numeric/text mixes STRING: C7/C8),
     then the files are read with it.  A multi-line file is read whole by one
-    task, so parallelism comes from the number of files.
+    task, so parallelism comes from the number of files.  A file that is no JSON is
+    one row whose text is in ``_corrupt_record``; the jobs send it to quarantine.
     """
     paths = list(paths) if not isinstance(paths, str) else paths
     if schema is None:
         schema = infer_json_schema(spark, paths)
+        if schema is not None and CORRUPT not in schema.fieldNames():
+            schema = StructType([*schema.fields]).add(CORRUPT, "string")
     reader = _report_reader(spark)
     if schema is not None:
         reader = reader.schema(schema)
@@ -163,16 +182,19 @@ def infer_json_schema(spark: SparkSession, paths: str | Sequence[str]) -> Struct
     record types merged by ``schema_of_variant_agg``.  Spark's own multi-line
     JSON inference reads the batch through at most two tasks, which does not
     scale with the number of report files.  Returns None when the records are
-    not objects (the caller then falls back to Spark's inference).
+    not objects, or a file is no VARIANT (broken, or beyond its size limit): the
+    caller then falls back to Spark's inference, which leaves no field out.
     """
-    text = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.{json,gz}")
+    text = (spark.read.option("wholetext", True).option("pathGlobFilter", JSON_GLOB)
             .option("recursiveFileLookup", True).text(paths))
     docs = text.select(F.ltrim("value").startswith("[").alias("_is_array"),
-                       F.try_parse_json("value").alias("_v")).where(F.col("_v").isNotNull())
-    records = docs.select(F.explode(
+                       F.try_parse_json("value").alias("_v"))
+    records = docs.select(F.col("_v").isNull().alias("_failed"), F.explode_outer(
         F.when(F.col("_is_array"), F.variant_get("_v", "$", "array<variant>"))
         .otherwise(F.array(F.col("_v")))).alias("_r"))
-    merged = records.agg(F.schema_of_variant_agg("_r").alias("s")).first().s
+    # explode_outer above: an unparsed file is one NULL record, an empty array none that counts
+    row = records.agg(F.schema_of_variant_agg("_r").alias("s"), F.count_if("_failed").alias("failed")).first()
+    merged = None if row.failed else row.s
     if not merged or not merged.startswith("OBJECT<"):
         return None
     return _parse_datatype_string(variant_schema_to_ddl(merged))

@@ -11,20 +11,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lakeshore.operators import typecast
 from lakeshore.operators.batching import micro_batch_options, pending_files_ready
 from lakeshore.plans.ingest import (Customer, ingest_flat_reports, ingest_report_documents,
                                     ingest_workflow_results)
-from lakeshore.sources.files import list_objects
-from lakeshore.sinks.tables import create_or_update_table
+from lakeshore.sources.files import CSV_GLOB, JSON_GLOB, list_objects
+from lakeshore.sinks.tables import create_or_update_table, write_rejects
 from lakeshore.streaming.state import init_log, read_log, run_available_now, write_batch_partition
 
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def landing_stream(spark: SparkSession, root: str, glob: str = "*.csv", max_files: int = 100) -> DataFrame:
+def landing_stream(spark: SparkSession, root: str, glob: str = CSV_GLOB, max_files: int = 100) -> DataFrame:
     """Stream of newly landed files (path, length, modificationTime)."""
     reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", True)
               .option("pathGlobFilter", glob))
@@ -51,7 +52,7 @@ def ingest_stream(spark: SparkSession, root: str, database: str, customer: Custo
     init_log(spark, processed_path, PROCESSED_SCHEMA)
     if min_files > 1:
         processed = read_log(spark, processed_path, PROCESSED_SCHEMA)
-        if not pending_files_ready(list_objects(spark, root, "*.csv"), processed, min_files):
+        if not pending_files_ready(list_objects(spark, root, CSV_GLOB), processed, min_files):
             return []
     reports: list[dict] = []
 
@@ -66,7 +67,7 @@ def ingest_stream(spark: SparkSession, root: str, database: str, customer: Custo
                               marker_path, batch_id)
         reports.append({"batch_id": batch_id, "tables": result})
 
-    run_available_now(landing_stream(spark, root, "*.csv", max_files), handle, checkpoint)
+    run_available_now(landing_stream(spark, root, CSV_GLOB, max_files), handle, checkpoint)
     return reports
 
 
@@ -96,29 +97,35 @@ def report_stream(spark: SparkSession, root: str, database: str, table: str, che
                               marker_path, batch_id)
         reports.append({"batch_id": batch_id, "files": len(paths), "tables": names})
 
-    run_available_now(landing_stream(spark, root, "*.{json,gz}", max_files), handle, checkpoint)
+    run_available_now(landing_stream(spark, root, JSON_GLOB, max_files), handle, checkpoint)
     return reports
 
 
 def redrive(spark: SparkSession, quarantine_path: str, database: str, table: str, next_path: str) -> int:
-    """Replay quarantined rows of a table against its current schema.
+    """Replay the rejected rows (see ``write_rejects``) of a table against its current schema.
 
-    Rows that conform now are appended to the table; the rest go to
-    ``next_path`` (a new quarantine generation; nothing is deleted).
-    Returns the number of rows loaded.
+    Rows that conform now are loaded; the rest go to ``next_path`` (a new quarantine generation; nothing
+    is deleted).  Replayed rows get a partition of their own, named after their file and this quarantine,
+    and replace it, so a second call loads nothing twice.  Returns the number of rows loaded.
     """
-    q = spark.read.parquet(quarantine_path)
-    drop = [c for c in q.columns if c.startswith("_")]
-    rows = q.drop(*drop)
     target = spark.table(f"{database}.{table}").schema
-    conformed = typecast.conform_to_schema(rows, target, keep_source=True).persist()
+    raw = StructType([StructField(f.name, StringType()) for f in target.fields])
+    rejects = spark.read.parquet(quarantine_path)
+    rows = rejects.select(F.from_json("record", raw).alias("_r"), "record", F.col("source_file").alias("_file")).select(
+        "_r.*", F.col("record").alias("_record"), "_file")
+    conformed = typecast.conform_to_schema(rows, target).persist()
     try:
-        good = conformed.where(F.size("_bad_columns") == 0).drop("_bad_columns", "_source")
-        still_bad = conformed.where(F.size("_bad_columns") > 0).select("_source.*", "_bad_columns")
+        good = conformed.where(F.size("_bad_columns") == 0)
+        generation = F.substring(F.sha1(F.lit(quarantine_path.rstrip("/")).cast("binary")), 1, 8)
+        partitions = [c.name for c in spark.catalog.listColumns(f"{database}.{table}") if c.isPartition]
         n = good.count()
         if n:
-            create_or_update_table(spark, good, f"{database}.{table}")
-        still_bad.write.mode("append").parquet(next_path)
+            out = good.withColumn("source_file", F.concat("_file", F.lit("-redriven-"), generation)) if partitions else good
+            create_or_update_table(spark, out.drop("_bad_columns", "_record", "_file"), f"{database}.{table}", partitions,
+                                   overwrite_partitions=bool(partitions))
+        still_bad = conformed.where(F.size("_bad_columns") > 0)
+        write_rejects(still_bad.select(F.col("_record").alias("record"), F.array_join("_bad_columns", ",").alias("reason"),
+                                       F.col("_file").alias("source_file")), next_path)
         return n
     finally:
         conformed.unpersist()

@@ -1,9 +1,10 @@
+import json
 import os
 
 from pyspark.sql import functions as F
 
 from lakeshore.plans.ingest import Customer
-from lakeshore.sinks.tables import add_partitions, create_or_update_table, with_sort_keys
+from lakeshore.sinks.tables import add_partitions, create_or_update_table, with_sort_keys, write_rejects
 from lakeshore.sources.files import list_objects, parquet_schema
 from lakeshore.streaming.ingest import ingest_stream, redrive
 from lakeshore.streaming.state import current_from_log, stream_latest_per_key
@@ -65,13 +66,16 @@ def test_ingest_stream_restart_adds_no_rows(spark, workdir):
 def test_redrive_loads_rows_that_now_conform(spark, workdir):
     loc = os.path.join(workdir, "t")
     create_or_update_table(spark, spark.createDataFrame([(1, "a")], "n bigint, v string"), "rd_t", location=loc)
+    spark.sql("DROP TABLE rd_t")
+    create_or_update_table(spark, spark.createDataFrame([(1, "a", "f0")], "n bigint, v string, source_file string"), "rd_t",
+                           ["source_file"], location=loc + "2")
     q = os.path.join(workdir, "q")
-    spark.createDataFrame([("2", "b", ["n"]), ("oops", "c", ["n"])], "n string, v string, _bad_columns array<string>") \
-        .write.parquet(q)
-    loaded = redrive(spark, q, "default", "rd_t", os.path.join(workdir, "q2"))
-    assert loaded == 1
-    assert sorted(r.n for r in spark.table("rd_t").collect()) == [1, 2]
-    assert [r.n for r in spark.read.parquet(os.path.join(workdir, "q2")).collect()] == ["oops"]
+    write_rejects(spark.createDataFrame([('{"n":"2","v":"b"}', "n", "f1"), ('{"n":"oops","v":"c"}', "n", "f1")],
+                                        "record string, reason string, source_file string"), q)
+    for _ in range(2):      # a second call replaces what the first one loaded
+        assert redrive(spark, q, "default", "rd_t", os.path.join(workdir, "q2")) == 1
+        assert sorted(r.n for r in spark.table("rd_t").collect()) == [1, 2]
+        assert [json.loads(r.record)["n"] for r in spark.read.parquet(os.path.join(workdir, "q2")).collect()] == ["oops"]
 
 
 def test_latest_per_key_stream_over_two_batches(spark, workdir):

@@ -1,5 +1,6 @@
 """Typing goldens (FIXTURES.md section 8 cases and SURVEY section 8 quirks)."""
 
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -113,7 +114,7 @@ def test_bad_values_go_to_quarantine(spark, workdir):
     ingest_workflow_results(spark, root2, "q_db", cust, quarantine_path=quarantine, location_root=tables)
     assert sorted(r.n for r in spark.table("q_db.p_q_adhoc").collect()) == [1, 2, 3]
     bad = spark.read.parquet(f"{quarantine}/p_q_adhoc").collect()
-    assert [(r.n, r._bad_columns) for r in bad] == [("not-a-number", ["n"])]
+    assert [(json.loads(r.record)["n"], r.reason) for r in bad] == [("not-a-number", "n")]
 
 
 def test_changed_header_within_one_batch(spark, workdir):
