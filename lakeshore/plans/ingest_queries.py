@@ -99,6 +99,89 @@ FROM orders
 """
 
 
+# ---- drifting types, rejects and re-runs -------------------------------------------
+
+def type_drift_ingest(spark, sf_dir):
+    """Rows in = rows loaded + rows rejected, whatever drifts, and a re-run adds nothing.
+
+    Finished orders land first: their codes are text and their totals whole numbers, which makes the
+    columns STRING and BIGINT.  The others follow, twice, under a workflow name with a blank: codes of
+    digits with leading zeros (they stay as they are), notes with line breaks, and real totals
+    (whole ones load, others are rejected with their file)."""
+    landing, tables, db = _run_dirs(spark, "drift")
+    customer = Customer("acme", "c0ffee", ())
+    o = table(spark, sf_dir, "orders")
+    done = F.col("o_orderstatus") == "F"
+    code = F.concat(F.when(done, F.lit("A")).otherwise(F.lit("00")), F.col("o_orderkey").cast("string"))
+    total = F.when(done | (F.col("o_orderkey") % 2 == 0), F.floor("o_totalprice").cast("string")) \
+        .otherwise(F.col("o_totalprice").cast("string"))
+    for batch, rows in (("b1", o.where(done)), ("b2", o.where(~done)), ("b2", None)):
+        path = os.path.join(landing, batch)
+        if rows is not None:
+            (rows.select(F.lit("my orders").alias("workflow"), F.lit("adhoc").alias("schedule"), "o_orderkey",
+                         code.alias("code"), total.alias("total"),
+                         F.concat(F.col("o_orderpriority"), F.lit("\n"), F.col("o_orderstatus")).alias("note"))
+             .write.partitionBy("workflow", "schedule").option("header", True).csv(path))
+        ingest_workflow_results(spark, path, db, customer, location_root=tables)
+    (name,) = [r.tableName for r in spark.sql(f"SHOW TABLES IN `{db}`").collect() if not r.isTemporary]
+    loaded = spark.table(f"{db}.{name}").select("o_orderkey", "code", F.col("total").cast("double").alias("total"), "note",
+                                               F.lit("loaded").alias("state"))
+    record = "o_orderkey string, code string, total string, note string"     # rejected CSV rows are kept as they were
+    rejected = (spark.read.parquet(os.path.join(tables, "_quarantine", name))
+                .select(F.from_json("record", record).alias("r"), F.col("reason").alias("state"))
+                .select(F.col("r.o_orderkey").cast("bigint").alias("o_orderkey"), "r.code",
+                        F.col("r.total").cast("double").alias("total"), "r.note", "state"))
+    return loaded.unionByName(rejected)
+
+
+SQL_TYPE_DRIFT_INGEST = """
+WITH o AS (
+  SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'A' ELSE '00' END || o_orderkey AS code,
+         CASE WHEN o_orderstatus = 'F' OR o_orderkey % 2 = 0 THEN floor(o_totalprice) ELSE o_totalprice END AS total,
+         o_orderpriority || chr(10) || o_orderstatus AS note
+  FROM orders)
+SELECT *, CASE WHEN total = floor(total) THEN 'loaded' ELSE 'total' END AS state FROM o
+"""
+
+
+def report_drift_ingest(spark, sf_dir):
+    """Flat reports whose second batch, loaded twice, has fractions where the table has whole
+    numbers, and a file that is no JSON: fractions and the broken file are rejected, all else loads."""
+    landing, tables, db = _run_dirs(spark, "report_drift")
+    li = table(spark, sf_dir, "lineitem")
+    first = F.col("l_orderkey") % 2 == 0
+    sales = F.when(first | (F.col("l_linenumber") == 1), F.floor("l_extendedprice").cast("string")).otherwise(
+        F.col("l_extendedprice").cast("string"))
+    record = F.concat(F.lit('{"l_orderkey":'), F.col("l_orderkey").cast("string"), F.lit(',"l_linenumber":'),
+                      F.col("l_linenumber").cast("string"), F.lit(',"sales":'), sales, F.lit("}"))
+    for batch, keep in (("b1", first), ("b2", ~first), ("b2", None)):
+        path = os.path.join(landing, batch)
+        if keep is not None:
+            (li.where(keep).groupBy(F.floor(F.col("l_orderkey") / ORDERS_PER_DOCUMENT).alias("doc"))
+             .agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
+             .select("value").repartition(max(1, spark.sparkContext.defaultParallelism)).write.option("lineSep", "\n")
+             .option("maxRecordsPerFile", 1).option("compression", "gzip").text(path))
+            spark.range(1).select(F.lit('[{"l_orderkey":').alias("value")).write.mode("append").option(
+                "compression", "gzip").text(path)
+        ingest_flat_reports(spark, path, db, "lines", FIXED_TIMESTAMP, location_root=tables)
+    loaded = spark.table(f"{db}.lines").select("l_orderkey", "l_linenumber", F.col("sales").cast("double").alias("sales"),
+                                              F.lit("loaded").alias("state"))
+    rejected = (spark.read.parquet(os.path.join(tables, "_quarantine", "lines"))
+                .select(F.from_json("record", "l_orderkey bigint, l_linenumber bigint, sales double").alias("r"),
+                        F.col("reason").alias("state")).select("r.*", "state"))
+    return loaded.unionByName(rejected)
+
+
+SQL_REPORT_DRIFT_INGEST = """
+WITH l AS (
+  SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+         CASE WHEN l_orderkey % 2 = 0 OR l_linenumber = 1 THEN floor(l_extendedprice) ELSE l_extendedprice END AS sales
+  FROM lineitem)
+SELECT *, CASE WHEN sales = floor(sales) THEN 'loaded' ELSE 'sales' END AS state FROM l
+UNION ALL SELECT NULL, NULL, NULL, 'no JSON' FROM range(2)
+"""
+
+
 # ---- flat JSON array reports (gzip) ------------------------------------------------
 
 def _line_record(sales_mixed: bool = True):
@@ -219,6 +302,8 @@ INGEST_QUERIES = {
     "document_ingest": document_ingest,
     "schema_validation": schema_validation,
     "redrive_ingest": redrive_ingest,
+    "type_drift_ingest": type_drift_ingest,
+    "report_drift_ingest": report_drift_ingest,
 }
 INGEST_ORACLE_SQL = {
     "csv_ingest": SQL_CSV_INGEST,
@@ -226,4 +311,6 @@ INGEST_ORACLE_SQL = {
     "document_ingest": SQL_DOCUMENT_INGEST,
     "schema_validation": SQL_SCHEMA_VALIDATION,
     "redrive_ingest": SQL_REDRIVE_INGEST,
+    "type_drift_ingest": SQL_TYPE_DRIFT_INGEST,
+    "report_drift_ingest": SQL_REPORT_DRIFT_INGEST,
 }
