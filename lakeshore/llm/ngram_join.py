@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,7 +32,8 @@ from lakeshore.llm.common import text_batches, written
 from lakeshore.llm.components import components
 
 WIDTH, PERCENT = 5, 80
-GROUPS = 64
+#: groups of shingles; the tree's boxes use the sums of FOLD neighbouring groups
+GROUPS, FOLD = 512, 8
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 16
 #: rows of a bucket that one search holds; leaf size and fan-out of the tree
 PIECE, LEAF, FAN = 4_096, 16, 16
@@ -152,7 +154,7 @@ def points(docs: DataFrame) -> DataFrame:
                     h = xxhash.xxh3_128_intdigest(words.tobytes())
                     df = seen[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
                     first = s[np.lexsort((s, df))[:prefix_length(len(s))]]
-                    counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+                    counts = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=GROUPS)
                     scale = max(1, -(-int(counts.max()) // 255)) if len(s) else 1
                     out.append((len(s), np.int64(np.uint64(h >> 64).view(np.int64)), np.uint64(h & (2**64 - 1)).view(np.int64),
                                 float(np.log1p(df).mean()) if len(s) else 0.0, first.view(np.int64), scale,
@@ -174,15 +176,24 @@ def needed(n1, n2):
     return -(-PERCENT * (n1 + n2) // (100 + PERCENT))
 
 
+def fold(counts: np.ndarray) -> np.ndarray:
+    return counts.reshape(len(counts), -1, FOLD).sum(2, dtype=np.int32)
+
+
 class CountTree:
-    """A packed R-tree over count vectors; only the upper corners and the sizes' bounds matter here."""
+    """A packed R-tree over count vectors; only the upper corners and the sizes' bounds matter here.
+
+    Boxes and the first look at a point use folded groups (sums of neighbours): their minima bound the
+    overlap too, at an eighth of the work.
+    """
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray):
-        wide = int(np.argmax(counts.var(0))) if len(counts) > 1 else 0
-        self.order = np.lexsort((counts[:, wide], sizes))
-        self.counts, self.sizes = counts[self.order], sizes[self.order]
+        rough = fold(counts)
+        wide = int(np.argmax(rough.var(0))) if len(counts) > 1 else 0
+        self.order = np.lexsort((rough[:, wide], sizes))
+        self.counts, self.rough, self.sizes = counts[self.order], rough[self.order], sizes[self.order]
         self.levels = []
-        high, low_n, high_n, step = self.counts, self.sizes, self.sizes, LEAF
+        high, low_n, high_n, step = self.rough, self.sizes, self.sizes, LEAF
         while len(high) > 1:
             cut = np.arange(0, len(high), step)
             high = np.maximum.reduceat(high, cut, axis=0)
@@ -192,22 +203,24 @@ class CountTree:
 
     def search(self, q: np.ndarray, n: int) -> np.ndarray:
         """Positions (as given) of the points whose overlap bound allows a link with (q, n)."""
-        nodes = None
+        nodes, rough = None, fold(q[None, :])[0]
         for k in range(len(self.levels) - 1, -1, -1):
             step, high, low_n, high_n = self.levels[k]
             if nodes is None:
                 nodes = np.arange(len(high))
             ok = (100 * low_n[nodes] <= 100 * 100 * n // PERCENT) & (100 * high_n[nodes] >= PERCENT * n)
             nodes = nodes[ok]
-            ok = np.minimum(high[nodes], q).sum(1) >= needed(n, low_n[nodes])
+            ok = np.minimum(high[nodes], rough).sum(1) >= needed(n, low_n[nodes])
             nodes = nodes[ok]
             below = len(self.counts) if k == 0 else len(self.levels[k - 1][1])
             nodes = (nodes[:, None] * step + np.arange(step)).ravel()
             nodes = nodes[nodes < below]
         if nodes is None:
             nodes = np.arange(len(self.counts))
-        ok = np.minimum(self.counts[nodes], q).sum(1) >= needed(n, self.sizes[nodes])
-        return self.order[nodes[ok]]
+        for points_, query in ((self.rough, rough), (self.counts, q)):
+            ok = np.minimum(points_[nodes], query).sum(1, dtype=np.int64) >= needed(n, self.sizes[nodes])
+            nodes = nodes[ok]
+        return self.order[nodes]
 
 
 def bucket_pairs(row: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
@@ -220,7 +233,7 @@ def bucket_pairs(row: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndar
         i, j = np.triu_indices(len(row), 1)
         ok = (comp[i] != comp[j]) & ((side[i] == 2) | (side[i] != side[j]))
         i, j = i[ok], j[ok]
-        ok = np.minimum(counts[i], counts[j]).sum(1) >= needed(n[i], n[j])
+        ok = np.minimum(counts[i], counts[j]).sum(1, dtype=np.int64) >= needed(n[i], n[j])
         return [(min(a, b), max(a, b)) for a, b in zip(row[i[ok]].tolist(), row[j[ok]].tolist())]
     tree = CountTree(counts, n)
     for i in range(len(row)):
@@ -241,9 +254,9 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve():
         row, n, comp, side, scale, counts = zip(*[h[1:] for h in held])
         if len(row) > 1 and len(set(comp)) > 1:
-            c = np.frombuffer(b"".join(counts), dtype=np.uint8).reshape(len(row), GROUPS).astype(np.int64)
+            c = np.frombuffer(b"".join(counts), dtype=np.uint8).reshape(len(row), GROUPS)
             if max(scale) > 1:
-                c = c * np.array(scale)[:, None]
+                c = c.astype(np.int32) * np.array(scale, dtype=np.int32)[:, None]
             found.update(bucket_pairs(np.array(row), np.array(n), np.array(comp), np.array(side), c))
 
     def sent():
@@ -267,31 +280,60 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """h1, h2, shingles (their hashes) of every document (text)."""
+    """doc_id, h1, h2, shingles (their hashes) of every document (doc_id, text)."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         with np.errstate(over="ignore"):
             for b in batches:
                 h1, h2, out = [], [], []
-                for t in b.column(0).to_pylist():
+                for t in b.column(1).to_pylist():
                     words = word_hashes(t, powers) if t else np.zeros(0, dtype=np.uint64)
                     h = xxhash.xxh3_128_intdigest(words.tobytes())
                     h1.append(np.uint64(h >> 64).view(np.int64))
                     h2.append(np.uint64(h & (2**64 - 1)).view(np.int64))
                     out.append(shingles(words).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                                                  pa.array(out, pa.list_(pa.int64()))], names=["h1", "h2", "shingles"])
-    return docs.select("text").mapInArrow(sets, "h1 long, h2 long, shingles array<long>")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
+                                                  pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "shingles"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, h1 long, h2 long, shingles array<long>")
+
+
+def probably_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is in ``ids`` (i), and a few others: a bitmap of the ids' hashes decides.
+
+    So no text is shuffled to find a small part of the documents.  The bitmap has 32 bits an id and 8 MB
+    at most; a full one lets more documents pass, and the join that follows drops them.
+    """
+    bits = 1 << min(26, max(16, (32 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = place("i") + 1
+    parts = (ids.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit"))
+             .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map")).collect())
+    bitmap = np.zeros(-(-bits // 8), dtype=np.uint8)
+    for r in parts:
+        piece = np.frombuffer(bytes(r["map"]), dtype=np.uint8)
+        start = (r["part"] - 1) * len(piece)
+        bitmap[start:start + len(piece)] = piece[:len(bitmap) - start]
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def has(p: pd.Series) -> pd.Series:
+        p = p.to_numpy()
+        return pd.Series((shared.value[p >> 3] >> (p & 7)) & 1 == 1)
+
+    return docs.filter(has(place("doc_id")))
 
 
 def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of rows whose sets link, verified on the whole sets."""
     rows = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     asked = written(rows.join(reps.select("rep", "h1", "h2", "d0"), "rep"), f"{name}-asked")
-    # the smallest id of each text finds its document again; its hash then picks the text
-    texts = docs.join(asked.select(F.col("d0").alias("i")).distinct(), F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
-    sets = written(shingle_sets(texts).join(asked.select("rep", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["rep"])
-                   .select("rep", "shingles"), f"{name}-sets")
+    # the smallest id of each text finds its document again; its hash then picks the text.  A row that
+    # repeats id and text only repeats links.
+    found = shingle_sets(probably_among(docs, asked.select(F.col("d0").alias("i")).distinct()))
+    asked = asked.select("rep", "d0", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
+    sets = written(found.join(asked, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2"))
+                              & F.col("doc_id").eqNullSafe(F.col("d0"))).select("rep", "shingles"), f"{name}-sets")
     one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(one, "a").join(two, "b")
@@ -325,14 +367,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     .filter("row != rep").select("row"), "ngram-copies")
     texts = rows.filter("n > 0").join(again, "row", "left_anti")
 
-    members = texts.select("row", "n", F.explode("prefix").alias("bucket"))
+    members = texts.select("row", F.explode("prefix").alias("bucket"))
     shared = (members.groupBy("bucket")
               .agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("row")).alias("x"),
                    F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y")).filter("k > 1"))
     # near copies share many buckets of the same members: one of them is enough
     shared = shared.groupBy("k", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "k")
     members = members.join(shared, "bucket")
-    facts = rows.select("row", "typical")
+    facts = rows.select("row", "n", "typical")
     members = written(members.join(facts, "row"), "ngram-members")
     vectors = rows.select("row", "scale", "counts")
 
@@ -379,7 +421,7 @@ def bounded(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n1, s1, n2, s2 = (np.array(b.column(i)) for i in (2, 3, 5, 6))
-            c1, c2 = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(b.num_rows, GROUPS).astype(np.int64)
+            c1, c2 = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(b.num_rows, GROUPS).astype(np.int32)
                       for i in (4, 7))
             ok = np.minimum(c1 * s1[:, None], c2 * s2[:, None]).sum(1) >= needed(n1, n2)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])

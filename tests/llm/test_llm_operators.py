@@ -438,8 +438,8 @@ def test_ngram_join_hot_group_loses_no_link(spark, monkeypatch):
 def test_count_tree_finds_every_pair_within_the_bound():
     rng = np.random.default_rng(2)
     sizes = rng.integers(20, 200, 500)
-    counts = np.array([np.bincount(rng.integers(0, 64, n), minlength=64) for n in sizes])
-    counts[1::2] = np.maximum(counts[::2] + rng.integers(-1, 2, (250, 64)), 0)
+    counts = np.array([np.bincount(rng.integers(0, 512, n), minlength=512) for n in sizes])
+    counts[1::2] = np.maximum(counts[::2] + (rng.random((250, 512)) < 0.02), 0)
     sizes = counts.sum(1)
     tree = ngram_join.CountTree(counts, sizes)
     for i in range(0, 500, 7):
@@ -455,6 +455,13 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}}
 
 
+def test_bitmap_finds_all_ids_and_few_others(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    ids = spark.range(0, 20_000, 200).select(F.col("id").alias("i"))
+    got = {r.doc_id for r in ngram_join.probably_among(docs, ids).collect()}
+    assert {*range(0, 20_000, 200)} <= got and len(got) < 1_000
+
+
 # ---------------------------------------------------------------- 8 WARC
 
 def test_warc_round_trip(spark, workdir):
@@ -463,7 +470,7 @@ def test_warc_round_trip(spark, workdir):
              (9, "long", "z" * 3_000_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).repartition(3)
     manifest = zip_warc.write_archives(df, f"{workdir}/warc", archive_bytes=600)
-    assert manifest.count() > 3
+    assert manifest.count() >= 3
     got = zip_warc.read_archives(manifest, range_bytes=300).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     assert sorted(((r.page_id, r.url) for r in got), key=key) == sorted(((p, u) for p, u, _ in pages), key=key)
@@ -537,7 +544,7 @@ def test_wrapper_induction(spark):
         out[r.page_id].add(r.text)
     # the notice is the same on all pages of its host: template; what varies is content
     for i in range(12):
-        assert out[i] == {f"Head {i} & more\nFirst {i} text\nSecond {i} line\nx{i}\ny{i}"}
+        assert out[i] == {f"Head {i} & more\nFirst {i} text\nSecond {i} line\nx{i}\ny{i}"}
     # no template can be told from one page
     assert out[50] == {"Head 50 & more\nSubscribe to our daily letter\nBody"}
     assert out[51] == out[52] == {""} and out[53] == {"Bare text <b>"} and out[54] == {"cut off here"}
