@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lakeshore.llm.common import WORD, let, written
 
-WINDOW, DIVISOR, OWN_WORDS, MIN_WORDS = 2, 4, 24, 50
+WINDOW, DIVISOR, OWN_WORDS, MIN_WORDS = 2, 4, 12, 50
 ADDED = ("n_lines", "lines_removed", "emptied")
 
 
