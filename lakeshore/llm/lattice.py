@@ -74,12 +74,11 @@ class Pieces:
             self.power = np.ones(LONGEST + 1, dtype=np.uint64)
             for i in range(1, LONGEST + 1):
                 self.power[i] = self.power[i - 1] * BASE
+            sizes = np.array([len(p) for p in pieces])
+            block = np.frombuffer(b"".join(p.ljust(LONGEST, b"\0") for p in pieces), dtype=np.uint8).reshape(self.n, LONGEST)
             h = np.zeros(self.n, dtype=np.uint64)
-            for k, p in enumerate(pieces):
-                v = np.uint64(0)
-                for b in p:
-                    v = v * BASE + np.uint64(b + 1)
-                h[k] = v
+            for j in range(LONGEST):
+                h = np.where(j < sizes, h * BASE + (block[:, j].astype(np.uint64) + np.uint64(1)), h)
         assert len(np.unique(h)) == self.n
         # two tables: the few pieces whose slot is taken in the first are in the second
         self.hash = np.append(h, np.uint64(0))
