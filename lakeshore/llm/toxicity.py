@@ -11,6 +11,7 @@ is at most ``max_features`` words and stems a category.  Scoring runs over all r
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -103,14 +104,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _fit_link(category: str, docs: list[np.ndarray], vocabulary: list[bytes], before: np.ndarray, y: np.ndarray,
-              max_features: int) -> Link:
-    """Features whose rate differs most between the classes, then the weights of them and of earlier categories."""
+              max_features: int) -> tuple[Link, np.ndarray]:
+    """Features whose rate differs most between the classes, then the weights of them and of earlier categories.
+
+    Returns the link, and its weight of every feature of the vocabulary.
+    """
     n, n1 = len(docs), float(y.sum())
-    link = Link(category, earlier=[0.0] * before.shape[1])
+    link, weights = Link(category, earlier=[0.0] * before.shape[1]), np.zeros(len(vocabulary))
     if not 0 < n1 < n:
         link.intercept = float(np.log((n1 + 0.5) / (n - n1 + 0.5)))
-        return link
-    flat, row = np.concatenate(docs), np.repeat(np.arange(n), [len(d) for d in docs])
+        return link, weights
+    flat, row = np.concatenate(docs), np.repeat(np.arange(n, dtype=np.int32), [len(d) for d in docs])
     df = np.bincount(flat, minlength=len(vocabulary))
     pos = np.bincount(flat[y[row]], minlength=len(vocabulary))
     rate = df / n
@@ -125,30 +129,47 @@ def _fit_link(category: str, docs: list[np.ndarray], vocabulary: list[bytes], be
     x[:, len(chosen):-1] = before
     x[:, -1] = 1.0
     beta = _logistic(x, y.astype(float))
+    weights[chosen] = beta[:len(chosen)]
     link.weights = {vocabulary[i]: float(b) for i, b in zip(chosen, beta)}
     link.earlier = [float(b) for b in beta[len(chosen):-1]]
     link.intercept = float(beta[-1])
-    return link
+    return link, weights
 
 
-def fit(docs: list[set[bytes]], labels: np.ndarray, folds: np.ndarray, categories: list[str],
-        max_features: int = MAX_FEATURES) -> list[Link]:
-    """The chain over labelled feature sets; ``labels`` has a column per category, in chain order."""
-    vocabulary = sorted({w for d in docs for w in d})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    coded = [np.sort(np.array([number[w] for w in d], dtype=np.int64)) for d in docs]
+def code(texts: list[set[bytes]] | list, read=lambda t: t) -> tuple[list[np.ndarray], list[bytes]]:
+    """Feature numbers of every text (``read`` gives its features) and the features that are in LEAST_DF of them.
+
+    A first pass counts hashes in a table of fixed size; only features whose count allows it get a number
+    in the second one, so the many that occur once or twice are never held together.
+    """
+    counts = np.zeros(1 << 22, dtype=np.uint16)
+    for t in texts:
+        cells = np.fromiter({zlib.crc32(w) & 0x3FFFFF for w in read(t)}, dtype=np.int64)
+        counts[cells] = np.minimum(counts[cells], 60_000) + 1
+    number: dict[bytes, int] = {}
+    coded = []
+    for t in texts:
+        own = [number.setdefault(w, len(number)) for w in sorted(read(t)) if counts[zlib.crc32(w) & 0x3FFFFF] >= LEAST_DF]
+        coded.append(np.array(own, dtype=np.int32))
+    return coded, list(number)
+
+
+def fit(texts: list, labels: np.ndarray, folds: np.ndarray, categories: list[str],
+        max_features: int = MAX_FEATURES, read=lambda t: t) -> list[Link]:
+    """The chain over labelled feature sets (what ``read`` gives); ``labels`` has a column per category, in chain order."""
+    coded, vocabulary = code(texts, read)
     chain: list[Link] = []
-    before = np.zeros((len(docs), 0))  # out-of-fold log-odds of the categories so far
+    before = np.zeros((len(texts), 0))  # out-of-fold log-odds of the categories so far
     for c, category in enumerate(categories):
         y = labels[:, c].astype(bool)
-        out = np.zeros(len(docs))
+        out = np.zeros(len(texts))
         for f in np.unique(folds):
             train, test = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
-            link = (_fit_link(category, [coded[i] for i in train], vocabulary, before[train], y[train], max_features)
-                    if len(train) else Link(category, earlier=[0.0] * c))
-            for i in test:
-                out[i] = link.log_odds(docs[i], list(before[i]))
-        chain.append(_fit_link(category, coded, vocabulary, before, y, max_features))
+            if len(train):
+                link, weights = _fit_link(category, [coded[i] for i in train], vocabulary, before[train], y[train], max_features)
+                for i in test:
+                    out[i] = link.intercept + weights[coded[i]].sum() + float(before[i] @ np.array(link.earlier))
+        chain.append(_fit_link(category, coded, vocabulary, before, y, max_features)[0])
         before = np.column_stack([before, np.clip(out, -10, 10)])
     return chain
 
@@ -173,7 +194,7 @@ def fit_chain(labelled: DataFrame, categories: list[str], id_col: str = "doc_id"
                            *[F.col(f"`{c}`").cast("int").alias(f"y{i}") for i, c in enumerate(categories)])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, intern = {}, {}
+        rows = {}
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
             for t, d, *y in zip(*cols):
@@ -182,8 +203,8 @@ def fit_chain(labelled: DataFrame, categories: list[str], id_col: str = "doc_id"
                     rows[key] = (t, y, d)
         keys = sorted(rows)
         fold = np.array([k[0] % folds for k in keys], dtype=int)
-        chain = fit([{intern.setdefault(w, w) for w in features(rows[k][0])} for k in keys],
-                    np.array([rows[k][1] for k in keys]).reshape(len(keys), len(categories)), fold, categories, max_features)
+        chain = fit([rows[k][0] for k in keys], np.array([rows[k][1] for k in keys]).reshape(len(keys), len(categories)),
+                    fold, categories, max_features, features)
         out = []
         for link in chain:
             out += [(link.category, w, v) for w, v in sorted(link.weights.items())]
