@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lakeshore.llm.common import written
 
-TREES, SYMBOLS, AXES = 96, 5, 8
+TREES, SYMBOLS, AXES = 128, 5, 8
 #: candidates asked for, as a share of a shard; measured on the test tables (README) for a recall of 0.9
 SHARE = 0.3
 SHARD_ROWS, QUERY_ROWS = 4_096, 4_096
