@@ -7,8 +7,15 @@ passage, and would otherwise be hidden by a changed neighbour.
 
 Chunks (128 bits of hash) that occur again anywhere are repeated; the first document by id keeps its
 first occurrence.  Elsewhere a run of adjoining repeated chunks goes if it has ``min_words`` words
-together; shorter ones stay, they are phrases rather than passages.  Before anything goes, the
-occurrences' bytes are compared; chunks whose hashes meet but whose bytes differ stay.
+together; shorter ones stay, they are phrases rather than passages.
+
+The first and last short lines of a passage share a chunk with whatever stands around them.  Passages
+with short lines are therefore also found by their lines: by the shortest runs of lines of ``min_words``
+words from each line on and up to each line.  A passage of ``min_words`` words that repeats line by line
+is the union of such runs, and runs that meet an earlier place in one shift make one passage.
+
+Before anything goes, the occurrences' bytes are compared; chunks and passages whose hashes meet but
+whose bytes differ stay.
 """
 
 from __future__ import annotations
@@ -61,8 +68,98 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, di
             .select("id", "th", "k", "p.*"))
 
 
+def _running(values: Column, block: int = 256) -> Column:
+    """Sums up to each element, in blocks: a fold that grows an array copies it at every step."""
+    def grow(start, xs):
+        return F.aggregate(xs, F.array(start), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    def sums(blocks):
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x))
+        return let(grow(F.lit(0).cast("long"), totals), lambda before: F.flatten(F.transform(
+            blocks, lambda b, k: F.slice(grow(F.element_at(before, k + 1), b), 2, block))))
+
+    starts = F.sequence(F.lit(1), F.size(values), F.lit(block))
+    return let(F.transform(starts, lambda i: F.slice(values, i, block)), sums)
+
+
+def _below(sums: Column, bounds: Column) -> Column:
+    """For each of the ascending bounds the number of ascending sums below it, by one sort of both."""
+    both = F.array_sort(F.concat(F.transform(sums, lambda x: x * 2 + 1), F.transform(bounds, lambda x: x * 2)))
+    return let(both, lambda s: F.transform(
+        F.filter(F.sequence(F.lit(1), F.size(s)), lambda r: F.element_at(s, r) % 2 == 0), lambda r, t: r - t - 1))
+
+
+def windows(docs: DataFrame, id_col: str, text_col: str, own_words: int = OWN_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per shortest run of lines of ``min_words`` words that holds a short line: id, th, first, last, h1, h2.
+
+    Runs of lines that are chunks by themselves need no row.
+    """
+    least = max(min_words, 1)
+
+    def spans(words, sums):
+        n, zero = F.size(words), F.array(F.lit(0).cast("long"))
+        before = F.concat(zero, F.slice(sums, 1, F.size(sums) - 1))
+        span = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
+        onward = F.transform(_below(sums, F.transform(before, lambda x: x + least)), lambda c, i: span(i + 1, c + 1))
+        upto = F.transform(_below(before, F.transform(sums, lambda x: x - least + 1)), lambda c, j: span(c, j + 1))
+        onward = F.filter(onward, lambda s: (s["last"] <= n) & (F.element_at(words, s["first"]) > 0))
+        upto = F.filter(upto, lambda s: (s["first"] > 0) & (F.element_at(words, s["last"]) > 0))
+        # as numbers, which Spark tells apart by a hash set
+        codes = F.transform(F.concat(onward, upto), lambda s: s["first"].cast("long") * (1 << 32) + s["last"])
+        found = F.transform(F.array_distinct(codes), lambda c: span(F.shiftright(c, 32), c % (1 << 32)))
+        return F.filter(found, lambda s: F.exists(F.slice(words, s["first"], s["last"] - s["first"] + 1),
+                                                  lambda w: (w > 0) & (w < own_words)))
+
+    def runs(s):
+        def run(p):
+            return let(F.slice(s["hashes"], p["first"], p["last"] - p["first"] + 1), lambda h: F.struct(
+                p["first"].alias("first"), p["last"].alias("last"), F.xxhash64(h).alias("h1"),
+                F.xxhash64(F.lit("second"), h).alias("h2")))
+        return F.transform(let(_running(F.transform(s["words"], lambda w: w.cast("long"))),
+                               lambda sums: spans(s["words"], sums)), run)
+
+    facts = let(_lines(F.col(text_col)), lambda lines: F.struct(
+        F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"),
+        F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD))).alias("words")))
+    return (docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.explode(let(facts, runs)).alias("p"))
+            .select("id", "th", "p.*"))
+
+
+def repeated_passages(runs: DataFrame) -> DataFrame:
+    """Marks (id, th, first, last, h1, h2, goes) of passages that an earlier document or place has line by line.
+
+    h1 and h2 name the earlier place; the earlier text gets a mark there that does not go, for the
+    comparison of bytes.  A repetition that overlaps the first occurrence in its own text stays.
+    """
+    seen = (runs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("kid"))
+            .filter(F.col("n") > 1).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "kid"))
+    occ = written(runs.join(seen, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).drop("g1", "g2")
+                  .dropDuplicates(["id", "th", "first", "last"]), "line-windows-repeated")
+    kept = F.col("id").eqNullSafe(F.col("kid"))
+    place = (occ.filter(kept).groupBy("h1", "h2").agg(F.min(F.struct("th", "first")).alias("at"))
+             .select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "at"))
+    occ = occ.join(place, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    own = F.min("first").over(Window.partitionBy("id", "th", "h1", "h2"))
+    occ = (occ.withColumn("own", own).filter(~kept | (F.col("first") > F.col("own") + F.col("last") - F.col("first")))
+           .withColumn("kth", F.when(kept, F.col("th")).otherwise(F.col("at.th")))
+           .withColumn("shift", F.col("first") - F.when(kept, F.col("own")).otherwise(F.col("at.first"))))
+    order = Window.partitionBy("id", "th", "kid", "kth", "shift").orderBy("first", "last")
+    reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    occ = occ.withColumn("new", F.when(F.col("first") > F.coalesce(reached, F.lit(-1)) + 1, 1).otherwise(0))
+    occ = occ.withColumn("passage", F.sum("new").over(order))
+    found = (occ.groupBy("id", "th", "kid", "kth", "shift", "passage")
+             .agg(F.min("first").alias("first"), F.max("last").alias("last"))
+             .withColumn("kfirst", F.col("first") - F.col("shift")).withColumn("klast", F.col("last") - F.col("shift")))
+    at = ("kid", "kth", "kfirst", "klast")
+    found = written(found.withColumn("h1", F.xxhash64(*at)).withColumn("h2", F.xxhash64(F.lit("second"), *at)), "line-passages")
+    first = found.select(F.col("kid").alias("id"), F.col("kth").alias("th"), F.col("kfirst").alias("first"),
+                         F.col("klast").alias("last"), "h1", "h2").distinct()
+    return (found.select("id", "th", "first", "last", "h1", "h2", F.lit(True).alias("goes"))
+            .union(first.withColumn("goes", F.lit(False))))
+
+
 def repeated_runs(parts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per text (id, th): ``marks``, its repeated chunks (first, last, h1, h2, goes) where any are.
+    """Marks (id, th, first, last, h1, h2, goes) of repeated chunks.
 
     ``goes``: not the kept occurrence, and in a run of adjoining such chunks of ``min_words`` words.
     """
@@ -78,8 +175,7 @@ def repeated_runs(parts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     occ = occ.withColumn("run", F.col("k") - F.row_number().over(order))
     in_run = F.sum("words").over(Window.partitionBy("id", "th", "dup", "run"))
     occ = occ.withColumn("goes", F.col("dup") & (in_run >= min_words))
-    return (occ.groupBy("id", "th")
-            .agg(F.collect_list(F.struct("first", "last", "h1", "h2", "goes")).alias("marks")))
+    return occ.select("id", "th", "first", "last", "h1", "h2", "goes")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -93,7 +189,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty.  Columns of any other name are carried along; one named like an added column is replaced.
     """
     parts = written(chunks(docs, id_col, text_col, window, divisor, own_words), "line-chunks")  # read twice, without texts
-    marks = written(repeated_runs(parts, min_words), "line-marks").select(
+    runs = written(windows(docs, id_col, text_col, own_words, min_words), "line-windows")
+    found = repeated_runs(parts, min_words).union(repeated_passages(runs))
+    marks = written(found.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last", "h1", "h2", "goes")).alias("marks")),
+                    "line-marks").select(
         F.col("id").alias("mark_id"), F.col("th").alias("mark_th"), "marks")
     columns = [c for c in docs.columns if c not in ADDED]
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(id_col).alias("id"),
@@ -116,8 +215,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = F.array(*[F.struct(F.lit(a), F.lit(b)) for a, b in clash])
         goes = lambda m: m["goes"] & ~F.array_contains(pairs, F.struct(m["h1"], m["h2"]))
 
-    gone = F.flatten(F.transform(F.filter(F.coalesce("marks", F.array().cast(marked.schema["marks"].dataType)), goes),
-                                 lambda m: F.sequence(m["first"], m["last"])))
+    gone = F.array_distinct(F.flatten(F.transform(
+        F.filter(F.coalesce("marks", F.array().cast(marked.schema["marks"].dataType)), goes),
+        lambda m: F.sequence(m["first"], m["last"]))))
     none = F.array().cast("array<int>")
     rest = let(F.struct(_lines(text).alias("lines"), gone.alias("gone")), lambda s: F.struct(
         F.size(s["lines"]).cast("long").alias("n"), F.size(s["gone"]).cast("long").alias("gone"),

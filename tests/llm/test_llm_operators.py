@@ -165,6 +165,28 @@ def test_line_dedup_keeps_short_phrases_and_joins_runs(spark):
     assert out[3].lines_removed == out[4].lines_removed == out[5].lines_removed == 0
 
 
+def test_passages_of_short_lines_between_short_lines_go_whole(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    docs, passages = [], {}
+    for k in range(60):
+        passages[k] = [line(10) for _ in range(6 + k % 5)] if k < 55 else [line(40), line(11)]
+        for copy in (0, 1):
+            docs.append((2 * k + copy, "\n".join([*(line(10) for _ in range(5)), *passages[k], *(line(10) for _ in range(5))])))
+    # 40 repeated words are a phrase, and repetitions overlapping their first occurrence leave that whole
+    phrase, again = [line(10) for _ in range(4)], [line(10)] * 12
+    docs += [(200, "\n".join([line(9), *phrase, line(9)])), (201, "\n".join([line(8), *phrase, line(8)]))]
+    docs += [(300, None), (301, ""), (302, "\n".join([line(10) for _ in range(5)] + [line(60)] * 2))]
+    out = {r.doc_id: r for r in line_chunks.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k, passage in passages.items():
+        assert out[2 * k].lines_removed == 0 and out[2 * k + 1].lines_removed == len(passage)
+        assert not set(passage) & set(out[2 * k + 1].text.split("\n")) and out[2 * k + 1].n_lines == 10 + len(passage)
+    assert out[200].lines_removed == out[201].lines_removed == 0
+    runs = line_chunks.windows(spark.createDataFrame([(1, "\n".join(again))], "doc_id long, text string"), "doc_id", "text")
+    goes = sorted((m["first"], m["last"]) for m in line_chunks.repeated_passages(runs).collect() if m.goes)
+    assert goes == [(k, k + 4) for k in range(6, 9)]
+
+
 # ---------------------------------------------------------------- 3 packing
 
 def brute_padding(lengths, buckets):
