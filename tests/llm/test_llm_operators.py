@@ -587,6 +587,30 @@ def test_simple_tree_matching_prefers_the_larger_matching():
     assert [(x.text, y.text) for x, y in pairs] == [("a", "a"), ("b", "c")] and weight == 6
 
 
+def shown(html):
+    return [x.text for x in wrappers.blocks(wrappers.article(wrappers.parse(html)))]
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='content-sidebar-wrap'>%s</div>", "<div class='has-sidebar'>%s</div>", "<div id='page' class='no-comments wide'>%s</div>",
+    "<div class='share-enabled'>%s</div>", "<section class='with-banner'>%s</section>", "<form id='aspnetForm'>%s</form>",
+    "<div style='overflow:hidden' data-id='search'>%s</div>"])
+def test_wrappers_never_cut_the_article(wrapper):
+    body = "<h1>Head</h1><p>One.</p><div class='ad'>Buy</div><div class='comments'><p>Me</p></div>"
+    rest = "<div class='sidebar'>Side</div><div class='ad'>Buy</div>"
+    for inner in (f"<main><article>{body}</article></main>", f"<article>{body}</article>", f"<main>{body}</main>"):
+        assert shown(f"<html><body>{wrapper % (inner + rest)}</body></html>") == ["Head", "One."]
+
+
+def test_names_of_no_content_words_inside_and_without_an_article():
+    body = ("<h2 id='search'>Search</h2><p>How it is found.</p><section id='related-work'><h2>Related work</h2><p>Others.</p></section>"
+            "<div id='comments-on-results'><h3>Comments on results</h3><p>Good ones.</p></div><h2><span id='menu'>Menu</span></h2>")
+    want = ["Search", "How it is found.", "Related work", "Others.", "Comments on results", "Good ones.", "Menu"]
+    assert shown(f"<body><article>{body}<div id='comments'><p>Me</p></div></article></body>") == want
+    assert shown(f"<body><div class='content-sidebar'>{body}</div><div class='ad'>Buy</div><div id='search'>Go</div></body>") == want
+    assert shown("<body><div class='ad'>Buy this at once</div><article></article></body>") == []
+
+
 def test_long_page_is_whole(spark):
     body = "".join(f"<p>para {k}</p>" for k in range(20_000))
     got = wrappers.extract(spark.createDataFrame([(1, "http://l.example", page(1, body))], "page_id long, url string, html string")).first()
