@@ -611,6 +611,14 @@ def test_names_of_no_content_words_inside_and_without_an_article():
     assert shown("<body><div class='ad'>Buy this at once</div><article></article></body>") == []
 
 
+@pytest.mark.parametrize("head", [
+    "<head><meta charset=utf-8><title>T</title><style>p{}</style><script>x</script>", "<html><head><title>T</title><link rel=x>", "<head>"])
+def test_head_without_end_tag(head):
+    assert shown(f"{head}<body><nav>Menu</nav><article><h1>Head</h1><p>One.</p></article>") == ["Head", "One."]
+    assert shown(f"{head}<p>One.<p>Two.") == ["One.", "Two."] and shown(f"{head}<b>One</b> and two") == ["One and two"]
+    assert shown(f"{head}\n</head>\n<body>One.") == ["One."]
+
+
 def test_long_page_is_whole(spark):
     body = "".join(f"<p>para {k}</p>" for k in range(20_000))
     got = wrappers.extract(spark.createDataFrame([(1, "http://l.example", page(1, body))], "page_id long, url string, html string")).first()
