@@ -619,6 +619,21 @@ def test_head_without_end_tag(head):
     assert shown(f"{head}\n</head>\n<body>One.") == ["One."]
 
 
+def test_template_of_hosts_with_odd_pages(spark):
+    """Half of a host's pages are empty, two layouts, and more constant than varying blocks on every page."""
+    constant = "<p>By our staff</p><p>Read on</p><p>Tell a friend</p><p>All rights</p>"
+    pages, want = [], {}
+    for h in range(12):
+        for i in range(48):
+            k = 48 * h + i
+            body = f"<p>One {k}</p><p>Two {k}</p>{constant}"
+            html = [None, "<html><body></body>", f"<article>{body}</article>", f"<div><main>{body}</main></div>"][i % 4]
+            pages.append((k, f"https://h{h}.example/{k}", html))
+            want[k] = "" if i % 4 < 2 else f"One {k}\nTwo {k}"
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrappers.extract(df).collect()} == want
+
+
 def test_long_page_is_whole(spark):
     body = "".join(f"<p>para {k}</p>" for k in range(20_000))
     got = wrappers.extract(spark.createDataFrame([(1, "http://l.example", page(1, body))], "page_id long, url string, html string")).first()
