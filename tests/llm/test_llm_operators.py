@@ -634,6 +634,27 @@ def test_template_of_hosts_with_odd_pages(spark):
     assert {r.page_id: r.text for r in wrappers.extract(df).collect()} == want
 
 
+def test_optional_siblings_do_not_shift_the_template(spark):
+    pages, want = [], {}
+    for i in range(30):
+        notice = f"<div><p>Notice {i}</p></div>" * (i % 3 == 0)
+        extra = f"<div><div><p>Teaser {i}</p></div></div>" * (i % 2)
+        body = "".join(f"<p>Para {i} {k}</p>" for k in range(1 + i % 7))
+        pages.append((i, "https://h.example/", f"<body>{notice}<div><h1>Head {i}</h1>{body}<p>Read on</p><p>On day {i}</p></div>"
+                      f"{extra}<div><p>All rights</p></div><div><p>Written by us</p></div><div><p>Seen {i} times</p></div>"))
+        want[i] = "\n".join(["Notice %d" % i] * (i % 3 == 0) + [f"Head {i}"] + [f"Para {i} {k}" for k in range(1 + i % 7)]
+                            + [f"On day {i}"] + ["Teaser %d" % i] * (i % 2) + [f"Seen {i} times"])
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrappers.extract(df).collect()} == want
+
+
+def test_long_lists_meet_at_equal_entries():
+    a = "".join(f"<li>a{k}</li>" for k in range(1500)) + "<li>same</li>" + "".join(f"<li>a{k}</li>" for k in range(2000, 2300))
+    b = "".join(f"<li>b{k}</li>" for k in range(900)) + "<li>same</li>" + "".join(f"<li>b{k}</li>" for k in range(2000, 2400))
+    pairs = wrappers.align(wrappers.parse(f"<ul>{a}</ul>"), wrappers.parse(f"<ul>{b}</ul>"))[1]
+    assert ("same", "same") in [(x.text, y.text) for x, y in pairs] and len(pairs) == 900 + 1 + 300
+
+
 def test_long_page_is_whole(spark):
     body = "".join(f"<p>para {k}</p>" for k in range(20_000))
     got = wrappers.extract(spark.createDataFrame([(1, "http://l.example", page(1, body))], "page_id long, url string, html string")).first()
