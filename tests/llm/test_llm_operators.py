@@ -634,6 +634,13 @@ def test_template_of_hosts_with_odd_pages(spark):
     assert {r.page_id: r.text for r in wrappers.extract(df).collect()} == want
 
 
+def test_host_of_many_layouts(spark):
+    shape = lambda k, x: "<div>" * k + f"<main>{x}</main>" + "</div>" * k
+    pages = [(i, "https://m.example/", shape(i % 7, f"<p>Read on</p><p>Text {i}</p>")) for i in range(56)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrappers.extract(df).collect()} == {i: f"Text {i}" for i in range(56)}
+
+
 def test_optional_siblings_do_not_shift_the_template(spark):
     pages, want = [], {}
     for i in range(30):
