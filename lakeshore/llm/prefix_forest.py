@@ -25,6 +25,8 @@ TREES, SYMBOLS, AXES = 128, 5, 8
 #: candidates asked for, as a share of a shard; measured on the test tables (README) for a recall of 0.9
 SHARE = 0.3
 SHARD_ROWS, QUERY_ROWS = 4_096, 4_096
+#: approximate scores this close to the last one kept go on to exact scoring too
+MARGIN = 1e-9
 SEED = 20240229
 
 
@@ -139,10 +141,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
             least = max(k + 1, int(share * len(x)))
             for i, rows_ in enumerate(forest.candidates(unit, least)):
                 near = forest.x[rows_] @ unit[i]
-                keep = min(len(rows_), 2 * k + 2)
-                rows_ = rows_[np.argpartition(-near, keep - 1)[:keep]] if keep else rows_
-                for r, s in zip(rows_.tolist(), cosine(q[i], x[rows_]).tolist()):
-                    out += [(qids[i], int(v), s) for v in ids[r] if v != qids[i]]
+                keep = min(len(rows_), k + 1)  # one may be the query's own
+                if keep:
+                    rows_ = rows_[near >= np.partition(near, len(near) - keep)[len(near) - keep] - MARGIN]
+                best = [(-s, int(v)) for r, s in zip(rows_.tolist(), cosine(q[i], x[rows_]).tolist())
+                        for v in ids[r] if v != qids[i]]
+                out += [(qids[i], v, -s) for s, v in sorted(best)[:k]]  # ties to the smaller id
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(
             {"query_id": "int64", "vec_id": "int64", "score": "float64"})
 

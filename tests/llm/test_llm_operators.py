@@ -236,6 +236,15 @@ def test_long_lengths_keep_a_bounded_histogram(spark):
     assert df.select(packing.grid(F.col("n_tokens"))).distinct().count() < 4096 + 2048 * 12
 
 
+def test_nearest_keeps_the_smaller_ids_of_ties(spark):
+    # scaled copies by powers of two: one cosine, 60 different vectors, ids against the order of rows
+    rows = [(1000 - k, [2.0 ** (k - 30), 2.0 ** (k - 30), 0.0]) for k in range(60)] + [(1, [0.0, 0.0, 1.0]), (2, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(5000, [3.0, 3.0, 0.0])], df.schema)
+    got = prefix_forest.nearest(df, q, share=1.0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [941, 942, 943, 944, 945] and len({r.score for r in got}) == 1
+
+
 # ---------------------------------------------------------------- 4 lattice
 
 def brute_marginal(word, pieces, logp):
