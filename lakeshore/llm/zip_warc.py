@@ -203,8 +203,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
 EOCD, EOCD64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 
 
-def stored_members(file) -> dict[str, tuple[int, int]]:
-    """name -> (offset of its data in the archive, size) of the stored members of an open ZIP file."""
+def stored_members(file, others: list[str] | None = None) -> dict[str, tuple[int, int]]:
+    """name -> (offset of its data in the archive, size) of the stored members of an open ZIP file.
+
+    The names of all other members are added to ``others``.
+    """
     size = file.size()
     back = min(size, 22 + 65535 + 20)
     tail = file.read_at(back, size - back)
@@ -248,6 +251,8 @@ def stored_members(file) -> dict[str, tuple[int, int]]:
                 raise ValueError(f"no local header of {name}")
             a, b = struct.unpack_from("<HH", head, 26)
             members[name] = (offset + 30 + a + b, packed)
+        elif others is not None:
+            others.append(name)
         pos += 46 + n + m + k
     return members
 
@@ -264,18 +269,29 @@ def record_ranges(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
             for uri in b.column(0).to_pylist():
                 out = []
                 with _open(uri) as file:
-                    members = stored_members(file)
-                    base, (at, size) = members[WARC_MEMBER][0], members[INDEX_MEMBER]
-                    start, lengths, total = 0, [], 0
+                    others: list[str] = []
+                    members = stored_members(file, others)
+                    at, size = members[INDEX_MEMBER]
+                    indexed: dict[str, list[tuple[int, int]]] = {}
                     for line in file.read_at(size, at).splitlines():
                         entry = json.loads(line)
-                        if total >= range_bytes:
+                        name = "archive/" + entry.get("filename", WARC_MEMBER).removeprefix("archive/")
+                        indexed.setdefault(name, []).append((int(entry["offset"]), int(entry["length"])))
+                archived = {n for n in (*members, *others) if n.startswith("archive/") and not n.endswith("/")}
+                wrong = (indexed.keys() - members.keys()) | (archived - indexed.keys())
+                if wrong:
+                    raise ValueError(f"{uri}: not stored or not in the index: {', '.join(sorted(wrong))}")
+                for name, entries in indexed.items():
+                    base, start, lengths, total = members[name][0], 0, [], 0
+                    for offset, length in sorted(entries):
+                        if lengths and (total >= range_bytes or offset != start + total):
                             out.append((uri, base + start, lengths))
-                            start, lengths, total = entry["offset"], [], 0
-                        lengths.append(entry["length"])
-                        total += entry["length"]
-                    if lengths:
-                        out.append((uri, base + start, lengths))
+                            lengths, total = [], 0
+                        if not lengths:
+                            start = offset
+                        lengths.append(length)
+                        total += length
+                    out.append((uri, base + start, lengths))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(
                     (pa.string(), pa.int64(), pa.list_(pa.int64())))], names=["archive", "start", "lengths"])
 
@@ -286,6 +302,8 @@ def record_ranges(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
 def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All records of the archives (the columns of RECORDS); payload is null for revisits.
 
+    The index's ``filename`` names the member under archive/, data.warc.gz where it is missing.
+
     A broken archive, record or payload raises an error; nothing is skipped.  An empty manifest gives an
     empty result.
     """

@@ -554,6 +554,33 @@ def test_zip64_end_of_directory():
     assert {n: raw[a:a + s] for n, (a, s) in zip_warc.stored_members(pa.BufferReader(raw)).items()} == {"a": b"first", "b": b"second"}
 
 
+def test_all_archive_members_are_read(spark, tmp_path):
+    import gzip
+    import json
+    import zipfile
+    records = [gzip.compress(zip_warc.record_bytes(i, f"u{i}", b"p%d" % i, hashlib.sha256(b"p%d" % i).hexdigest(), None, False))
+               for i in range(6)]
+
+    def package(name, indexed, packed=zipfile.ZIP_STORED):
+        lines, at = [], 0
+        for i, r in enumerate(records):
+            at = 0 if i == 3 else at
+            lines.append({"offset": at, "length": len(r)} | ({"filename": "more.warc.gz"} if i >= 3 else {}))
+            at += len(r)
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr(zip_warc.WARC_MEMBER, b"".join(records[:3]))
+            z.writestr("archive/more.warc.gz", b"".join(records[3:]), compress_type=packed)
+            z.writestr(zip_warc.INDEX_MEMBER, "".join(json.dumps(x) + "\n" for x in lines[:indexed]))
+        return spark.createDataFrame([(f"file://{tmp_path}/{name}",)], "archive string")
+
+    for size in (1, 10 ** 6):
+        got = zip_warc.read_archives(package(f"whole{size}", 6), range_bytes=size).collect()
+        assert sorted((r.page_id, bytes(r.payload)) for r in got) == [(i, b"p%d" % i) for i in range(6)]
+    for broken in (package("unnamed", 3), package("packed", 6, zipfile.ZIP_DEFLATED)):
+        with pytest.raises(Exception, match="not stored or not in the index"):
+            zip_warc.read_archives(broken).collect()
+
+
 # ---------------------------------------------------------------- 9 wrapper induction
 
 def page(i, body, notice="Subscribe to our daily letter"):
