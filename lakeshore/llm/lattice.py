@@ -34,7 +34,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ROUNDS = 3
 WHOLE, INITIAL, MIDDLE, FINAL = range(4)
 TOP_WORDS = 65_536
-#: longest piece in bytes that is looked up; pseudo-counts of single bytes and of longer pieces
+#: bytes up to which pieces are looked up, further if the vocabulary has longer ones; pseudo-counts of single bytes and of longer pieces
 LONGEST, SMOOTH_BYTE, SMOOTH = 16, 0.05, 0.001
 #: distinct words that a task holds before it sends its counts, words of a lattice batch
 FLUSH, BATCH = 200_000, 4_096
@@ -57,7 +57,7 @@ def read_vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
             continue
         piece, score = model.id_to_piece(i), model.get_score(i)
         data = piece.replace("▁", " ").encode("utf-8")
-        if b" " in data[1:] or data != data.lower() or len(data) > LONGEST or score < -1e8:
+        if b" " in data[1:] or data != data.lower() or score < -1e8:
             continue
         start[data] = -float(np.log(-score + 10.0)) - 10.0 if ranks else score
     pieces = sorted(start)
@@ -71,13 +71,14 @@ class Pieces:
     def __init__(self, pieces: list[bytes]):
         self.n = len(pieces)
         with np.errstate(over="ignore"):
-            self.power = np.ones(LONGEST + 1, dtype=np.uint64)
-            for i in range(1, LONGEST + 1):
+            self.longest = max(LONGEST, *map(len, pieces))
+            self.power = np.ones(self.longest + 1, dtype=np.uint64)
+            for i in range(1, self.longest + 1):
                 self.power[i] = self.power[i - 1] * BASE
             sizes = np.array([len(p) for p in pieces])
-            block = np.frombuffer(b"".join(p.ljust(LONGEST, b"\0") for p in pieces), dtype=np.uint8).reshape(self.n, LONGEST)
+            block = np.frombuffer(b"".join(p.ljust(self.longest, b"\0") for p in pieces), dtype=np.uint8).reshape(self.n, self.longest)
             h = np.zeros(self.n, dtype=np.uint64)
-            for j in range(LONGEST):
+            for j in range(self.longest):
                 h = np.where(j < sizes, h * BASE + (block[:, j].astype(np.uint64) + np.uint64(1)), h)
         assert len(np.unique(h)) == self.n
         # two tables: the few pieces whose slot is taken in the first are in the second
@@ -111,7 +112,7 @@ class Pieces:
             for j in range(n):
                 h[:, j + 1] = h[:, j] * BASE + (words[:, j].astype(np.uint64) + np.uint64(1))
             for j in range(1, n + 1):
-                longest = min(j, LONGEST)
+                longest = min(j, self.longest)
                 starts = h[:, j - longest:j][:, ::-1]  # length 1 first
                 out.append(self.find(h[:, j:j + 1] - starts * self.power[1:longest + 1]))
         return out

@@ -280,6 +280,15 @@ def test_forward_sums_all_segmentations():
         assert math.isclose(into[lattice.WHOLE].sum() + into[lattice.INITIAL].sum(), len(at), rel_tol=1e-9)
 
 
+def test_pieces_of_any_length_are_looked_up():
+    pieces, _ = lattice.read_vocabulary()
+    long = [p for p in pieces if len(p) > 16]
+    table = lattice.Pieces(pieces)
+    assert long and table.longest == max(map(len, long))
+    for p in long:
+        assert table.lattice(np.frombuffer(p, dtype=np.uint8)[None, :])[-1][0, -1] == pieces.index(p)
+
+
 def check_lattice(rows, out, held):
     c, ends = Counter(), 0
     for (i, text, _) in rows:
