@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.llm import chunk_prints, lattice, line_chunks, mixing, ngram_join, packing, prefix_forest, wrappers, zip_warc
+from lakeshore.llm import (chunk_prints, dialog_repair, lattice, line_chunks, mixing, ngram_join, packing, prefix_forest,
+                           ranked_search, url_filters, wrappers, zip_warc)
 from lakeshore.llm import toxicity as tox
 from lakeshore.llm.common import table, text_batches, word_count, written
+from lakeshore.llm.oracles import ORACLE_SQL  # noqa: F401  read by the entry
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +62,21 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tox.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filters.rule_table(spark, url_filters.SITE_RULES + url_filters.SPAM_RULES)
+    judged = url_filters.judge(table(spark, sf_dir, "pages"), rules)
+    return judged.select("page_id", "host", "path", F.when(F.col("tier") == 0, F.col("rule")).alias("rule"), "verdict")
+
+
+def op12_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_dialog_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialog_repair.damaged_and_audited(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_line_chunks, op3_length_buckets, op4_lattice_likelihood, op5_prefix_forest, op6_chunk_fingerprints,
-    op7_ngram_join, op8_zip_warc, op9_wrapper_induction, op10_toxicity_chain)}
-
-ORACLE_SQL: dict[str, str] = {}
+    op7_ngram_join, op8_zip_warc, op9_wrapper_induction, op10_toxicity_chain,
+    op11_url_filters, op12_norm_buckets, op13_dialog_repair)}
