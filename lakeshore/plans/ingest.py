@@ -27,20 +27,23 @@ from lakeshore.functions import paths as P
 from lakeshore.operators import filters, reports, typecast
 from lakeshore.operators.aggregates import observe_job_totals
 from lakeshore.session import materialize
+from lakeshore.sinks.ledger import BATCH, commit, create_ledger, loads_name, new_batch, publish
 from lakeshore.sinks.tables import create_or_update_table, partition_overwrite, write_rejects
-from lakeshore.sources.files import (CORRUPT, CSV_GLOB, list_objects, plain_path, read_record_array_json,
+from lakeshore.sources.files import (CORRUPT, CSV_GLOB, JSON_GLOB, list_objects, plain_path, read_record_array_json,
                                      read_workflow_csv)
 
-#: ``source_file`` is the landed file itself: loading it again replaces its own partition
-PARTITION_COLUMNS = ("customer_hash", "export_year", "export_month", "file_last_modified", "source_file")
+PARTITION_COLUMNS = ("customer_hash", "export_year", "export_month")
+#: the landed file of a row; loading the file again replaces its rows (``sinks.ledger``)
+FILE_COLUMNS = ("file_last_modified", "source_file")
 
 
 def create_database(spark: SparkSession, database: str, location_root: str | None = None) -> None:
-    """The silver database; placed next to its tables when they have an explicit location."""
+    """The silver database with its ledger; placed next to its tables when they have an explicit location."""
     ddl = f"CREATE DATABASE IF NOT EXISTS `{database}`"
     if location_root:
         ddl += f" LOCATION '{location_root}/_database'"
     spark.sql(ddl)
+    create_ledger(spark, database, location_root)
 
 
 @dataclass
@@ -77,7 +80,7 @@ def plan_workflow_files(listing: DataFrame, root: str, customer: Customer) -> Da
 
 
 def source_file(key, name):
-    """A partition value that names one landed file: its name and a short hash of its whole key."""
+    """A value that names one landed file: its name and a short hash of its whole key."""
     return F.concat(name, F.lit("-"), F.substring(F.sha1(key.cast("binary")), 1, 10))
 
 
@@ -122,7 +125,9 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
     aggregated in Spark (per file, then across the kept files).
 
     Files of one table within one batch are read with one header, as one scan.
-    A file that is loaded again replaces what it loaded before.  Rows that do
+    A file that is loaded again replaces what it loaded before, also when no row
+    of it is left: every planned file is entered in the ledger, after all writes
+    of the batch, which then shows as a whole.  Rows that do
     not fit the table go to ``quarantine_path`` (default: ``_quarantine`` beside
     the tables) as text with their file and the reason, or fail the job with
     ``strict``; rows read = rows written + rows rejected, always.
@@ -130,6 +135,7 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
     rejected, files and bytes read (A6, observed in the write itself, no extra pass).
     """
     create_database(spark, database, location_root)
+    batch = new_batch()
     quarantine = quarantine_root(spark, database, location_root, quarantine_path)
     listing = files if files is not None else list_objects(spark, root, CSV_GLOB)
     planned = plan_workflow_files(filters.non_empty_objects(listing), root, customer)
@@ -140,7 +146,7 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
 
     def load(t) -> dict | None:
         table_files = planned.where(F.col("table") == t.table).select(
-            F.col("path").alias("_path"), *PARTITION_COLUMNS)
+            F.col("path").alias("_path"), *PARTITION_COLUMNS, *FILE_COLUMNS)
         if files is not None and t.files <= max_listed_files:
             source = [r._path for r in table_files.select("_path").collect()]    # bounded micro-batch
         else:
@@ -155,11 +161,11 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
         for g in groups:
             files_of = heads.where(F.col("header") == g.header).select(F.col("file").alias("_path"))
             if g.n <= max_listed_files:        # a bounded list of paths: read exactly those files
-                part = load_source(t, table_files, [r._path for r in files_of.collect()])
+                part = load_source(t, table_files, [r._path for r in files_of.collect()], grouped=True)
             else:                              # too many to list: read the folders with this header's
                 header = read_workflow_csv(spark, g.first, with_attributes=False).schema   # columns, keep
                 part = load_source(t, table_files.join(files_of, "_path", "left_semi"),  # its files by join
-                                   source, header)
+                                   source, header, grouped=True)
             if part is not None:
                 merged = part if merged is None else {
                     "types": {**merged["types"], **part["types"]},
@@ -167,20 +173,21 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
                     "files": t.files, "bytes_read": t.bytes}
         return merged
 
-    def load_source(t, table_files, source, header: StructType | None = None) -> dict | None:
+    def load_source(t, table_files, source, header: StructType | None = None, grouped: bool = False) -> dict | None:
+        # the groups of a table add to one batch, one after the other
         # with a header schema, files are read positionally and their own header lines are not checked
         raw = read_workflow_csv(spark, source, schema=header, check_header=header is None, quote_parity=True,
                                 multi_line=multi_line)
         # planned files only, with their partition values; Spark's size threshold picks the join
         raw = raw.join(table_files, F.col("file_path") == F.col("_path")).drop("_path")
         text_cols = [f.name for f in raw.schema.fields if isinstance(f.dataType, StringType)
-                     and f.name not in ("file_path", *PARTITION_COLUMNS)]
+                     and f.name not in ("file_path", *PARTITION_COLUMNS, *FILE_COLUMNS)]
         cleaned = typecast.null_tokens(raw, text_cols)
         keep = typecast.unfiltered("filtered") if "filtered" in cleaned.columns else None
         # columns that the table has keep its types: their text is cast straight to them ('007' in a
         # STRING column stays '007'); only columns that are new are inferred
-        exists = spark.catalog.tableExists(f"{database}.{t.table}")
-        schema = spark.table(f"{database}.{t.table}").schema if exists else StructType()
+        name = f"{database}.{loads_name(t.table)}"
+        schema = spark.table(name).schema if spark.catalog.tableExists(name) else StructType()
         fresh = [c for c in text_cols if c not in schema.fieldNames()]
         kept, types = cleaned, {}
         if fresh or keep is not None:
@@ -191,18 +198,20 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
                 kept = cleaned.join(kept_files, "file_path", "left_semi")
             types = typecast.plan_types(verdicts)
         # the untouched row, for quarantine and replay
-        kept = kept.withColumn("_record", F.to_json(F.struct(*[F.col(f"`{c}`") for c in text_cols + list(PARTITION_COLUMNS)])))
+        kept = kept.withColumn("_record", F.to_json(F.struct(*[
+            F.col(f"`{c}`") for c in (*text_cols, *PARTITION_COLUMNS, *FILE_COLUMNS)])))
         typed = typecast.apply_types(kept, types)
         out = typed.drop("file_path", "file_size", "file_modification_time")
         out = typecast.conform_to_schema(out, schema, strict=strict)
         rejected = out.where(F.size("_bad_columns") > 0).select(
-            F.col("_record").alias("record"), F.array_join("_bad_columns", ",").alias("reason"), "source_file")
+            F.col("_record").alias("record"), F.array_join("_bad_columns", ",").alias("reason"), "source_file",
+            F.lit(batch).alias(BATCH))
         rejects = Observation(f"rejects_{t.table}_{uuid.uuid4().hex[:8]}")
         out = out.observe(rejects, F.count_if(F.size("_bad_columns") > 0).alias("rejected"))
         out = out.where(F.size("_bad_columns") == 0).drop("_bad_columns", "_record")
         out, obs = observe_job_totals(out, f"ingest_{t.table}_{uuid.uuid4().hex[:8]}", F.lit(0))
-        create_or_update_table(spark, out, f"{database}.{t.table}", PARTITION_COLUMNS,
-                               {"customer_hash": customer.customer_hash}, overwrite_partitions=True,
+        create_or_update_table(spark, out.withColumn(BATCH, F.lit(batch)), name, [*PARTITION_COLUMNS, BATCH],
+                               {"customer_hash": customer.customer_hash}, overwrite_partitions=not grouped,
                                location=f"{location_root}/{t.table}" if location_root else None)
         n_rejected = rejects.get.get("rejected", 0)
         if n_rejected:       # no second pass over the data when every row fits
@@ -219,6 +228,8 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
         for t, result in zip(items, pool.map(load, items)):
             if result is not None:
                 results[t.table] = result
+                publish(spark, database, t.table)
+    commit(spark, database, batch, planned.select(F.col("table").alias("scope"), "source_file"))
     return results
 
 
@@ -232,25 +243,40 @@ def ingest_flat_reports(spark: SparkSession, paths: str | Sequence[str], databas
     ``timestamp`` the file's modification time is used (S5).
     """
     create_database(spark, database, location_root)
-    df = read_record_array_json(spark, paths)
+    batch = new_batch()
+    df = reserve_names(read_record_array_json(spark, paths), ("timestamp", "source_file", BATCH))
     stamp = F.lit(timestamp).cast("timestamp") if timestamp else F.col("file_modification_time")
     out = df.withColumn("timestamp", stamp).withColumn("source_file", report_file(F.col("file_path")))
     load_report(spark, out.drop("file_path", "file_size", "file_modification_time"), database, table, partition_by,
-                location_root, quarantine_path)
+                location_root, quarantine_path, batch)
+    publish(spark, database, table)
+    commit(spark, database, batch, landed_reports(spark, paths, table))
     return spark.table(f"{database}.{table}")
 
 
+def landed_reports(spark: SparkSession, paths: str | Sequence[str], scope: str) -> DataFrame:
+    """The ledger's rows of a batch of report files, also of those without any record."""
+    listing = list_objects(spark, paths if isinstance(paths, str) else list(paths), JSON_GLOB)
+    return listing.select(F.lit(scope).alias("scope"), report_file(F.col("path")).alias("source_file"))
+
+
+def reserve_names(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Fields of the records that bear a name of the job's own columns stay, as ``<name>_reported``."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`").alias(f"{c}_reported" if c.lower() in taken else c) for c in df.columns])
+
+
 def report_file(path):
     return source_file(path, F.element_at(F.split(path, "/"), -1))
 
 
 def load_report(spark: SparkSession, out: DataFrame, database: str, table: str, partition_by: Sequence[str],
-                location_root: str | None, quarantine_path: str | None) -> None:
-    """Write report records (with their ``source_file``): a file's records replace those it had before.
+                location_root: str | None, quarantine_path: str | None, batch: str) -> None:
+    """Append report records (with their ``source_file``) under a batch that the caller commits.
 
     Broken files and records that do not fit the table's types go to quarantine as text.
     """
-    name = f"{database}.{table}"
+    name = f"{database}.{loads_name(table)}"
     schema = spark.table(name).schema if spark.catalog.tableExists(name) else StructType()
     fields = [c for c in out.columns if c not in (CORRUPT, "source_file", "timestamp")]
     broken = F.col(CORRUPT) if CORRUPT in out.columns else F.lit(None).cast("string")
@@ -259,12 +285,12 @@ def load_report(spark: SparkSession, out: DataFrame, database: str, table: str,
     out = typecast.conform_to_schema(out, schema)
     fits = (F.size("_bad_columns") == 0) & ~F.col("_broken")
     rejected = out.where(~fits).select(
-        F.col("_record").alias("record"), "source_file",
+        F.col("_record").alias("record"), "source_file", F.lit(batch).alias(BATCH),
         F.when(F.col("_broken"), F.lit("no JSON")).otherwise(F.array_join("_bad_columns", ",")).alias("reason"))
     rejects = Observation(f"rejects_{table}_{uuid.uuid4().hex[:8]}")
     out = out.observe(rejects, F.count_if(~fits).alias("rejected"))
-    create_or_update_table(spark, out.where(fits).drop("_bad_columns", "_record", "_broken"), name,
-                           [*partition_by, "source_file"], overwrite_partitions=True,
+    out = out.where(fits).drop("_bad_columns", "_record", "_broken").withColumn(BATCH, F.lit(batch))
+    create_or_update_table(spark, out, name, [*partition_by, BATCH], overwrite_partitions=True,
                            location=f"{location_root}/{table}" if location_root else None)
     if rejects.get.get("rejected", 0):
         write_rejects(rejected, f"{quarantine_root(spark, database, location_root, quarantine_path)}/{table}")
@@ -275,29 +301,38 @@ def ingest_report_documents(spark: SparkSession, paths: str | Sequence[str], dat
                             quarantine_path: str | None = None) -> dict[str, DataFrame]:
     """Document report job: one table ``{prefix}_{array}`` per non-empty array of the documents (G1).
 
-    The parsed documents are persisted once because each array is a separate write.
+    The parsed documents are persisted once because each array is a separate write.  A document that is
+    loaded again replaces its rows in all tables of the prefix, also in those whose array it lacks now.
     """
     create_database(spark, database, location_root)
-    docs = read_record_array_json(spark, paths).withColumn("source_file", report_file(F.col("file_path")))
+    batch = new_batch()
+    docs = reserve_names(read_record_array_json(spark, paths), ("source_file", BATCH)).withColumn(
+        "source_file", report_file(F.col("file_path")))
     docs = docs.drop("file_path", "file_size").persist()
     try:
         if CORRUPT in docs.columns:
             broken = docs.where(F.col(CORRUPT).isNotNull()).select(
-                F.col(CORRUPT).alias("record"), F.lit("no JSON").alias("reason"), "source_file")
+                F.col(CORRUPT).alias("record"), F.lit("no JSON").alias("reason"), "source_file", F.lit(batch).alias(BATCH))
             if not broken.isEmpty():
                 write_rejects(broken, f"{quarantine_root(spark, database, location_root, quarantine_path)}/{table_prefix}")
             docs_ok = docs.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
         else:
             docs_ok = docs
-        tables = reports.split_report(docs_ok.drop("file_modification_time"), table_prefix, keep=["source_file"])
+        docs_ok = docs_ok.drop("file_modification_time")
+        # an array that is empty in every document gives no table
+        arrays = reports.report_arrays(reports.drop_columns(docs_ok))
+        counts = docs_ok.agg(F.lit(0).alias("_"), *[F.sum(F.size(F.coalesce(f"`{a}`", F.array().cast(docs_ok.schema[a].dataType)))).alias(f"a{i}")
+                                                  for i, a in enumerate(arrays)]).first()
+        filled = {f"{table_prefix}_{a}" for i, a in enumerate(arrays) if counts[f"a{i}"]}
+        tables = reports.split_report(docs_ok, table_prefix, keep=["source_file"])
         written = {}
-        for name, frame in tables.items():
+        for name in sorted(filled):
             stamp = F.lit(timestamp).cast("timestamp") if timestamp else F.current_timestamp()
-            out = frame.withColumn("timestamp", stamp)
-            if out.isEmpty():          # an array that is empty in every document gives no table
-                continue
-            load_report(spark, out, database, name, (), location_root, quarantine_path)
+            out = reserve_names(tables[name], ("timestamp", BATCH)).withColumn("timestamp", stamp)
+            load_report(spark, out, database, name, (), location_root, quarantine_path, batch)
+            publish(spark, database, name, table_prefix)
             written[name] = spark.table(f"{database}.{name}")
+        commit(spark, database, batch, landed_reports(spark, paths, table_prefix))
         return written
     finally:
         docs.unpersist()

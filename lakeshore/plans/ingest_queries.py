@@ -20,6 +20,7 @@ from lakeshore.plans.ingest import (PARTITION_COLUMNS, Customer, create_database
                                     ingest_report_documents, ingest_workflow_results)
 from lakeshore.plans.queries import CUSTOMER_PREFIX, FIXED_TIMESTAMP, run_id, table
 from lakeshore.session import scratch_path
+from lakeshore.sinks.ledger import pending_rejects, widen
 from lakeshore.sinks.tables import create_or_update_table, overwrite_table, recover_partitions, write_parquet
 from lakeshore.sources.files import list_objects, parquet_schema
 from lakeshore.streaming.ingest import redrive
@@ -86,7 +87,7 @@ def redrive_ingest(spark, sf_dir):
                                 location_root=tables)
     narrow = spark.table(f"{db}.acme_orders_adhoc")
     overwrite_table(spark, narrow.withColumn("o_totalprice", F.col("o_totalprice").cast("double")),
-                    f"{db}.orders_wide", PARTITION_COLUMNS)
+                    f"{db}.orders_wide", [*PARTITION_COLUMNS, "source_file"])
     redrive(spark, os.path.join(quarantine, "acme_orders_adhoc"), db, "orders_wide",
             os.path.join(quarantine, "acme_orders_adhoc_2"))
     return spark.table(f"{db}.orders_wide").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
@@ -122,8 +123,7 @@ def type_drift_ingest(spark, sf_dir):
                          code.alias("code"), total.alias("total"),
                          F.concat(F.col("o_orderpriority"), F.lit("\n"), F.col("o_orderstatus")).alias("note"))
              .write.partitionBy("workflow", "schedule").option("header", True).csv(path))
-        ingest_workflow_results(spark, path, db, customer, location_root=tables)
-    (name,) = [r.tableName for r in spark.sql(f"SHOW TABLES IN `{db}`").collect() if not r.isTemporary]
+        (name,) = ingest_workflow_results(spark, path, db, customer, location_root=tables)
     loaded = spark.table(f"{db}.{name}").select("o_orderkey", "code", F.col("total").cast("double").alias("total"), "note",
                                                F.lit("loaded").alias("state"))
     record = "o_orderkey string, code string, total string, note string"     # rejected CSV rows are kept as they were
@@ -182,6 +182,67 @@ UNION ALL SELECT NULL, NULL, NULL, 'no JSON' FROM range(2)
 """
 
 
+# ---- files that land again ----------------------------------------------------------
+
+def land_file(df, folder: str, name: str) -> None:
+    """One landed CSV file of that very name, replacing an older one (header only if there are no rows)."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    scratch, target = f"{folder}/_{run_id()}", path(f"{folder}/{name}")
+    df.coalesce(1).write.option("header", True).csv(scratch)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (part,) = [f.getPath() for f in fs.globStatus(path(f"{scratch}/part-*.csv"))]
+    fs.delete(target, False)
+    fs.rename(part, target)
+    fs.delete(path(scratch), True)
+
+
+def reland_ingest(spark, sf_dir):
+    """Files land again, and the table is what they say now.
+
+    Four files of orders come first with whole totals (BIGINT), then two with real ones, whose fractions
+    are rejected.  Then file 0 lands corrected, 1 without rows, 2 with all rows filtered, 3 as it was (with
+    a new time stamp), and 4 with whole totals, so its rejects are void.  The total is widened and the
+    quarantine replayed twice: only what file 5 still has in it loads, once.
+    """
+    landing, tables, db = _run_dirs(spark, "reland")
+    customer = Customer("acme", "c0ffee", ())
+    folder = os.path.join(landing, "workflow=orders", "schedule=adhoc")
+    o = table(spark, sf_dir, "orders")
+
+    def land(k: int, whole: bool = True, priority=F.col("o_orderpriority"), filtered: str = "false", keep=F.lit(True)):
+        total = F.floor("o_totalprice").cast("string") if whole else F.col("o_totalprice").cast("string")
+        land_file(o.where((F.col("o_orderkey") % 6 == k) & keep).select(
+            "o_orderkey", total.alias("o_totalprice"), priority.alias("o_orderpriority"), F.lit(filtered).alias("filtered")),
+            folder, f"2024-01-0{k + 1}-orders.csv")
+
+    for files in ((0, 1, 2, 3), (4, 5)):
+        for k in files:
+            land(k, whole=k < 4)
+        (name,) = ingest_workflow_results(spark, landing, db, customer, location_root=tables)
+    land(0, priority=F.lit("0-FIXED"))
+    land(1, keep=F.lit(False))
+    land(2, filtered="true")
+    land(3)
+    land(4)
+    ingest_workflow_results(spark, landing, db, customer, location_root=tables)
+    widen(spark, db, name, {"o_totalprice": "double"})
+    quarantine = os.path.join(tables, "_quarantine", name)
+    for k in (1, 2):
+        redrive(spark, quarantine, db, name, f"{quarantine}_{k}")
+    left = pending_rejects(spark, db, name, quarantine).select(
+        F.lit(None).cast("bigint").alias("o_orderkey"), F.lit(None).cast("double").alias("o_totalprice"),
+        F.col("reason").alias("o_orderpriority"))
+    return spark.table(f"{db}.{name}").select("o_orderkey", "o_totalprice", "o_orderpriority").unionByName(left)
+
+
+SQL_RELAND_INGEST = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN o_totalprice ELSE floor(o_totalprice) END AS o_totalprice,
+       CASE WHEN o_orderkey % 6 = 0 THEN '0-FIXED' ELSE o_orderpriority END AS o_orderpriority
+FROM orders WHERE o_orderkey % 6 NOT IN (1, 2)
+"""
+
+
 # ---- flat JSON array reports (gzip) ------------------------------------------------
 
 def _line_record(sales_mixed: bool = True):
@@ -304,6 +365,7 @@ INGEST_QUERIES = {
     "redrive_ingest": redrive_ingest,
     "type_drift_ingest": type_drift_ingest,
     "report_drift_ingest": report_drift_ingest,
+    "reland_ingest": reland_ingest,
 }
 INGEST_ORACLE_SQL = {
     "csv_ingest": SQL_CSV_INGEST,
@@ -313,4 +375,5 @@ INGEST_ORACLE_SQL = {
     "redrive_ingest": SQL_REDRIVE_INGEST,
     "type_drift_ingest": SQL_TYPE_DRIFT_INGEST,
     "report_drift_ingest": SQL_REPORT_DRIFT_INGEST,
+    "reland_ingest": SQL_RELAND_INGEST,
 }

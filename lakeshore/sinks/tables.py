@@ -1,9 +1,8 @@
 """Sinks: Parquet files, catalog tables, evolution, partitions, quarantine.
 
-Tables are Parquet (Snappy) with string partition columns.  Writes that must
-be idempotent per source (a re-run of a file or of a micro-batch) use dynamic
-partition overwrite on a partition that identifies the source, so re-running
-replaces rather than duplicates.
+Tables are Parquet (Snappy) with string partition columns.  Ingest loads go to a
+partition of their own batch and become visible, file by file, through the
+ledger (``sinks.ledger``); rejects are replaced per file with dynamic partition overwrite.
 """
 
 from __future__ import annotations
@@ -117,13 +116,18 @@ def partition_overwrite(spark: SparkSession):
             spark.conf.set(key, before)
 
 
+REJECT_SCHEMA = "record string, reason string, load_batch string, source_file string"
+
+
 def write_rejects(df: DataFrame, path: str) -> None:
-    """K6: rejected rows (source_file, record as JSON text, reason), replacing those of the same files.
+    """K6: rejected rows (source_file, record as JSON text, reason, load_batch if any), replacing those of the same files.
 
     One text column whatever the batch's types, so that all generations read as one table.
     """
+    batch = F.col("load_batch") if "load_batch" in df.columns else F.lit(None)
     with partition_overwrite(df.sparkSession):
-        (df.select(F.col("record").cast("string"), F.col("reason").cast("string"), F.col("source_file").cast("string"))
+        (df.select(F.col("record").cast("string"), F.col("reason").cast("string"), batch.cast("string").alias("load_batch"),
+                   F.col("source_file").cast("string"))
          .write.mode("overwrite").partitionBy("source_file").parquet(path))
 
 

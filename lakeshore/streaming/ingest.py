@@ -18,6 +18,8 @@ from lakeshore.operators.batching import micro_batch_options, pending_files_read
 from lakeshore.plans.ingest import (Customer, ingest_flat_reports, ingest_report_documents,
                                     ingest_workflow_results)
 from lakeshore.sources.files import CSV_GLOB, JSON_GLOB, list_objects
+from lakeshore.sinks.ledger import (BATCH, REDRIVEN, commit, generation_of, is_ledgered, loads_name, new_batch,
+                                    pending_rejects, read_rejects)
 from lakeshore.sinks.tables import create_or_update_table, write_rejects
 from lakeshore.streaming.state import init_log, read_log, run_available_now, write_batch_partition
 
@@ -101,31 +103,47 @@ def report_stream(spark: SparkSession, root: str, database: str, table: str, che
     return reports
 
 
-def redrive(spark: SparkSession, quarantine_path: str, database: str, table: str, next_path: str) -> int:
+def redrive(spark: SparkSession, quarantine_path: str, database: str, table: str, next_path: str,
+            scope: str | None = None) -> int:
     """Replay the rejected rows (see ``write_rejects``) of a table against its current schema.
 
     Rows that conform now are loaded; the rest go to ``next_path`` (a new quarantine generation; nothing
-    is deleted).  Replayed rows get a partition of their own, named after their file and this quarantine,
-    and replace it, so a second call loads nothing twice.  Returns the number of rows loaded.
+    is deleted).  Of a table with a ledger only rejects of the newest version of their file are replayed,
+    and the ledger marks them as replayed: a second call loads nothing, and a corrected file takes its
+    redriven rows with it.  In other tables replayed rows get a ``source_file`` partition of their own, named
+    after their file and this quarantine, and replace it.  ``scope`` is the ledger's, where it is not the table
+    (the prefix of report documents).  Returns the number of rows loaded.
     """
-    target = spark.table(f"{database}.{table}").schema
+    ledgered = is_ledgered(spark, database, table)
+    name = f"{database}.{loads_name(table) if ledgered else table}"
+    target = spark.table(name).schema
     raw = StructType([StructField(f.name, StringType()) for f in target.fields])
-    rejects = spark.read.parquet(quarantine_path)
-    rows = rejects.select(F.from_json("record", raw).alias("_r"), "record", F.col("source_file").alias("_file")).select(
-        "_r.*", F.col("record").alias("_record"), "_file")
+    scope = scope or table
+    rejects = pending_rejects(spark, database, scope, quarantine_path) if ledgered else read_rejects(spark, quarantine_path)
+    rows = rejects.select(F.from_json("record", raw).alias("_r"), "record", F.col("source_file").alias("_file"),
+                          F.col(BATCH).alias("_batch")).select("_r.*", F.col("record").alias("_record"), "_file", "_batch")
     conformed = typecast.conform_to_schema(rows, target).persist()
     try:
         good = conformed.where(F.size("_bad_columns") == 0)
-        generation = F.substring(F.sha1(F.lit(quarantine_path.rstrip("/")).cast("binary")), 1, 8)
-        partitions = [c.name for c in spark.catalog.listColumns(f"{database}.{table}") if c.isPartition]
+        generation = generation_of(quarantine_path)
+        partitions = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+        batch = new_batch()
         n = good.count()
         if n:
-            out = good.withColumn("source_file", F.concat("_file", F.lit("-redriven-"), generation)) if partitions else good
-            create_or_update_table(spark, out.drop("_bad_columns", "_record", "_file"), f"{database}.{table}", partitions,
+            if ledgered:
+                out = good.withColumn("source_file", F.col("_file")).withColumn(BATCH, F.lit(batch))
+            elif partitions:
+                out = good.withColumn("source_file", F.concat("_file", F.lit("-redriven-"), F.lit(generation)))
+            else:
+                out = good
+            create_or_update_table(spark, out.drop("_bad_columns", "_record", "_file", "_batch"), name, partitions,
                                    overwrite_partitions=bool(partitions))
         still_bad = conformed.where(F.size("_bad_columns") > 0)
         write_rejects(still_bad.select(F.col("_record").alias("record"), F.array_join("_bad_columns", ",").alias("reason"),
-                                       F.col("_file").alias("source_file")), next_path)
+                                       F.col("_file").alias("source_file"), F.col("_batch").alias(BATCH)), next_path)
+        if ledgered:
+            commit(spark, database, batch, conformed.select(F.lit(scope).alias("scope"), F.col("_file").alias("source_file")),
+                   REDRIVEN, generation)
         return n
     finally:
         conformed.unpersist()

@@ -16,6 +16,7 @@ from lakeshore.plans.ingest import Customer
 from lakeshore.plans.ingest_queries import (SQL_CSV_INGEST, SQL_DOCUMENT_INGEST, SQL_REPORT_INGEST,
                                             land_line_documents, land_line_reports)
 from lakeshore.session import scratch_path
+from lakeshore.sinks.ledger import served_tables
 from lakeshore.streaming.ingest import ingest_stream, report_stream
 from lakeshore.streaming import state as S
 from lakeshore.streaming.state import (current_from_log, run_available_now, stream_latest_per_key,
@@ -120,7 +121,7 @@ def stream_csv_ingest(spark, sf_dir):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
     ingest_stream(spark, landing, db, Customer("acme", "c0ffee"), os.path.join(base, "checkpoint"),
                   location_root=tables, max_files=6)
-    names = sorted(r.tableName for r in spark.sql(f"SHOW TABLES IN `{db}`").collect() if not r.isTemporary)
+    names = served_tables(spark, db)
     frames = [spark.table(f"`{db}`.`{n}`").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "filtered",
         F.lit(n).alias("table_name")) for n in names]
@@ -153,7 +154,7 @@ def stream_document_ingest(spark, sf_dir):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
     report_stream(spark, landing, db, "lines_report", os.path.join(base, "checkpoint"), documents=True,
                   location_root=tables, max_files=10, timestamp=Q.FIXED_TIMESTAMP)
-    names = sorted(r.tableName for r in spark.sql(f"SHOW TABLES IN `{db}`").collect() if not r.isTemporary)
+    names = served_tables(spark, db)
     frames = [spark.table(f"`{db}`.`{n}`").select("l_orderkey", "l_linenumber", "sales", "flag",
                                                    F.lit(n.lower()).alias("table_name")) for n in names]
     out = frames[0]
