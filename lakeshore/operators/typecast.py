@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DataType, DoubleType, IntegralType, LongType, StringType, StructField, StructType,
+from pyspark.sql.types import (ArrayType, DataType, FloatType, MapType, StringType, StructField, StructType,
                                _parse_datatype_string)
 
 
@@ -65,6 +65,19 @@ def _as_double(col: Column) -> Column:
     return F.when(col.rlike(_NUMBER_TEXT), col.try_cast("double"))
 
 
+_WHOLE_TEXT = r"^\s*[+-]?\d+\.0*\s*$"
+#: few enough digits for a DOUBLE to hold exactly what is written
+_SHORT_EXPONENT = r"^\s*[+-]?(?=[\d.]{1,16}[eE])\d+\.?\d*[eE][+-]?\d+\s*$"
+
+
+def _whole(col: Column) -> Column:
+    """BIGINT for text of a whole number that is no plain integer (``'3.0'``, ``'1e3'``), else NULL; never rounded."""
+    by_digits = F.regexp_replace(col, r"\s|\.0*\s*$", "").try_cast("bigint")
+    number = _as_double(col)
+    exact = F.when((number == F.floor(number)) & (F.abs(number) < F.lit(2.0 ** 53)), number.try_cast("bigint"))
+    return F.when(col.rlike(_WHOLE_TEXT), by_digits).when(col.rlike(_SHORT_EXPONENT), exact)
+
+
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -123,7 +136,7 @@ def value_class(col: Column, as_double: Column | None = None, as_bigint: Column
             .when(col.isin(*(TRUE_TEXT + FALSE_TEXT)), F.lit(_BOOL))
             .when(as_bigint.isNotNull(), F.lit(_INT))
             .when(as_double.isNull() | F.isnan(as_double), F.lit(_TEXT))
-            .when((as_double == F.floor(as_double)) & (F.abs(as_double) < F.lit(9.2e18)), F.lit(_WHOLE))
+            .when(_whole(col).isNotNull(), F.lit(_WHOLE))
             .otherwise(F.lit(_FRACTION)))
 
 
@@ -217,8 +230,26 @@ def map_boolean_text(col: Column) -> Column:
 
 
 def text_to_bigint(col: Column) -> Column:
-    """C4: integer text directly, whole-valued decimals through DOUBLE (``'1.0'`` -> 1)."""
-    return F.coalesce(_as_bigint(col), _as_double(col).try_cast("bigint"))
+    """C4: integer text and whole-valued decimals (``'1.0'`` -> 1), digit by digit; NULL for fractions."""
+    return F.coalesce(_as_bigint(col), _whole(col))
+
+
+def _text_to_decimal(col: Column, precision: int, scale: int) -> Column:
+    """DECIMAL for number text that it holds without rounding, else NULL."""
+    cast = F.when(col.rlike(_NUMBER_TEXT), col.try_cast(f"decimal({precision},{scale})"))
+    fits = col.rlike(r"^\s*[+-]?\d*\.?\d{0,%d}0*\s*$" % scale)
+    return F.when(fits | (col.rlike("[eE]") & (cast.cast("double") == _as_double(col))), cast)
+
+
+def _exact_cast(col: Column, have: DataType, want: DataType) -> Column:
+    """A cast between typed columns that gives NULL unless the value comes back unchanged.
+
+    FLOAT columns round by nature and are not compared.
+    """
+    cast = col.try_cast(want.simpleString())
+    if isinstance(want, (StringType, FloatType)) or isinstance(have, (StructType, ArrayType, MapType)):
+        return cast
+    return F.when(cast.try_cast(have.simpleString()) == col, cast)
 
 
 def cast_text(col: Column, type_name: str) -> Column:
@@ -231,7 +262,10 @@ def cast_text(col: Column, type_name: str) -> Column:
     if t in ("double", "float"):
         return _as_double(col).cast(t)
     if t.startswith("decimal"):
-        return F.when(col.rlike(_NUMBER_TEXT), col.try_cast(t))
+        want = spark_type(t)
+        return _text_to_decimal(col, want.precision, want.scale)
+    if t == "date":      # a time of day would be cut
+        return F.when(col.try_cast("timestamp") == col.try_cast("date").cast("timestamp"), col.try_cast("date"))
     if t == "string":
         return col
     return col.try_cast(t)
@@ -313,16 +347,11 @@ def conform_to_schema(df: DataFrame, table_schema: StructType, source_types: dic
             cols.append(src.alias(f.name))
             continue
         if isinstance(f.dataType, StringType):
-            cast = cast_text(src, want.simpleString())
-            if isinstance(want, IntegralType):
-                number = _as_double(src)                             # '3.0' is 3, '2.5' does not fit
-                cast = F.when(number.isNull() | (number == F.floor(number)), cast)
-        elif isinstance(want, LongType) and isinstance(f.dataType, DoubleType):
-            cast = F.when(src == F.floor(src), src.cast("bigint"))   # never truncate 2.5 -> 2
+            cast = cast_text(src, want.simpleString())               # '3.0' is 3, '2.5' does not fit
         elif isinstance(want, StringType):
             cast = src.cast("string")
         else:
-            cast = src.try_cast(want.simpleString())
+            cast = _exact_cast(src, f.dataType, want)                # never 2.5 -> 2 or 1.239 -> 1.24
         cols.append(cast.alias(f.name))
         checks.append(F.when(src.isNotNull() & cast.isNull(), F.lit(f.name)))
     extra = [F.struct(*[_c(f.name) for f in df.schema.fields]).alias("_source")] if keep_source else []

@@ -8,13 +8,20 @@ listing loop on the driver.
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
 import re
+import sys
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from lakeshore.session import materialize
+
 FILE_COLS = ("file_path", "file_size", "file_modification_time")
 
 
@@ -38,25 +45,61 @@ def read_workflow_csv(spark: SparkSession, paths: str | Sequence[str], schema: S
                       multi_line: bool = True) -> DataFrame:
     """CSV results with a header, every column as text.
 
-    Blank lines are skipped by the reader; ``\\`` escapes quotes, so a quoted
-    ``it\\"s`` reads as ``it"s`` (``quote_parity=True`` gives ``it's``, as the
-    reference's pre-parse replacement does).  Missing-value words are *not* handled here
+    Blank lines are skipped by the reader.  Quotes inside a quoted field are doubled; ``\\"`` stands
+    for a single quote with ``quote_parity=True`` (as the reference's pre-parse replacement has it), else
+    for a double quote.  Missing-value words are *not* handled here
     (the reader knows one ``nullValue`` only); C10 does it.  With a ``schema``
     (all strings, for streaming) no header inference pass is needed; ``check_header=False``
     then skips each file's header line without comparing it with the schema.
     A quoted field may hold line breaks; files known to have none can be split
     over several tasks with ``multi_line=False``.
     """
-    reader = (spark.read.option("header", True).option("escape", "\\").option("multiLine", multi_line)
+    doubled = quote_parity
+    reader = (spark.read.option("header", True).option("escape", '"' if doubled else "\\").option("multiLine", multi_line)
               .option("recursiveFileLookup", True).option("pathGlobFilter", CSV_GLOB)
               .option("inferSchema", False).option("mode", "PERMISSIVE").option("enforceSchema", not check_header))
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.csv(list(paths) if not isinstance(paths, str) else paths)
-    if quote_parity:
-        # the reference turns an escaped quote into a single quote before parsing
-        df = df.select(*[F.translate(F.col(f"`{c}`"), '"', "'").alias(c) for c in df.columns])
-    return _file_attrs(df) if with_attributes else df
+    paths = list(paths) if not isinstance(paths, str) else paths
+    df = reader.csv(paths)
+    if doubled:
+        df = _with_backslash_quotes(spark, paths, df, check_header)
+    else:
+        df = _file_attrs(df)
+    return df if with_attributes else df.drop(*FILE_COLS)
+
+
+def _with_backslash_quotes(spark: SparkSession, paths: str | Sequence[str], df: DataFrame, check_header: bool) -> DataFrame:
+    """Rows of ``df`` with its file attributes; files that hold ``\\"`` anywhere are parsed with ``'`` in its place.
+
+    Spark's reader knows one escape sign, so those files (few, as a rule: a scan of the raw lines finds
+    them) go through Python's, each by one task, like any file that may hold quoted line breaks.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", CSV_GLOB)
+    escaped = raw.text(paths).where(F.contains("value", F.lit('\\"'))).select(
+        plain_path(F.col("_metadata.file_path")).alias("file_path")).distinct()
+    columns, rows = df.columns, _file_attrs(df)
+    if escaped.isEmpty():
+        return rows
+    escaped = materialize(escaped, "csv_escaped")
+    texts = _file_attrs(raw.text(paths, wholetext=True)).join(escaped, "file_path", "left_semi")
+
+    def parse(batches):
+        csv.field_size_limit(sys.maxsize)
+        for batch in batches:
+            for file_path, text, size, time in batch[["file_path", "value", *FILE_COLS[1:]]].itertuples(index=False):
+                lines = csv.reader(io.StringIO(text.replace('\\"', "'"), newline=""))
+                header = next(lines, [])
+                if check_header and header != columns:
+                    raise ValueError(f"CSV header of {file_path} is {header}, not {columns}")
+                fields = (([x or None for x in line] + [None] * len(columns))[:len(columns)] for line in lines if line)
+                while part := list(itertools.islice(fields, 10_000)):
+                    yield pd.DataFrame({"fields": part}).assign(file_path=file_path, file_size=size, file_modification_time=time)
+
+    kinds = "fields array<string>, file_path string, file_size bigint, file_modification_time timestamp"
+    parsed = texts.mapInPandas(parse, kinds).select(
+        *[F.col("fields")[k].alias(c) for k, c in enumerate(columns)], *FILE_COLS)
+    return rows.join(escaped, "file_path", "left_anti").select(*parsed.columns).unionByName(parsed)
 
 
 CORRUPT = "_corrupt_record"
@@ -185,8 +228,8 @@ def infer_json_schema(spark: SparkSession, paths: str | Sequence[str]) -> Struct
     not objects, or a file is no VARIANT (broken, or beyond its size limit): the
     caller then falls back to Spark's inference, which leaves no field out.
     """
-    text = (spark.read.option("wholetext", True).option("pathGlobFilter", JSON_GLOB)
-            .option("recursiveFileLookup", True).text(paths))
+    text = (spark.read.option("pathGlobFilter", JSON_GLOB).option("recursiveFileLookup", True)
+            .text(paths, wholetext=True))
     docs = text.select(F.ltrim("value").startswith("[").alias("_is_array"),
                        F.try_parse_json("value").alias("_v"))
     records = docs.select(F.col("_v").isNull().alias("_failed"), F.explode_outer(
