@@ -125,6 +125,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     Repeated rows and ids give a row each, an empty table none; other columns of ``pages`` are not read.
     URLs of any length are matched whole.
     """
+    rules = written(rules, "url-rule-list")          # its size is known then, so that a short list is broadcast
     parts = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     # a host has no slash and a path starts with one or is empty, so the text stands for both
     text = F.concat("host", "path")
