@@ -57,14 +57,21 @@ class Customer:
 def plan_workflow_files(listing: DataFrame, root: str, customer: Customer) -> DataFrame:
     """P1-P6 + F1-F3 over a file listing (path, length, modificationTime): one row per loadable file."""
     rel = F.regexp_replace(F.col("path"), r"^.*?" + _escape(root.rstrip("/")) + "/", "")
-    parsed = listing.select("path", "length", "modificationTime", rel.alias("key"))
+    return plan_files(listing.select(
+        "path", "length", "modificationTime", rel.alias("key"), F.lit(customer.prefix).alias("customer_prefix"),
+        F.lit(customer.customer_hash).alias("customer_hash"),
+        F.array(*[F.lit(x) for x in customer.oob_reports]).cast("array<string>").alias("oob_reports")))
+
+
+def plan_files(objects: DataFrame) -> DataFrame:
+    """P1-P6 + F1-F3: the loadable ones of files of any customers (path, length, modificationTime, key,
+    customer_prefix, customer_hash, oob_reports) with their table and partition values."""
     wk = P.parse_workflow_key("key")
-    parsed = parsed.select("*", wk.workflow.alias("workflow"), wk.schedule.alias("schedule"),
-                           wk.file_name.alias("file_name"))
+    parsed = objects.select("*", wk.workflow.alias("workflow"), wk.schedule.alias("schedule"),
+                            wk.file_name.alias("file_name"))
     ft = P.parse_file_timestamp("file_name")
     parsed = parsed.select("*", ft.alias("ft"))
-    prefix = P.table_prefix(F.col("workflow"), F.lit(customer.prefix),
-                            F.array(*[F.lit(x) for x in customer.oob_reports]).cast("array<string>"))
+    prefix = P.table_prefix(F.col("workflow"), F.col("customer_prefix"), F.col("oob_reports"))
     version = P.parse_version(F.col("ft.basename"))
     table = P.derive_table_name(prefix, F.col("workflow"), F.col("schedule"), version)
     ext = F.regexp_extract(F.col("file_name"), r"\.([^./]+)$", 1)
@@ -72,8 +79,7 @@ def plan_workflow_files(listing: DataFrame, root: str, customer: Customer) -> Da
               & ~P.is_interactive_result(F.col("workflow"))
               & P.not_in_list(F.col("workflow"), filters.EXCLUDED_WORKFLOWS))
     return parsed.where(usable).select(
-        "path", "length", "workflow", "schedule", "file_name", table.alias("table"),
-        F.lit(customer.customer_hash).alias("customer_hash"),
+        "path", "length", "workflow", "schedule", "file_name", table.alias("table"), "customer_hash",
         F.col("ft.year").alias("export_year"), F.col("ft.month").alias("export_month"),
         F.date_format("modificationTime", "yyyy-MM-dd-HH-mm-ss").alias("file_last_modified"),
         source_file(F.col("key"), F.col("file_name")).alias("source_file"))

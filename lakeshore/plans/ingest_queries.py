@@ -19,7 +19,7 @@ from lakeshore.operators.validate import validate_schema
 from lakeshore.plans.ingest import (PARTITION_COLUMNS, Customer, create_database, ingest_flat_reports,
                                     ingest_report_documents, ingest_workflow_results)
 from lakeshore.plans.queries import CUSTOMER_PREFIX, FIXED_TIMESTAMP, run_id, table
-from lakeshore.session import scratch_path
+from lakeshore.session import hadoop_path, scratch_path
 from lakeshore.sinks.ledger import pending_rejects, widen
 from lakeshore.sinks.tables import create_or_update_table, overwrite_table, recover_partitions, write_parquet
 from lakeshore.sources.files import list_objects, parquet_schema
@@ -186,15 +186,13 @@ UNION ALL SELECT NULL, NULL, NULL, 'no JSON' FROM range(2)
 
 def land_file(df, folder: str, name: str) -> None:
     """One landed CSV file of that very name, replacing an older one (header only if there are no rows)."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    scratch, target = f"{folder}/_{run_id()}", path(f"{folder}/{name}")
+    scratch = f"{folder}/_{run_id()}"
     df.coalesce(1).write.option("header", True).csv(scratch)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    (part,) = [f.getPath() for f in fs.globStatus(path(f"{scratch}/part-*.csv"))]
+    target, fs = hadoop_path(df.sparkSession, f"{folder}/{name}")
+    (part,) = [f.getPath() for f in fs.globStatus(hadoop_path(df.sparkSession, f"{scratch}/part-*.csv")[0])]
     fs.delete(target, False)
     fs.rename(part, target)
-    fs.delete(path(scratch), True)
+    fs.delete(part.getParent(), True)
 
 
 def reland_ingest(spark, sf_dir):

@@ -96,6 +96,23 @@ def materialize(df, name: str = "stage"):
     return df.sparkSession.read.parquet(path)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system (the default one where the path names none)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = hadoop_path(spark, path)
+    return fs.exists(p)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as listings and file attributes write it, with its file system."""
+    p, fs = hadoop_path(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder, for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)

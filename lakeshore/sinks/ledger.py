@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.session import materialize
+from lakeshore.session import materialize, path_exists
 from lakeshore.sinks.tables import REJECT_SCHEMA, overwrite_table, partition_overwrite
 
 LEDGER, BATCH = "load_ledger", "load_batch"
@@ -122,8 +122,7 @@ def widen(spark: SparkSession, database: str, table: str, types: dict[str, str])
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     """All rejected rows under a quarantine folder (record, reason, load_batch, source_file)."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], REJECT_SCHEMA)
     return spark.read.schema(REJECT_SCHEMA).parquet(path)
 

@@ -140,10 +140,10 @@ def overwrite_table(spark: SparkSession, df: DataFrame, name: str, partition_by:
 
 
 def add_partitions(spark: SparkSession, name: str, specs: Sequence[Mapping[str, str]]) -> None:
-    """K5: register partitions; existing ones are ignored."""
-    for spec in specs:
-        part = ", ".join(f"`{k}` = '{v}'" for k, v in spec.items())
-        spark.sql(f"ALTER TABLE {_q(name)} ADD IF NOT EXISTS PARTITION ({part})")
+    """K5: register partitions (an empty value is the null partition); existing ones are ignored."""
+    parts = ["PARTITION (" + ", ".join(f"`{k}` = " + (f"'{v}'" if v else "NULL") for k, v in spec.items()) + ")" for spec in specs]
+    if parts:
+        spark.sql(f"ALTER TABLE {_q(name)} ADD IF NOT EXISTS {' '.join(parts)}")
 
 
 def recover_partitions(spark: SparkSession, name: str) -> None:

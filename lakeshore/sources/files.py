@@ -69,7 +69,18 @@ def read_workflow_csv(spark: SparkSession, paths: str | Sequence[str], schema: S
     return df if with_attributes else df.drop(*FILE_COLS)
 
 
-def _with_backslash_quotes(spark: SparkSession, paths: str | Sequence[str], df: DataFrame, check_header: bool) -> DataFrame:
+def read_csv_cells(spark: SparkSession, paths: Sequence[str], width: int) -> DataFrame:
+    """Rows of CSV files with any headers, the header lines among them: ``cells`` (as many as ``width``), file attributes,
+    and ``seq``, which rises along each file."""
+    names = [f"_c{k}" for k in range(width)]
+    df = (spark.read.option("header", False).option("escape", '"').option("multiLine", True)
+          .schema(", ".join(f"{n} string" for n in names)).csv(list(paths)))
+    rows = _with_backslash_quotes(spark, list(paths), df, False, header=False)
+    return rows.select(F.array(*names).alias("cells"), *FILE_COLS, F.monotonically_increasing_id().alias("seq"))
+
+
+def _with_backslash_quotes(spark: SparkSession, paths: str | Sequence[str], df: DataFrame, check_header: bool,
+                           header: bool = True) -> DataFrame:
     """Rows of ``df`` with its file attributes; files that hold ``\\"`` anywhere are parsed with ``'`` in its place.
 
     Spark's reader knows one escape sign, so those files (few, as a rule: a scan of the raw lines finds
@@ -89,9 +100,9 @@ def _with_backslash_quotes(spark: SparkSession, paths: str | Sequence[str], df:
         for batch in batches:
             for file_path, text, size, time in batch[["file_path", "value", *FILE_COLS[1:]]].itertuples(index=False):
                 lines = csv.reader(io.StringIO(text.replace('\\"', "'"), newline=""))
-                header = next(lines, [])
-                if check_header and header != columns:
-                    raise ValueError(f"CSV header of {file_path} is {header}, not {columns}")
+                first = next(lines, []) if header else []
+                if header and check_header and first != columns:
+                    raise ValueError(f"CSV header of {file_path} is {first}, not {columns}")
                 fields = (([x or None for x in line] + [None] * len(columns))[:len(columns)] for line in lines if line)
                 while part := list(itertools.islice(fields, 10_000)):
                     yield pd.DataFrame({"fields": part}).assign(file_path=file_path, file_size=size, file_modification_time=time)

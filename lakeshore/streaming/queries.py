@@ -17,7 +17,9 @@ from lakeshore.plans.ingest_queries import (SQL_CSV_INGEST, SQL_DOCUMENT_INGEST,
                                             land_line_documents, land_line_reports)
 from lakeshore.session import scratch_path
 from lakeshore.sinks.ledger import served_tables
+from lakeshore.sources.files import CSV_GLOB, list_objects
 from lakeshore.streaming.ingest import ingest_stream, report_stream
+from lakeshore.streaming.routing import routed_stream, unrouted_events
 from lakeshore.streaming import state as S
 from lakeshore.streaming.state import (current_from_log, run_available_now, stream_latest_per_key,
                                        write_batch_partition)
@@ -163,6 +165,66 @@ def stream_document_ingest(spark, sf_dir):
     return out
 
 
+def stream_routed_ingest(spark, sf_dir):
+    """T1 with J1, J2, P16-P18, W1: orders of five customers (one a region) land as CSV results of three workflows,
+    an event file names some objects of all of them at a time.  One region's amounts are text (so not all tables fit
+    one write), one has a further column; AFRICA has no pipeline, and 'P' results are deleted before they are read."""
+    base = _dirs(spark, "routed")
+    landing, events, checkpoint = (os.path.join(base, n) for n in ("landing", "events", "checkpoint"))
+    db = f"lake_routed_{Q.run_id()}"
+    o, c, n = (Q.table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    o = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    regions = [r.r_regionkey for r in Q.table(spark, sf_dir, "region").select("r_regionkey").collect()]
+    for r in regions:
+        amount = F.concat(F.lit("USD "), F.col("o_totalprice").cast("string")) if r == 2 else F.col("o_totalprice").cast("string")
+        (o.where(F.col("n_regionkey") == r).select(
+            F.concat(F.lit("orders "), F.lower("o_orderstatus")).alias("workflow"), F.lit("adhoc").alias("schedule"), "o_orderkey",
+            amount.alias("amount"), *([F.col("o_orderpriority").alias("Priority")] if r == 3 else []))
+         .repartition(4).write.partitionBy("workflow", "schedule").option("header", True).csv(f"{landing}/partner{r}-exports"))
+    listing = list_objects(spark, landing, CSV_GLOB).select(
+        F.regexp_extract("path", r"/(partner\d+-exports)/(.*)$", 1).alias("bucket"),
+        F.regexp_extract("path", r"/(partner\d+-exports)/(.*)$", 2).alias("key"))
+
+    def event(kind: str, time: str):
+        return F.to_json(F.struct(F.lit(kind).alias("detail-type"), F.lit(time).alias("time"), F.struct(
+            F.struct(F.col("bucket").alias("name")).alias("bucket"), F.struct(F.url_encode("key").alias("key")).alias("object")).alias("detail")))
+
+    created, deleted = event("Object Created", "2024-01-05T10:00:00.0Z"), event("Object Deleted", "2024-01-05T11:00:00.0Z")
+    gone = F.contains("key", F.lit("orders p"))
+    told = listing.repartition(5, "key").select(F.explode(F.when(gone, F.array(deleted, created)).otherwise(F.array(created))).alias("value"))
+    told.write.text(events)
+    customers = Q.table(spark, sf_dir, "region").select(
+        F.concat(F.lit("partner"), F.col("r_regionkey"), F.lit("-exports")).alias("hash_key"), F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))).alias("customer_prefix"),
+        F.concat(F.lit("hash"), F.col("r_regionkey")).alias("customer_hash"), F.array(F.lit("none")).alias("oob_reports"),
+        F.lit("team").alias("team"), F.concat(F.lit("ds"), F.col("r_regionkey")).alias("dataset"))
+    registry = Q.table(spark, sf_dir, "region").where("r_name <> 'AFRICA'").select(
+        F.concat(F.lit("team-ds"), F.col("r_regionkey")).alias("name"), F.lit("results").alias("pipeline"))
+    routed_stream(spark, events, landing, customers, registry, db, checkpoint, os.path.join(base, "tables"), max_files=2)
+    number = F.regexp_replace("amount", "^USD ", "").cast("double")
+    frames = [spark.table(f"`{db}`.`{t}`").select(
+        F.lit(t).alias("table_name"), "o_orderkey", number.alias("amount"),
+        (F.col("Priority") if t.startswith("europe_") else F.lit(None).cast("string")).alias("priority"), "customer_hash")
+        for t in served_tables(spark, db)]
+    out = unrouted_events(spark, checkpoint).select(
+        F.col("reason").alias("table_name"), F.lit(None).cast("bigint").alias("o_orderkey"), F.lit(None).cast("double").alias("amount"),
+        F.lit(None).cast("string").alias("priority"), F.regexp_extract("id", "^s3://([^/]*)/", 1).alias("customer_hash")).distinct()
+    for f in frames:
+        out = out.unionByName(f)
+    return out
+
+
+SQL_STREAM_ROUTED_INGEST = """
+WITH o AS (
+  SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority, r_regionkey, r_name
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT lower(replace(r_name, ' ', '_')) || '_orders_' || lower(o_orderstatus) || '_adhoc' AS table_name, o_orderkey, o_totalprice AS amount,
+       CASE WHEN r_regionkey = 3 THEN o_orderpriority END AS priority, 'hash' || r_regionkey AS customer_hash
+FROM o WHERE r_name <> 'AFRICA' AND o_orderstatus <> 'P'
+UNION ALL
+SELECT DISTINCT 'no pipeline', NULL, NULL, NULL, 'partner' || r_regionkey || '-exports' FROM o WHERE r_name = 'AFRICA'
+"""
+
+
 STREAM_QUERIES = {
     "stream_daily_metrics": stream_daily_metrics,
     "stream_object_catalog": stream_object_catalog,
@@ -171,6 +233,7 @@ STREAM_QUERIES = {
     "stream_execution_status": stream_execution_status,
     "stream_report_ingest": stream_report_ingest,
     "stream_document_ingest": stream_document_ingest,
+    "stream_routed_ingest": stream_routed_ingest,
 }
 STREAM_ORACLE_SQL = {
     "stream_daily_metrics": Q.SQL_DAILY_METRICS,
@@ -180,6 +243,7 @@ STREAM_ORACLE_SQL = {
     "stream_execution_status": SQL_STREAM_EXECUTION_STATUS,
     "stream_report_ingest": SQL_REPORT_INGEST,
     "stream_document_ingest": SQL_DOCUMENT_INGEST,
+    "stream_routed_ingest": SQL_STREAM_ROUTED_INGEST,
 }
 
 __all__ = ["STREAM_QUERIES", "STREAM_ORACLE_SQL", "run_available_now", "write_batch_partition"]
