@@ -19,6 +19,7 @@ from lakeshore.session import scratch_path
 from lakeshore.sinks.ledger import served_tables
 from lakeshore.sources.files import CSV_GLOB, list_objects
 from lakeshore.streaming.ingest import ingest_stream, report_stream
+from lakeshore.streaming.lifecycle import lifetimes, run_events, runs_of, stream_lifetimes, stream_runs
 from lakeshore.streaming.routing import routed_stream, unrouted_events
 from lakeshore.streaming import state as S
 from lakeshore.streaming.state import (current_from_log, run_available_now, stream_latest_per_key,
@@ -165,6 +166,71 @@ def stream_document_ingest(spark, sf_dir):
     return out
 
 
+def land_event_slices(spark: SparkSession, sf_dir: str, folder: str, slices: int = 4):
+    """Events as files that land one after the other in time, then a heartbeat far behind them that lets time pass."""
+    ev = Q.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    cuts = ev.select(F.unix_micros("ts").alias("t")).approxQuantile("t", [k / slices for k in range(1, slices)], 0.01)
+    place = sum((F.unix_micros("ts") > c).cast("int") for c in cuts)
+    for k in range(slices):
+        ev.where(place == k).coalesce(1).write.parquet(os.path.join(folder, f"part={k}"))
+    beat = ev.groupBy().agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(
+        F.lit(-1).cast("bigint").alias("event_id"), "ts", F.lit(None).cast(ev.schema["user_id"].dataType).alias("user_id"),
+        F.lit("heartbeat").alias("event_type"), F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
+    beat.select(*ev.columns).write.parquet(os.path.join(folder, f"part={slices}"))
+    return (spark.readStream.schema(ev.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder))
+
+
+def stream_key_lifetimes(spark, sf_dir):
+    """T4, W1, W5 over several micro-batches: users live while events come within two days, an error closes them; keys
+    that end leave the state."""
+    base = _dirs(spark, "lifetimes")
+    events = land_event_slices(spark, sf_dir, os.path.join(base, "landing"))
+    log = os.path.join(base, "log")
+    stream_lifetimes(events, "user_id", "ts", "event_id", "2 days", log, os.path.join(base, "checkpoint"), ["event_type"],
+                     F.col("event_type") == "error")
+    return lifetimes(spark, log).where("key IS NOT NULL").select(
+        F.col("key").cast("bigint").alias("user_id"), "first_ts", "last_ts", "updates",
+        F.get_json_object("payload", "$.event_type").alias("event_type"), "state")
+
+
+SQL_STREAM_KEY_LIFETIMES = """
+WITH e AS (
+  SELECT *, lag(ts) OVER w AS before, lag(event_type) OVER w AS kind_before FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 2 DAY OR kind_before = 'error' THEN 1 ELSE 0 END)
+            OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS life FROM e),
+l AS (
+  SELECT user_id, life, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS updates,
+         arg_max(event_type, (ts, event_id)) AS event_type FROM n GROUP BY user_id, life)
+SELECT user_id, first_ts, last_ts, updates, event_type,
+       CASE WHEN event_type = 'error' THEN 'closed'
+            WHEN last_ts + INTERVAL 2 DAY < (SELECT max(ts) + INTERVAL 1 DAY FROM events) THEN 'expired'
+            WHEN EXISTS (SELECT 1 FROM l AS m WHERE m.user_id = l.user_id AND m.life > l.life) THEN 'expired' ELSE 'live' END AS state
+FROM l
+"""
+
+
+def _stream_runs(spark, sf_dir):
+    base = _dirs(spark, "runs")
+    events = land_event_slices(spark, sf_dir, os.path.join(base, "landing"))
+    log = os.path.join(base, "log")
+    stream_runs(events, "user_id", "ts", "event_id", "event_type", "signup", ("purchase", "error"), log, os.path.join(base, "checkpoint"))
+    return run_events(spark, log).where("key IS NOT NULL")
+
+
+def stream_run_history(spark, sf_dir):
+    """W2 as a stream: runs opened and closed in event order by a state machine, equal to the batch run history."""
+    runs = runs_of(_stream_runs(spark, sf_dir), ("purchase", "error"), "purchase")
+    return runs.withColumn("user_id", F.col("key").cast("bigint")).drop("key")
+
+
+def stream_rejected_updates(spark, sf_dir):
+    """W3 as a stream: updates before any run or after its end."""
+    return _stream_runs(spark, sf_dir).where("NOT accepted").select(
+        F.col("seq").alias("event_id"), F.col("key").cast("bigint").alias("user_id"), "run_seq", F.col("status").alias("event_type"))
+
+
 def stream_routed_ingest(spark, sf_dir):
     """T1 with J1, J2, P16-P18, W1: orders of five customers (one a region) land as CSV results of three workflows,
     an event file names some objects of all of them at a time.  One region's amounts are text (so not all tables fit
@@ -234,6 +300,9 @@ STREAM_QUERIES = {
     "stream_report_ingest": stream_report_ingest,
     "stream_document_ingest": stream_document_ingest,
     "stream_routed_ingest": stream_routed_ingest,
+    "stream_key_lifetimes": stream_key_lifetimes,
+    "stream_run_history": stream_run_history,
+    "stream_rejected_updates": stream_rejected_updates,
 }
 STREAM_ORACLE_SQL = {
     "stream_daily_metrics": Q.SQL_DAILY_METRICS,
@@ -244,6 +313,9 @@ STREAM_ORACLE_SQL = {
     "stream_report_ingest": SQL_REPORT_INGEST,
     "stream_document_ingest": SQL_DOCUMENT_INGEST,
     "stream_routed_ingest": SQL_STREAM_ROUTED_INGEST,
+    "stream_key_lifetimes": SQL_STREAM_KEY_LIFETIMES,
+    "stream_run_history": Q.SQL_RUN_HISTORY,
+    "stream_rejected_updates": Q.SQL_REJECTED_UPDATES,
 }
 
 __all__ = ["STREAM_QUERIES", "STREAM_ORACLE_SQL", "run_available_now", "write_batch_partition"]
