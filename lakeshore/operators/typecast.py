@@ -66,16 +66,22 @@ def _as_double(col: Column) -> Column:
 
 
 _WHOLE_TEXT = r"^\s*[+-]?\d+\.0*\s*$"
-#: few enough digits for a DOUBLE to hold exactly what is written
-_SHORT_EXPONENT = r"^\s*[+-]?(?=[\d.]{1,16}[eE])\d+\.?\d*[eE][+-]?\d+\s*$"
+
+
+def _is_whole(col: Column, number: Column) -> Column:
+    """Whether number text (``number`` is its DOUBLE) that is no plain integer stands for a whole BIGINT.
+
+    A DOUBLE holds what up to 16 characters write; longer text must have nothing but zeros behind the point.
+    """
+    short = (F.length(col) <= 16) & (F.abs(number) < F.lit(2.0 ** 53))
+    return (number == F.floor(number)) & (F.abs(number) < F.lit(9.2e18)) & (short | col.rlike(_WHOLE_TEXT))
 
 
 def _whole(col: Column) -> Column:
     """BIGINT for text of a whole number that is no plain integer (``'3.0'``, ``'1e3'``), else NULL; never rounded."""
-    by_digits = F.regexp_replace(col, r"\s|\.0*\s*$", "").try_cast("bigint")
     number = _as_double(col)
-    exact = F.when((number == F.floor(number)) & (F.abs(number) < F.lit(2.0 ** 53)), number.try_cast("bigint"))
-    return F.when(col.rlike(_WHOLE_TEXT), by_digits).when(col.rlike(_SHORT_EXPONENT), exact)
+    digits = F.regexp_replace(col, r"\s|\.0*\s*$", "").try_cast("bigint")
+    return F.when(_is_whole(col, number), F.when(F.length(col) <= 16, number.try_cast("bigint")).otherwise(digits))
 
 
 def _c(name: str) -> Column:
@@ -136,7 +142,7 @@ def value_class(col: Column, as_double: Column | None = None, as_bigint: Column
             .when(col.isin(*(TRUE_TEXT + FALSE_TEXT)), F.lit(_BOOL))
             .when(as_bigint.isNotNull(), F.lit(_INT))
             .when(as_double.isNull() | F.isnan(as_double), F.lit(_TEXT))
-            .when(_whole(col).isNotNull(), F.lit(_WHOLE))
+            .when(_is_whole(col, as_double), F.lit(_WHOLE))
             .otherwise(F.lit(_FRACTION)))
 
 
