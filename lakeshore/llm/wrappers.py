@@ -37,6 +37,8 @@ COPY_SHARE = 0.5
 REFERENCES = 2
 #: rows of bit vectors that a longest common subsequence keeps at a time, in bits
 KEPT_BITS = 1 << 24
+#: references of so many bytes together go to every task; beyond it pages are joined with them by host
+SENT_BYTES = 32_000_000
 #: a host of more layouts has its pages' layouts found before their references are joined
 MOST_LAYOUTS = 4
 
@@ -642,14 +644,15 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, urls, hosts, pa.array(layouts, pa.string()), pa.array(found, _BLOCKS),
                                               pa.array(aligned, _ALIGNED)], names=PARTS.names)
 
-    # the references' size is known here, so Spark sends them to all tasks if they are small and else joins by host;
     # no page takes the references of many layouts along
+    size = refs.agg(F.sum(F.aggregate("references", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
+    sent = F.broadcast if size <= SENT_BYTES else lambda df: df
     at_host = F.col("host") == F.col("h")
     columns = ("page_id", "url", "host", "html", "references")
-    both = base.join(several, at_host, "left_anti").join(by_host, at_host, "left").select(*columns)
+    both = base.join(several, at_host, "left_anti").join(sent(by_host), at_host, "left").select(*columns)
     if several.take(1):
         some = base.join(several, at_host, "left_semi").mapInArrow(lay_out, LAID_OUT)
-        both = both.union(some.join(by_layout, at_host & (F.col("layout") == F.col("l")), "left").select(*columns))
+        both = both.union(some.join(sent(by_layout), at_host & (F.col("layout") == F.col("l")), "left").select(*columns))
     parts = written(both.mapInArrow(match, PARTS), "wrapper-blocks")
     done = parts.join(templates(parts), (F.col("host") == F.col("h")) & (F.col("layout") == F.col("l")), "left")
     # a heading goes with the template if all below it, up to the next one, is template too
