@@ -56,7 +56,11 @@ def target_sizes(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
 
 
 def _fold(items, level: int, seed: int):
-    """One pass of pivotal swaps over an array of (h, id, size, p); indexes of the taken, and the residual."""
+    """One pass of pivotal swaps over an array of (o, h, id, size, p); indexes of the taken, and the residual.
+
+    The array is ordered by falling size: a large fraction that is carried on becomes whole on the way, so what is
+    left at the end tends to be one of the smallest.
+    """
     def swap(acc, i):
         e = F.element_at(items, i)
         x, a, p, b = acc["x"], acc["size"], e["p"], e["size"].cast("double")
@@ -93,7 +97,7 @@ def round_fractions(units: DataFrame, largest: int, seed: int = 0, fan_in: int =
         last = level == depth - 1
         block = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("h", F.lit(level)), F.col("blocks"))
         folded = (pool.withColumn("block", block).groupBy("source", "block", "blocks")
-                  .agg(F.sort_array(F.collect_list(F.struct("h", "id", "size", "p"))).alias("items"))
+                  .agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("o"), "h", "id", "size", "p"))).alias("items"))
                   .withColumn("end", _fold(F.col("items"), level, seed)))
         # each level is small and read twice (its taken units, its residuals)
         folded = written(folded, f"pivotal-{level}")
