@@ -16,6 +16,7 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeshore.llm.common import shared_path, text_batches, written
+from lakeshore.session import qualified
 
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 #: an archive is closed after so many bytes of records, a range of records after so many
@@ -174,8 +176,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     spark = pages.sparkSession
     text_batches(spark)
     folder = folder or shared_path(spark, "warc")
-    if "://" not in folder:
-        folder = "file://" + folder.removeprefix("file:")
+    if "://" not in folder:       # a path lies in Spark's default store, whichever that is
+        folder = re.sub("^file:/(?!/)", "file:///", qualified(spark, folder))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
