@@ -27,11 +27,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Documents that were empty before stay.  n_chars follows the text.
     """
-    out = line_chunks.dedup_lines(docs).filter(~F.col("emptied"))
-    if "n_chars" in docs.columns:
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])      # names of any kind stay inside
+    out = line_chunks.dedup_lines(docs.select(rest.alias("rest"), "doc_id", "text")).filter(~F.col("emptied"))
+    columns = {c: F.col("rest").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("text")}
+    if "n_chars" in columns:
         changed = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, changed).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        columns["n_chars"] = F.when(F.col("lines_removed") > 0, changed).otherwise(columns["n_chars"])
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +45,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     ids = groups.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"),
                                        F.count(F.lit(1)).alias("rows"))
     ids = written(ids.filter("not stays or rows > 1").select(F.col("doc_id").alias("i"), "stays"), "pipeline-near-copies")
-    same = F.col("doc_id").eqNullSafe(F.col("i"))
-    single = docs.join(ids, same, "left_anti")
-    repeated = docs.join(ids.filter("stays"), same, "left_semi").withColumn("_th", F.xxhash64("text"))
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "_th"]).drop("_th"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))       # names of any kind stay inside
+    same = F.col("row.doc_id").eqNullSafe(F.col("i"))
+    single = row.join(ids, same, "left_anti")
+    repeated = row.join(ids.filter("stays"), same, "left_semi").withColumn("id", F.col("row.doc_id"))
+    first = repeated.withColumn("th", F.xxhash64("row.text")).dropDuplicates(["id", "th"]).select("row")
+    return single.unionByName(first).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

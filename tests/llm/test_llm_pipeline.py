@@ -46,3 +46,18 @@ def test_pipeline_runs(spark):
     out = P.run(spark, SF_SMALL)
     assert {"doc_id", "n_tokens", "bucket", "batch", "slot"} <= set(out.columns) and out.count() > 0
     assert out.filter(F.col("n_tokens") > F.col("bucket_length")).count() == 0
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    clashing = ["i", "th", "_th", "id", "row", "rows", "rest", "stays", "emptied", "lines_removed", "n_lines", "times", "_copy", "size", "component_id", "h1"]
+    more = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in clashing])
+    plain = {}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, more, SF_SMALL)
+        assert out.columns == more.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}-{r.doc_id}" for r in got for c in clashing)
+        plain[name] = Counter((r.doc_id, r.text, r.n_chars) for r in stage(spark, docs, SF_SMALL).collect())
+        assert plain[name] == Counter((r.doc_id, r.text, r.n_chars) for r in got)
+    assert P.pack_batches(spark, more, SF_SMALL).count() == docs.count()
