@@ -86,10 +86,10 @@ def job_totals(df: DataFrame, group_cols: Sequence[str], file_col: str, bytes_co
         F.count(F.lit(1)).alias("records"))
 
 
-def observe_job_totals(df: DataFrame, name: str, bytes_col: Column) -> tuple[DataFrame, Observation]:
-    """A6 without a second pass: metrics are collected by the action that writes the data."""
+def observe_job_totals(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """A6 without a second pass: records are counted by the action that writes the data (bytes: ``ledger.written_files``)."""
     obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("records"), F.sum(bytes_col).alias("bytes")), obs
+    return df.observe(obs, F.count(F.lit(1)).alias("records")), obs
 
 
 def filtered_counts(df: DataFrame, group_cols: Sequence[str], unfiltered: Column) -> DataFrame:

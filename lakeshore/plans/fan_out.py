@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from lakeshore.operators import typecast
 from lakeshore.plans.ingest import FILE_COLUMNS, PARTITION_COLUMNS, create_database, plan_files
 from lakeshore.session import materialize, path_exists
-from lakeshore.sinks.ledger import BATCH, commit, loads_name, new_batch, publish
+from lakeshore.sinks.ledger import BATCH, commit, loads_name, new_batch, publish, written_files
 from lakeshore.sinks.tables import (add_partitions, create_table_with_properties, evolve_table, partition_overwrite,
                                     write_rejects)
 from lakeshore.sources.files import plain_path, read_csv_cells
@@ -147,7 +147,8 @@ def load_files(spark: SparkSession, objects: DataFrame, database: str, location_
     counts = {r.table: r.n for r in spark.read.option("basePath", location_root).parquet(
         *[table_location(location_root, t) for t in schemas]).where(F.col(BATCH) == batch).groupBy("table").agg(
         F.count(F.lit(1)).alias("n")).collect()} if schemas else {}
-    return {t: {"types": fresh[t], "records": counts.get(t, 0), "rejected": rejected.get(t, 0)} for t in sorted(schemas)}
+    return {t: {"types": fresh[t], "records": counts.get(t, 0), "rejected": rejected.get(t, 0)}
+            | dict(zip(("files_written", "bytes_written"), written_files(spark, database, t, batch))) for t in sorted(schemas)}
 
 
 def write_group(rows: DataFrame, schemas: dict[str, dict[str, str]], location_root: str, quarantine: str, batch: str) -> dict[str, int]:

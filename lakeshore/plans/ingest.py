@@ -27,10 +27,10 @@ from lakeshore.functions import paths as P
 from lakeshore.operators import filters, reports, typecast
 from lakeshore.operators.aggregates import observe_job_totals
 from lakeshore.session import materialize
-from lakeshore.sinks.ledger import BATCH, commit, create_ledger, loads_name, new_batch, publish
+from lakeshore.sinks.ledger import BATCH, commit, create_ledger, loads_name, new_batch, publish, written_files
 from lakeshore.sinks.tables import create_or_update_table, partition_overwrite, write_rejects
 from lakeshore.sources.files import (CORRUPT, CSV_GLOB, JSON_GLOB, list_objects, plain_path, read_record_array_json,
-                                     read_workflow_csv)
+                                     read_workflow_csv, with_file_attributes)
 
 PARTITION_COLUMNS = ("customer_hash", "export_year", "export_month")
 #: the landed file of a row; loading the file again replaces its rows (``sinks.ledger``)
@@ -138,7 +138,7 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
     the tables) as text with their file and the reason, or fail the job with
     ``strict``; rows read = rows written + rows rejected, always.
     Returns per table: the types chosen for new columns, rows written and
-    rejected, files and bytes read (A6, observed in the write itself, no extra pass).
+    rejected, files and bytes read (A6, observed in the write itself, no extra pass), files and bytes written.
     """
     create_database(spark, database, location_root)
     batch = new_batch()
@@ -215,7 +215,7 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
         rejects = Observation(f"rejects_{t.table}_{uuid.uuid4().hex[:8]}")
         out = out.observe(rejects, F.count_if(F.size("_bad_columns") > 0).alias("rejected"))
         out = out.where(F.size("_bad_columns") == 0).drop("_bad_columns", "_record")
-        out, obs = observe_job_totals(out, f"ingest_{t.table}_{uuid.uuid4().hex[:8]}", F.lit(0))
+        out, obs = observe_job_totals(out, f"ingest_{t.table}_{uuid.uuid4().hex[:8]}")
         create_or_update_table(spark, out.withColumn(BATCH, F.lit(batch)), name, [*PARTITION_COLUMNS, BATCH],
                                {"customer_hash": customer.customer_hash}, overwrite_partitions=not grouped,
                                location=f"{location_root}/{t.table}" if location_root else None)
@@ -233,7 +233,7 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
     with partition_overwrite(spark), ThreadPoolExecutor(max_workers=workers) as pool:
         for t, result in zip(items, pool.map(load, items)):
             if result is not None:
-                results[t.table] = result
+                results[t.table] = result | dict(zip(("files_written", "bytes_written"), written_files(spark, database, t.table, batch)))
                 publish(spark, database, t.table)
     commit(spark, database, batch, planned.select(F.col("table").alias("scope"), "source_file"))
     return results
@@ -241,18 +241,20 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
 
 def ingest_flat_reports(spark: SparkSession, paths: str | Sequence[str], database: str, table: str,
                         timestamp: str | None = None, partition_by: Sequence[str] = (),
-                        location_root: str | None = None, quarantine_path: str | None = None) -> DataFrame:
+                        location_root: str | None = None, quarantine_path: str | None = None,
+                        manifest: DataFrame | None = None) -> DataFrame:
     """Flat report job: JSON arrays (optionally gzip) -> one table, with an ingest ``timestamp``.
 
     Mixed numeric fields are DOUBLE and numeric/text mixes STRING (C7) by
     Spark's JSON inference over the whole batch.  Without an explicit
-    ``timestamp`` the file's modification time is used (S5).
+    ``timestamp`` the one of the ``manifest`` (path, timestamp) counts, or else
+    the file's modification time (S5).
     """
     create_database(spark, database, location_root)
     batch = new_batch()
     df = reserve_names(read_record_array_json(spark, paths), ("timestamp", "source_file", BATCH))
-    stamp = F.lit(timestamp).cast("timestamp") if timestamp else F.col("file_modification_time")
-    out = df.withColumn("timestamp", stamp).withColumn("source_file", report_file(F.col("file_path")))
+    df = df.withColumn("timestamp", F.lit(timestamp).cast("timestamp")) if timestamp else with_file_attributes(df, manifest)
+    out = df.withColumn("source_file", report_file(F.col("file_path")))
     load_report(spark, out.drop("file_path", "file_size", "file_modification_time"), database, table, partition_by,
                 location_root, quarantine_path, batch)
     publish(spark, database, table)

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from lakeshore.operators import filters
 from lakeshore.operators.history import latest_objects
-from lakeshore.operators.validate import validate_schema
+from lakeshore.operators.validate import VALIDATE, validate_schema, validate_table_files
 from lakeshore.plans.ingest import (PARTITION_COLUMNS, Customer, create_database, ingest_flat_reports,
                                     ingest_report_documents, ingest_workflow_results)
 from lakeshore.plans.queries import CUSTOMER_PREFIX, FIXED_TIMESTAMP, run_id, table
@@ -355,6 +355,32 @@ SELECT 'o_discount', NULL, 'double', false
 """
 
 
+def schema_census(spark, sf_dir):
+    """C9, S8 over all files of a table, switched on by its property: orders before 2000 went through the catalog,
+    the later files came with a further column, those of 2001 with a text priority and without the customer."""
+    _, tables, db = _run_dirs(spark, "census")
+    create_database(spark, db, tables)
+    location = os.path.join(tables, "orders")
+    o = table(spark, sf_dir, "orders").select(
+        "*", F.lit(1).alias("priority"), F.date_format("o_orderdate", "yyyy").alias("export_year"))
+    create_or_update_table(spark, o.where("export_year < '2000'"), f"{db}.orders", ["export_year"], {VALIDATE: "true"}, location=location)
+    later = o.withColumn("o_discount", F.round(F.col("o_totalprice") * 0.05, 2))
+    write_parquet(later.where("export_year = '2000'"), location, ["export_year"], mode="append")
+    write_parquet(later.where("export_year > '2000'").withColumn("priority", F.col("priority").cast("string")).drop("o_custkey"),
+                  location, ["export_year"], mode="append")
+    return validate_table_files(spark, f"{db}.orders").select("column", "expected_type", "actual_type", "rows")
+
+
+SQL_SCHEMA_CENSUS = """
+WITH y AS (SELECT year(o_orderdate) AS y FROM orders),
+d AS (
+  SELECT 'o_discount' AS "column", NULL AS expected_type, 'double' AS actual_type, count(*) AS rows FROM y WHERE y >= 2000
+  UNION ALL SELECT 'priority', 'int', 'string', count(*) FROM y WHERE y > 2000
+  UNION ALL SELECT 'o_custkey', 'bigint', NULL, count(*) FROM y WHERE y > 2000)
+SELECT * FROM d WHERE rows > 0
+"""
+
+
 INGEST_QUERIES = {
     "csv_ingest": csv_ingest,
     "report_ingest": report_ingest,
@@ -364,6 +390,7 @@ INGEST_QUERIES = {
     "type_drift_ingest": type_drift_ingest,
     "report_drift_ingest": report_drift_ingest,
     "reland_ingest": reland_ingest,
+    "schema_census": schema_census,
 }
 INGEST_ORACLE_SQL = {
     "csv_ingest": SQL_CSV_INGEST,
@@ -374,4 +401,5 @@ INGEST_ORACLE_SQL = {
     "type_drift_ingest": SQL_TYPE_DRIFT_INGEST,
     "report_drift_ingest": SQL_REPORT_DRIFT_INGEST,
     "reland_ingest": SQL_RELAND_INGEST,
+    "schema_census": SQL_SCHEMA_CENSUS,
 }

@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.session import materialize, path_exists
+from lakeshore.session import hadoop_path, materialize, path_exists
 from lakeshore.sinks.tables import REJECT_SCHEMA, overwrite_table, partition_overwrite
 
 LEDGER, BATCH = "load_ledger", "load_batch"
@@ -87,6 +87,19 @@ def publish(spark: SparkSession, database: str, table: str, scope: str | None =
       LEFT ANTI JOIN ({_replaced_sql(database, scope)}) s ON r.source_file = s.source_file AND r.{BATCH} = s.{BATCH}""")
 
 
+def written_files(spark: SparkSession, database: str, table: str, batch: str) -> tuple[int, int]:
+    """Files and bytes that a batch added to a table, as the store lists them."""
+    name = f"{database}.{loads_name(table)}"
+    location = next(r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect() if r.col_name == "Location")
+    depth = sum(c.isPartition for c in spark.catalog.listColumns(name)) - 1
+    folders, fs = hadoop_path(spark, f"{location}{'/*' * depth}/{BATCH}={batch}")
+    files = size = 0
+    for folder in fs.globStatus(folders) or ():
+        for f in fs.listStatus(folder.getPath()):
+            files, size = files + 1, size + f.getLen()
+    return files, size
+
+
 def served_tables(spark: SparkSession, database: str) -> list[str]:
     """The names that readers see, without the rows and the ledger behind them."""
     return sorted(t.name for t in spark.catalog.listTables(database) if t.tableType == "VIEW" and not t.isTemporary)

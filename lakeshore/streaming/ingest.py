@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lakeshore.functions import paths as P
 from lakeshore.operators import typecast
 from lakeshore.operators.batching import micro_batch_options, pending_files_ready
 from lakeshore.plans.ingest import (Customer, ingest_flat_reports, ingest_report_documents,
                                     ingest_workflow_results)
+from lakeshore.session import qualified
+from lakeshore.sources.admission import LandedFiles
 from lakeshore.sources.files import CSV_GLOB, JSON_GLOB, list_objects
 from lakeshore.sinks.ledger import (BATCH, REDRIVEN, commit, generation_of, is_ledgered, loads_name, new_batch,
                                     pending_rejects, read_rejects)
@@ -36,6 +39,15 @@ def landing_stream(spark: SparkSession, root: str, glob: str = CSV_GLOB, max_fil
     return reader.load(root).select("path", "length", "modificationTime")
 
 
+def admitted_landing_stream(spark: SparkSession, root: str, log: str, min_files: int, max_files: int = 100,
+                            max_wait: float | None = None, glob: str = "*.csv") -> DataFrame:
+    """O3 in the source: newly landed files, in batches that start only when ``min_files`` wait or one has waited ``max_wait`` seconds."""
+    spark.dataSource.register(LandedFiles)
+    reader = spark.readStream.format("landed_files").option("path", qualified(spark, root)).option("log", qualified(spark, log))
+    reader = reader.option("glob", glob).option("min_files", min_files).option("max_files", max_files)
+    return (reader if max_wait is None else reader.option("max_wait", max_wait)).load().select("path", "length", "modificationTime")
+
+
 PROCESSED_SCHEMA = "path string, batch_id bigint"
 
 
@@ -103,6 +115,40 @@ def report_stream(spark: SparkSession, root: str, database: str, table: str, che
     return reports
 
 
+UNKEYED_SCHEMA = "path string, batch_id bigint"
+
+
+def keyed_report_stream(spark: SparkSession, root: str, database: str, checkpoint: str, location_root: str | None = None,
+                        manifest: DataFrame | None = None, max_files: int = 100) -> list[dict]:
+    """T1 for reports that name their table (P4: ``team/dataset/table/file.ext`` below ``root``), with the time stamp of
+    the manifest or of the file (S5).  Files whose key or extension is no report's are logged (``_unkeyed``)."""
+    marker_path, unkeyed = f"{checkpoint}/_committed", f"{checkpoint}/_unkeyed"
+    init_log(spark, marker_path, "n bigint, batch_id bigint")
+    init_log(spark, unkeyed, UNKEYED_SCHEMA)
+    prefix = qualified(spark, root).rstrip("/") + "/"
+    reports: list[dict] = []
+
+    def handle(files: DataFrame, batch_id: int) -> None:
+        done = read_log(spark, marker_path, "n bigint, batch_id bigint")
+        if done.where(F.col("batch_id") == batch_id).limit(1).count() > 0:
+            return      # replay of a committed batch
+        key = P.parse_report_key(F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path")))
+        named = files.select("path", key.alias("k")).select(
+            "path", F.when((F.col("k.table") != "") & P.is_supported_report_file(F.element_at(F.split("path", r"\."), -1)),
+                           P.sanitize_table_name(F.col("k.table"))).alias("table"))
+        write_batch_partition(named.where("table IS NULL").select("path"), unkeyed, batch_id)
+        tables: dict[str, list[str]] = {}
+        for r in named.where("table IS NOT NULL").collect():          # bounded by max_files
+            tables.setdefault(r.table, []).append(r.path)
+        for table in sorted(tables):
+            ingest_flat_reports(spark, tables[table], database, table, location_root=location_root, manifest=manifest)
+        write_batch_partition(spark.range(1).select(F.lit(len(tables)).cast("bigint").alias("n")), marker_path, batch_id)
+        reports.append({"batch_id": batch_id, "tables": sorted(tables)})
+
+    run_available_now(landing_stream(spark, root, JSON_GLOB, max_files), handle, checkpoint)
+    return reports
+
+
 def redrive(spark: SparkSession, quarantine_path: str, database: str, table: str, next_path: str,
             scope: str | None = None) -> int:
     """Replay the rejected rows (see ``write_rejects``) of a table against its current schema.

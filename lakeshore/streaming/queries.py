@@ -17,13 +17,13 @@ from lakeshore.plans.ingest_queries import (SQL_CSV_INGEST, SQL_DOCUMENT_INGEST,
                                             land_line_documents, land_line_reports)
 from lakeshore.session import scratch_path
 from lakeshore.sinks.ledger import served_tables
-from lakeshore.sources.files import CSV_GLOB, list_objects
-from lakeshore.streaming.ingest import ingest_stream, report_stream
+from lakeshore.sources.files import CSV_GLOB, JSON_GLOB, list_objects
+from lakeshore.streaming.ingest import ingest_stream, keyed_report_stream, report_stream
 from lakeshore.streaming.lifecycle import lifetimes, run_events, runs_of, stream_lifetimes, stream_runs
 from lakeshore.streaming.routing import routed_stream, unrouted_events
 from lakeshore.streaming import state as S
-from lakeshore.streaming.state import (current_from_log, run_available_now, stream_latest_per_key,
-                                       write_batch_partition)
+from lakeshore.streaming.state import (current_from_log, run_available_now, stream_latest_per_key, stream_totals,
+                                       stream_totals_of, write_batch_partition)
 
 
 def _dirs(spark: SparkSession, name: str) -> str:
@@ -37,26 +37,15 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1):
 
 
 def stream_daily_metrics(spark, sf_dir):
-    """A5 as a stream: windowed daily sums with a watermark (bounded state), update mode, and an
-    idempotent sink partitioned by (day, metric) so every partition holds the latest total."""
+    """A5 as a stream over several micro-batches: daily sums, with rows that come days late in a log of corrections."""
     base = _dirs(spark, "daily")
-    out_path = os.path.join(base, "out")
-    # event time must be a zoned TIMESTAMP for watermarks; the session zone is UTC
-    ev = events_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    agg = (ev.withWatermark("ts", "2 days")
-           .groupBy(F.window("ts", "1 day"), F.col("event_type").alias("metric"))
-           .agg(F.sum(Q.money("value")).alias("total"), F.count(F.lit(1)).alias("datapoints")))
-
-    def handle(batch, batch_id):
-        (batch.select(F.col("window.start").cast("date").cast("string").alias("day"), "metric",
-                      F.col("total").cast("double").alias("total"), "datapoints")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("day", "metric").parquet(out_path))
-
-    run_available_now(agg, handle, os.path.join(base, "checkpoint"), output_mode="update")
-    res = (spark.read.option("basePath", out_path).option("recursiveFileLookup", False)
-           .schema("total double, datapoints bigint, day string, metric string").parquet(out_path))
-    return res.select(F.col("day").cast("date").alias("day"), "metric", "total", "datapoints")
+    log = os.path.join(base, "log")
+    # every tenth event comes with the last slice, up to weeks behind the watermark
+    events = land_event_slices(spark, sf_dir, os.path.join(base, "landing"), late=True)
+    stream_totals(events, "ts", {"day": F.to_date("ts"), "metric": F.col("event_type")},
+                  {"total": F.sum(Q.money("value")), "datapoints": F.count(F.lit(1))}, log, os.path.join(base, "checkpoint"))
+    res = stream_totals_of(spark, log, ["day", "metric"], ["total", "datapoints"])
+    return res.where("metric <> 'heartbeat'").select("day", "metric", F.col("total").cast("double").alias("total"), "datapoints")
 
 
 def stream_object_catalog(spark, sf_dir):
@@ -166,11 +155,16 @@ def stream_document_ingest(spark, sf_dir):
     return out
 
 
-def land_event_slices(spark: SparkSession, sf_dir: str, folder: str, slices: int = 4):
-    """Events as files that land one after the other in time, then a heartbeat far behind them that lets time pass."""
+def land_event_slices(spark: SparkSession, sf_dir: str, folder: str, slices: int = 4, late: bool = False):
+    """Events as files that land one after the other in time, then a heartbeat far behind them that lets time pass.
+
+    With ``late`` every tenth event comes with the last file.
+    """
     ev = Q.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     cuts = ev.select(F.unix_micros("ts").alias("t")).approxQuantile("t", [k / slices for k in range(1, slices)], 0.01)
     place = sum((F.unix_micros("ts") > c).cast("int") for c in cuts)
+    if late:
+        place = F.when(F.col("event_id") % 10 == 0, slices - 1).otherwise(place)
     for k in range(slices):
         ev.where(place == k).coalesce(1).write.parquet(os.path.join(folder, f"part={k}"))
     beat = ev.groupBy().agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(
@@ -211,6 +205,39 @@ FROM l
 """
 
 
+def stream_keyed_reports(spark, sf_dir):
+    """Reports that name their table land twice; the later ones have a further field, which their tables
+    get as a new column.  Returned lines have the manifest's time stamp, other reports that of their file."""
+    base = _dirs(spark, "keyed")
+    landing, db = os.path.join(base, "landing"), f"lake_keyed_{Q.run_id()}"
+    li = Q.table(spark, sf_dir, "lineitem")
+    returned = F.when(F.col("l_returnflag") == "R", "returned-lines").otherwise("lines")
+    record = lambda more: F.concat(F.lit('{"l_orderkey":'), F.col("l_orderkey").cast("string"), F.lit(',"l_linenumber":'),
+                                   F.col("l_linenumber").cast("string"), *more, F.lit("}"))
+    for day, more in ((0, []), (1, [F.lit(',"flag":"'), F.col("l_returnflag"), F.lit('"')])):
+        docs = (li.where(F.col("l_orderkey") % 2 == day).groupBy(returned.alias("table"), F.floor(F.col("l_orderkey") / 10_000).alias("doc"))
+                .agg(F.concat(F.lit("["), F.array_join(F.collect_list(record(more)), ","), F.lit("]")).alias("value")))
+        for name in ("lines", "returned-lines"):
+            (docs.where(F.col("table") == name).select("value").repartition(4).write.mode("append").option("compression", "gzip")
+             .option("maxRecordsPerFile", 1).text(os.path.join(landing, "team", "ds", name)))
+        manifest = list_objects(spark, landing, JSON_GLOB).where(F.contains("path", F.lit("returned-lines"))).select(
+            "path", F.lit(Q.FIXED_TIMESTAMP).alias("timestamp"))
+        keyed_report_stream(spark, landing, db, os.path.join(base, "checkpoint"), os.path.join(base, "tables"), manifest)
+    frames = [spark.table(f"`{db}`.`{t}`").select(
+        F.lit(t).alias("table_name"), "l_orderkey", "l_linenumber", "flag",
+        F.when(F.col("timestamp") == F.lit(Q.FIXED_TIMESTAMP).cast("timestamp"), "manifest").when(
+            F.col("timestamp").isNotNull(), "file").alias("stamp")) for t in served_tables(spark, db)]
+    return frames[0].unionByName(frames[1])
+
+
+SQL_STREAM_KEYED_REPORTS = """
+SELECT CASE WHEN l_returnflag = 'R' THEN 'returned_lines' ELSE 'lines' END AS table_name, l_orderkey,
+       CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN l_orderkey % 2 = 1 THEN l_returnflag END AS flag,
+       CASE WHEN l_returnflag = 'R' THEN 'manifest' ELSE 'file' END AS stamp
+FROM lineitem
+"""
+
+
 def _stream_runs(spark, sf_dir):
     base = _dirs(spark, "runs")
     events = land_event_slices(spark, sf_dir, os.path.join(base, "landing"))
@@ -300,6 +327,7 @@ STREAM_QUERIES = {
     "stream_report_ingest": stream_report_ingest,
     "stream_document_ingest": stream_document_ingest,
     "stream_routed_ingest": stream_routed_ingest,
+    "stream_keyed_reports": stream_keyed_reports,
     "stream_key_lifetimes": stream_key_lifetimes,
     "stream_run_history": stream_run_history,
     "stream_rejected_updates": stream_rejected_updates,
@@ -313,6 +341,7 @@ STREAM_ORACLE_SQL = {
     "stream_report_ingest": SQL_REPORT_INGEST,
     "stream_document_ingest": SQL_DOCUMENT_INGEST,
     "stream_routed_ingest": SQL_STREAM_ROUTED_INGEST,
+    "stream_keyed_reports": SQL_STREAM_KEYED_REPORTS,
     "stream_key_lifetimes": SQL_STREAM_KEY_LIFETIMES,
     "stream_run_history": Q.SQL_RUN_HISTORY,
     "stream_rejected_updates": Q.SQL_REJECTED_UPDATES,

@@ -121,6 +121,43 @@ def live() -> Column:
     return ~F.coalesce(F.col("_deleted"), F.lit(False))
 
 
+# ---- A5 streaming ---------------------------------------------------------------------
+
+def stream_totals(stream: DataFrame, ts: str, keys: dict[str, Column], sums: dict[str, Column], log_path: str,
+                  checkpoint: str, delay: str = "2 days") -> None:
+    """A5 as a stream that drops nothing: partial sums of each micro-batch by key, in a log.
+
+    Rows behind the watermark (the newest time of earlier batches less ``delay``) go to the side output, marked
+    ``late``: corrections of totals that were final, folded in by ``stream_totals_of``.  ``sums`` are sums or
+    counts per key, so partial sums add up; no state is held, whatever the delay.
+    """
+    spark = stream.sparkSession
+    marks = f"{log_path}_watermarks"
+    init_log(spark, marks, "newest timestamp, batch_id bigint")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        newest = read_log(spark, marks, "newest timestamp, batch_id bigint", before_batch=batch_id).agg(F.max("newest").alias("t")).first().t
+        bound = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        late = F.coalesce(F.col(ts) < bound, F.lit(False)) if newest is not None else F.lit(False)
+        parts = batch.groupBy(late.alias("late"), *[c.alias(k) for k, c in keys.items()]).agg(
+            F.max(ts).alias("_newest"), *[c.alias(n) for n, c in sums.items()]).persist()
+        try:
+            write_batch_partition(parts.drop("_newest"), log_path, batch_id)
+            write_batch_partition(parts.agg(F.max("_newest").alias("newest")), marks, batch_id)
+        finally:
+            parts.unpersist()
+
+    run_available_now(stream, handle, checkpoint)
+
+
+def stream_totals_of(spark: SparkSession, log_path: str, keys: Sequence[str], sums: Sequence[str], late: bool | None = None) -> DataFrame:
+    """Totals by key, corrections included (``late`` picks final totals or corrections alone)."""
+    log = read_log(spark, log_path)
+    if late is not None:
+        log = log.where(F.col("late") == late)
+    return log.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums])
+
+
 # ---- T3 streaming ---------------------------------------------------------------------
 
 COUNTER_SCHEMA = "root string, metric string, value bigint, batch_id bigint"
