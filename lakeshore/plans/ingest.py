@@ -26,6 +26,7 @@ from pyspark.sql.types import StringType, StructType
 from lakeshore.functions import paths as P
 from lakeshore.operators import filters, reports, typecast
 from lakeshore.operators.aggregates import observe_job_totals
+from lakeshore.operators.profiles import store_profiles
 from lakeshore.session import materialize
 from lakeshore.sinks.ledger import BATCH, commit, create_ledger, loads_name, new_batch, publish, written_files
 from lakeshore.sinks.tables import create_or_update_table, partition_overwrite, write_rejects
@@ -119,7 +120,7 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
                             files: DataFrame | None = None, strict: bool = False,
                             quarantine_path: str | None = None, location_root: str | None = None,
                             max_parallel_tables: int = 4, max_listed_files: int = 10_000,
-                            multi_line: bool = True) -> dict[str, dict]:
+                            multi_line: bool = True, profiles: bool = False) -> dict[str, dict]:
     """The CSV job for one batch of landing files under ``root``.
 
     ``files`` is the batch's listing (a micro-batch of the ingest stream);
@@ -137,6 +138,7 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
     not fit the table go to ``quarantine_path`` (default: ``_quarantine`` beside
     the tables) as text with their file and the reason, or fail the job with
     ``strict``; rows read = rows written + rows rejected, always.
+    With ``profiles`` the columns of each file are profiled (``operators.profiles``), filtered rows too.
     Returns per table: the types chosen for new columns, rows written and
     rejected, files and bytes read (A6, observed in the write itself, no extra pass), files and bytes written.
     """
@@ -195,6 +197,9 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
         name = f"{database}.{loads_name(t.table)}"
         schema = spark.table(name).schema if spark.catalog.tableExists(name) else StructType()
         fresh = [c for c in text_cols if c not in schema.fieldNames()]
+        if profiles and text_cols:
+            cleaned = materialize(cleaned, "csv_text")          # files are parsed once, for the profiles and the load
+            store_profiles(spark, cleaned, text_cols, database, t.table, batch)
         kept, types = cleaned, {}
         if fresh or keep is not None:
             verdicts, kept_files, dropped = typecast.derive_types_by_file(cleaned, fresh, "file_path", keep)

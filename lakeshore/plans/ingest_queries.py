@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from lakeshore.operators import filters
 from lakeshore.operators.history import latest_objects
+from lakeshore.operators.profiles import column_profiles, merge_profiles, profile_type
 from lakeshore.operators.validate import VALIDATE, validate_schema, validate_table_files
 from lakeshore.plans.ingest import (PARTITION_COLUMNS, Customer, create_database, ingest_flat_reports,
                                     ingest_report_documents, ingest_workflow_results)
@@ -381,6 +382,25 @@ SELECT * FROM d WHERE rows > 0
 """
 
 
+def profile_types(spark, sf_dir):
+    """The lines' columns as text, profiled per ship month and merged: exact ranges and the types that fit."""
+    li = table(spark, sf_dir, "lineitem")
+    columns = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag"]
+    text = li.select(F.date_format("l_shipdate", "yyyy-MM").alias("month"), *[F.col(c).cast("string").alias(c) for c in columns])
+    merged = merge_profiles(column_profiles(text, columns, ["month"]))
+    return merged.select("name", "rows", "present", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"),
+                         profile_type().alias("type"))
+
+
+SQL_PROFILE_TYPES = """
+SELECT 'l_orderkey' AS name, count(*) AS rows, count(l_orderkey) AS present, min(l_orderkey)::DOUBLE AS low, max(l_orderkey)::DOUBLE AS high,
+       'bigint' AS type FROM lineitem
+UNION ALL SELECT 'l_linenumber', count(*), count(l_linenumber), min(l_linenumber), max(l_linenumber), 'bigint' FROM lineitem
+UNION ALL SELECT 'l_extendedprice', count(*), count(l_extendedprice), min(trunc(l_extendedprice)), max(trunc(l_extendedprice)), 'double' FROM lineitem
+UNION ALL SELECT 'l_returnflag', count(*), count(l_returnflag), NULL, NULL, 'string' FROM lineitem
+"""
+
+
 INGEST_QUERIES = {
     "csv_ingest": csv_ingest,
     "report_ingest": report_ingest,
@@ -391,6 +411,7 @@ INGEST_QUERIES = {
     "report_drift_ingest": report_drift_ingest,
     "reland_ingest": reland_ingest,
     "schema_census": schema_census,
+    "profile_types": profile_types,
 }
 INGEST_ORACLE_SQL = {
     "csv_ingest": SQL_CSV_INGEST,
@@ -402,4 +423,5 @@ INGEST_ORACLE_SQL = {
     "report_drift_ingest": SQL_REPORT_DRIFT_INGEST,
     "reland_ingest": SQL_RELAND_INGEST,
     "schema_census": SQL_SCHEMA_CENSUS,
+    "profile_types": SQL_PROFILE_TYPES,
 }
