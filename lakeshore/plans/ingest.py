@@ -119,15 +119,17 @@ def _escape(text: str) -> str:
 def ingest_workflow_results(spark: SparkSession, root: str, database: str, customer: Customer,
                             files: DataFrame | None = None, strict: bool = False,
                             quarantine_path: str | None = None, location_root: str | None = None,
-                            max_parallel_tables: int = 4, max_listed_files: int = 10_000,
+                            max_parallel_tables: int = 4, max_listed_files: int | None = None,
                             multi_line: bool = True, profiles: bool = False) -> dict[str, dict]:
     """The CSV job for one batch of landing files under ``root``.
 
     ``files`` is the batch's listing (a micro-batch of the ingest stream);
     without it the whole prefix is the batch.  Only one row per target table
-    reaches the driver: a micro-batch's tables read exactly their files (at
-    most ``max_listed_files`` paths each), a whole prefix reads each table's
+    reaches the driver: a micro-batch's tables read exactly their files (the
+    caller bounds the batch), a whole prefix reads each table's
     ``workflow=/schedule=`` folder and keeps the planned files with a join.
+    ``max_listed_files`` reads larger tables of a micro-batch, and smaller header
+    groups of a prefix, the other way.
     Per-file decisions (all rows filtered, F4) and the column verdicts are
     aggregated in Spark (per file, then across the kept files).
 
@@ -152,10 +154,13 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
         .collect())                                          # one row per target table
 
+    def listed(n: int) -> bool:
+        return files is not None if max_listed_files is None else n <= max_listed_files
+
     def load(t) -> dict | None:
         table_files = planned.where(F.col("table") == t.table).select(
             F.col("path").alias("_path"), *PARTITION_COLUMNS, *FILE_COLUMNS)
-        if files is not None and t.files <= max_listed_files:
+        if listed(t.files):
             source = [r._path for r in table_files.select("_path").collect()]    # bounded micro-batch
         else:
             source = [f"{root.rstrip('/')}/workflow={f.workflow}/schedule={f.schedule}" for f in t.folders]
@@ -168,7 +173,7 @@ def ingest_workflow_results(spark: SparkSession, root: str, database: str, custo
         heads, groups = csv_header_groups(spark, source, table_files)
         for g in groups:
             files_of = heads.where(F.col("header") == g.header).select(F.col("file").alias("_path"))
-            if g.n <= max_listed_files:        # a bounded list of paths: read exactly those files
+            if listed(g.n):                    # a bounded list of paths: read exactly those files
                 part = load_source(t, table_files, [r._path for r in files_of.collect()], grouped=True)
             else:                              # too many to list: read the folders with this header's
                 header = read_workflow_csv(spark, g.first, with_attributes=False).schema   # columns, keep
