@@ -8,6 +8,7 @@ database whose tables live next to it, and returns the loaded rows.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -123,6 +124,7 @@ def type_drift_ingest(spark, sf_dir):
             (rows.select(F.lit("my orders").alias("workflow"), F.lit("adhoc").alias("schedule"), "o_orderkey",
                          code.alias("code"), total.alias("total"),
                          F.concat(F.col("o_orderpriority"), F.lit("\n"), F.col("o_orderstatus")).alias("note"))
+             .repartition(max(4, spark.sparkContext.defaultParallelism))        # such files are read whole
              .write.partitionBy("workflow", "schedule").option("header", True).csv(path))
         (name,) = ingest_workflow_results(spark, path, db, customer, location_root=tables)
     loaded = spark.table(f"{db}.{name}").select("o_orderkey", "code", F.col("total").cast("double").alias("total"), "note",
@@ -188,7 +190,7 @@ UNION ALL SELECT NULL, NULL, NULL, 'no JSON' FROM range(2)
 def land_file(df, folder: str, name: str) -> None:
     """One landed CSV file of that very name, replacing an older one (header only if there are no rows)."""
     scratch = f"{folder}/_{run_id()}"
-    df.coalesce(1).write.option("header", True).csv(scratch)
+    df.repartition(1).write.option("header", True).csv(scratch)       # one task writes, all read
     target, fs = hadoop_path(df.sparkSession, f"{folder}/{name}")
     (part,) = [f.getPath() for f in fs.globStatus(hadoop_path(df.sparkSession, f"{scratch}/part-*.csv")[0])]
     fs.delete(target, False)
@@ -216,14 +218,12 @@ def reland_ingest(spark, sf_dir):
             folder, f"2024-01-0{k + 1}-orders.csv")
 
     for files in ((0, 1, 2, 3), (4, 5)):
-        for k in files:
-            land(k, whole=k < 4)
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            list(pool.map(lambda k: land(k, whole=k < 4), files))
         (name,) = ingest_workflow_results(spark, landing, db, customer, location_root=tables)
-    land(0, priority=F.lit("0-FIXED"))
-    land(1, keep=F.lit(False))
-    land(2, filtered="true")
-    land(3)
-    land(4)
+    again = [dict(k=0, priority=F.lit("0-FIXED")), dict(k=1, keep=F.lit(False)), dict(k=2, filtered="true"), dict(k=3), dict(k=4)]
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        list(pool.map(lambda how: land(**how), again))
     ingest_workflow_results(spark, landing, db, customer, location_root=tables)
     widen(spark, db, name, {"o_totalprice": "double"})
     quarantine = os.path.join(tables, "_quarantine", name)
