@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,6 +21,7 @@ LIVE, EXPIRED, CLOSED = "live", "expired", "closed"
 #: ``life`` names a life of a key: the time of the update that opened it (a late one can lie before it)
 LIFETIME = "key string, life bigint, first_us bigint, last_us bigint, updates bigint, payload string, state string"
 RUN_EVENT = "key string, ts_us bigint, seq bigint, status string, run_seq bigint, position bigint, accepted boolean"
+LIFE_ROW, RUN_ROW = (Row(*[c.split()[0] for c in schema.split(", ")]) for schema in (LIFETIME, RUN_EVENT))
 
 
 def micros(ts: Column | str) -> Column:
@@ -32,9 +32,9 @@ def timestamp_of(us: str) -> Column:
     return F.timestamp_micros(us).cast("timestamp_ntz")
 
 
-def in_order(rows: Iterator[pd.DataFrame]) -> list:
-    """A micro-batch's rows of one key by event time; the micro-batch bounds them."""
-    return pd.concat(list(rows)).sort_values(["ts_us", "seq"]).to_dict("records")
+def in_order(rows: Iterator[Row]) -> list[Row]:
+    """A micro-batch's rows of one key by event time, null sequence numbers last; the micro-batch bounds them."""
+    return sorted(rows, key=lambda r: (r["ts_us"], r["seq"] is None, r["seq"] or 0))
 
 
 class Lifetimes(StatefulProcessor):
@@ -50,13 +50,13 @@ class Lifetimes(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("life", "life bigint, first_us bigint, last_us bigint, updates bigint, payload string, seq bigint, timer bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         life = tuple(self.state.get()) if self.state.exists() else None
         timer, out = life[6] if life else None, []
         for r in in_order(rows):
             ts, seq, payload = r["ts_us"], r["seq"], r["payload"]
             if life and ts - life[2] > self.ttl_us:
-                out.append((key[0], *life[:5], EXPIRED))
+                out.append(LIFE_ROW(key[0], *life[:5], EXPIRED))
                 life = None
             if life is None:
                 life = (ts, ts, ts, 1, payload, seq)
@@ -65,7 +65,7 @@ class Lifetimes(StatefulProcessor):
             else:                                # arrived late: counted, but not the latest
                 life = (life[0], min(ts, life[1]), life[2], life[3] + 1, *life[4:6])
             if r["closes"]:
-                out.append((key[0], *life[:5], CLOSED))
+                out.append(LIFE_ROW(key[0], *life[:5], CLOSED))
                 life = None
         if timer is not None:
             self.handle.deleteTimer(timer)
@@ -75,26 +75,21 @@ class Lifetimes(StatefulProcessor):
             timer = (life[2] + self.ttl_us) // 1000 + 1
             self.handle.registerTimer(timer)
             self.state.update((*life[:6], timer))
-            out.append((key[0], *life[:5], LIVE))
-        yield self.frame(out)
+            out.append(LIFE_ROW(key[0], *life[:5], LIVE))
+        yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         out = []
         if self.state.exists():
             life = self.state.get()
             if life[6] == expiredTimerInfo.getExpiryTimeInMs():
-                out.append((key[0], *life[:5], EXPIRED))
+                out.append(LIFE_ROW(key[0], *life[:5], EXPIRED))
                 self.state.clear()
-        yield self.frame(out)
+        yield from out
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["key", "life", "first_us", "last_us", "updates", "payload", "state"])
-
-
 class Runs(StatefulProcessor):
     """W2 + W3: a start opens a run, the first terminal status closes it; other updates belong to the open run or
     are rejected.
@@ -110,13 +105,13 @@ class Runs(StatefulProcessor):
         self.run = handle.getValueState("run", "run_seq bigint, position bigint, is_open boolean")
         self.waiting = handle.getListState("waiting", "ts_us bigint, seq bigint, status string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         waiting = [(r["ts_us"], r["seq"], r["status"]) for r in in_order(rows)]
         self.waiting.appendList(waiting)
         self.handle.registerTimer(waiting[-1][0] // 1000 + 1)
-        yield self.frame([])
+        yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
         waiting = sorted(tuple(r) for r in self.waiting.get())
         ready = [r for r in waiting if r[0] // 1000 < passed]
@@ -130,26 +125,20 @@ class Runs(StatefulProcessor):
             if status == self.start:
                 run_seq, position, is_open = run_seq + 1, 0, True
             position += is_open
-            out.append((key[0], ts, seq, status, run_seq, position if is_open else None, bool(is_open)))
+            out.append(RUN_ROW(key[0], ts, seq, status, run_seq, position if is_open else None, bool(is_open)))
             is_open = is_open and status not in self.terminal
         if ready:
             self.run.update((run_seq, position, is_open))
-        yield self.frame(out)
+        yield from out
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def frame(rows: list) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=["key", "ts_us", "seq", "status", "run_seq", "position", "accepted"])
-        return frame.astype({"position": "Int64"})
-
-
 def _run(stream: DataFrame, processor: StatefulProcessor, schema: str, mode: str, log_path: str, checkpoint: str) -> None:
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     init_log(spark, log_path, f"{schema}, batch_id bigint")
-    out = stream.groupBy("key").transformWithStateInPandas(
+    out = stream.groupBy("key").transformWithState(
         statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="eventTime")
     run_available_now(out, lambda batch, batch_id: write_batch_partition(batch, log_path, batch_id), checkpoint, output_mode=mode)
 
