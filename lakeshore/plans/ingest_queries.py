@@ -7,6 +7,7 @@ database whose tables live next to it, and returns the loaded rows.
 
 from __future__ import annotations
 
+import math
 import os
 from concurrent.futures import ThreadPoolExecutor
 
@@ -28,6 +29,16 @@ from lakeshore.sources.files import list_objects, parquet_schema
 from lakeshore.streaming.ingest import redrive
 
 ORDERS_PER_DOCUMENT = 500
+#: documents of large tables hold several blocks of orders: at most so many documents, until one has so many lines
+DOCUMENTS, LINES_PER_DOCUMENT = 300, 160_000
+
+
+def document_of(li, orders: int = ORDERS_PER_DOCUMENT):
+    """The landed document of a line: its block of orders, or of more blocks than documents the one it is dealt to."""
+    block = F.floor(F.col("l_orderkey") / orders)
+    size = li.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct(block).alias("blocks")).first()
+    documents = max(DOCUMENTS, math.ceil(size.lines / LINES_PER_DOCUMENT))
+    return block if size.blocks <= documents else F.pmod(F.xxhash64(block), F.lit(documents))
 
 
 def _run_dirs(spark: SparkSession, name: str) -> tuple[str, str, str]:
@@ -152,7 +163,7 @@ def report_drift_ingest(spark, sf_dir):
     numbers, and a file that is no JSON: fractions and the broken file are rejected, all else loads."""
     landing, tables, db = _run_dirs(spark, "report_drift")
     li = table(spark, sf_dir, "lineitem")
-    first = F.col("l_orderkey") % 2 == 0
+    first, document = F.col("l_orderkey") % 2 == 0, document_of(li)
     sales = F.when(first | (F.col("l_linenumber") == 1), F.floor("l_extendedprice").cast("string")).otherwise(
         F.col("l_extendedprice").cast("string"))
     record = F.concat(F.lit('{"l_orderkey":'), F.col("l_orderkey").cast("string"), F.lit(',"l_linenumber":'),
@@ -160,7 +171,7 @@ def report_drift_ingest(spark, sf_dir):
     for batch, keep in (("b1", first), ("b2", ~first), ("b2", None)):
         path = os.path.join(landing, batch)
         if keep is not None:
-            (li.where(keep).groupBy(F.floor(F.col("l_orderkey") / ORDERS_PER_DOCUMENT).alias("doc"))
+            (li.where(keep).groupBy(document.alias("doc"))
              .agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
              .select("value").repartition(max(1, spark.sparkContext.defaultParallelism)).write.option("lineSep", "\n")
              .option("maxRecordsPerFile", 1).option("compression", "gzip").text(path))
@@ -254,9 +265,9 @@ def _line_record(sales_mixed: bool = True):
 
 
 def land_line_reports(spark, sf_dir, landing: str) -> None:
-    """Lineitem as gzip'd JSON-array reports, one file per block of orders (a bounded group)."""
+    """Lineitem as gzip'd JSON-array reports, one file per block of orders (a bounded group) or more."""
     li = table(spark, sf_dir, "lineitem")
-    docs = (li.groupBy(F.floor(F.col("l_orderkey") / ORDERS_PER_DOCUMENT).alias("doc"))
+    docs = (li.groupBy(document_of(li).alias("doc"))
             .agg(F.concat(F.lit("["), F.array_join(F.collect_list(_line_record()), ","), F.lit("]")).alias("value")))
     docs.write.partitionBy("doc").option("compression", "gzip").text(landing)
 
@@ -286,7 +297,7 @@ def land_line_documents(spark, sf_dir, landing: str) -> None:
     rec = _line_record()
     spec = F.concat(F.lit('{"reportType":"LINES","dataStartTime":"'),
                     F.min("l_shipdate").cast("string"), F.lit('"}'))
-    docs = (li.groupBy(F.floor(F.col("l_orderkey") / ORDERS_PER_DOCUMENT).alias("doc"))
+    docs = (li.groupBy(document_of(li).alias("doc"))
             .agg(F.concat(F.lit('{"reportSpecification":'), spec,
                           F.lit(',"dataByLine":['), F.array_join(F.collect_list(rec), ","),
                           F.lit('],"dataByReturn":['),

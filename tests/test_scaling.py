@@ -42,3 +42,47 @@ def test_csv_files_without_line_breaks_in_fields_are_split(spark, workdir, last,
     with open(f"{workdir}/f.csv", newline="") as f:
         assert got == sorted(tuple(r) for r in list(csv.reader(f))[1:]) or 'x"y' in last
     assert len(got) == 20_001
+
+
+def test_landed_documents_of_many_blocks_stay_few_and_even(spark, workdir, monkeypatch):
+    from lakeshore.plans import ingest_queries as I
+    keys = "CASE WHEN id % 1000 = 0 THEN NULL WHEN id = 7 THEN 1000000000000 ELSE id END"      # one key far out
+    spark.range(20_000).selectExpr(f"{keys} AS l_orderkey", "1 AS l_linenumber", "2.5D AS l_extendedprice", "'R' AS l_returnflag",
+                                   "current_timestamp() AS l_shipdate").write.parquet(f"{workdir}/lineitem.parquet")
+    for most, few in ((300, False), (8, True)):
+        monkeypatch.setattr(I, "DOCUMENTS", most)
+        I.land_line_reports(spark, workdir, f"{workdir}/landing{most}")
+        loaded = spark.read.option("recursiveFileLookup", True).option("multiLine", True).json(f"{workdir}/landing{most}")
+        assert loaded.count() == 20_000 - 20                # records of a null key are null text
+        sizes = [r["count"] for r in loaded.groupBy("_metadata.file_path").count().collect()]
+        assert len(sizes) <= 8 if few else len(sizes) == 42 - 1
+        assert max(sizes) < 20_000 / 2
+
+
+def test_runs_take_and_give_plain_rows(spark):
+    """No data frame is built per key: with some millions of keys that took most of the time."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from lakeshore.streaming.lifecycle import RUN_EVENT, Runs
+
+    class Kept:
+        def __init__(self):
+            self.held = None
+        exists = lambda self: self.held is not None                         # noqa: E731
+        get = lambda self: self.held                                        # noqa: E731
+        update = put = lambda self, x: setattr(self, "held", x)             # noqa: E731
+        appendList = lambda self, x: self.put((self.held or []) + x)        # noqa: E731
+        clear = lambda self: self.put(None)                                 # noqa: E731
+
+    timers = []
+    handle = SimpleNamespace(getValueState=lambda *a: Kept(), getListState=lambda *a: Kept(), registerTimer=timers.append)
+    runs = Runs("start", ("end",))
+    runs.init(handle)
+    rows = [Row(ts_us=t, seq=s, status=x) for t, s, x in ((9_000, 2, "end"), (1_000, 1, "start"), (9_000, None, "late"), (9_000, 1, "more"))]
+    assert list(runs.handleInputRows(("k",), iter(rows), None)) == [] and timers == [10]
+    runs.waiting.held = [r for r in runs.waiting.held if r[1] is not None]
+    out = list(runs.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 11), None))
+    assert [(r.status, r.run_seq, r.position, r.accepted) for r in out] == [("start", 1, 1, True), ("more", 1, 2, True), ("end", 1, 3, True)]
+    assert spark.createDataFrame(out, RUN_EVENT).count() == 3
