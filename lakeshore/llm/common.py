@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +23,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lakeshore-llm/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def shuffles_released(spark: SparkSession):
+    """What is run inside gives its shuffle files back when it ends, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder.
 
     Unlike a recomputed plan its size is known when the next plan is made, so Spark's own size
-    threshold decides about broadcasts, and a lost executor costs only a re-read.
+    threshold decides about broadcasts, and a lost executor costs only a re-read.  Nothing reads the
+    shuffles behind the table again, so their files go.  ``compression`` is the session's if not given.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_released(df.sparkSession):
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -197,9 +197,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = [c for c in docs.columns if c not in ADDED]
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(id_col).alias("id"),
                       F.xxhash64(text_col).alias("th"))
-    # the one shuffle of whole texts; both readers below share what it wrote
+    # the one shuffle of whole texts; both readers below share what it wrote, packed tighter than by
+    # default: the table and the files of that shuffle are on disk together
     marked = written(row.join(marks, F.col("id").eqNullSafe(F.col("mark_id")) & (F.col("th") == F.col("mark_th")), "left")
-                     .select("row", "marks"), "line-marked")
+                     .select("row", "marks"), "line-marked", "zstd")
     text = F.col("row").getField(text_col)
 
     cut = let(_lines(text), lambda lines: F.transform("marks", lambda m: F.struct(
@@ -208,6 +209,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     differ = (marked.filter(F.col("marks").isNotNull()).select(F.explode(cut).alias("m")).select("m.*")
               .groupBy("h1", "h2").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
               .filter(F.col("low") != F.col("high")).select("h1", "h2"))
+    differ = written(differ, "line-clashes")
     # 128-bit hashes of different bytes are not expected to meet in any corpus; if they do, those chunks stay
     clash = [(r.h1, r.h2) for r in differ.collect()]
     goes = lambda m: m["goes"]

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -187,6 +188,40 @@ def test_passages_of_short_lines_between_short_lines_go_whole(spark):
     assert goes == [(k, k + 4) for k in range(6, 9)]
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_line_dedup_leaves_no_shuffle_files_and_packs_its_text_table(spark):
+    rng = random.Random(4)
+    line = lambda n: " ".join(f"w{rng.randrange(10 ** 4)}" for _ in range(n))
+    docs = [(i, "\n".join(line(30) for _ in range(8))) for i in range(300)]
+    docs += [(1000 + i, t) for i, t in docs[:150]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).persist()
+    df.count()
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                               "spark.sql.classic.shuffleDependency.fileCleanup.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")    # as large tables are joined
+    try:
+        before = shuffle_files(spark)
+        out = line_chunks.dedup_lines(df)
+        for _ in range(50):                                         # executors are told, not waited for
+            if not (left := shuffle_files(spark) - before):
+                break
+            time.sleep(0.1)
+        assert not left
+        rows = {r.doc_id: r for r in out.collect()}
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == \
+            old["spark.sql.classic.shuffleDependency.fileCleanup.enabled"]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == len(docs) and all(rows[i].text == t and not rows[i].emptied for i, t in docs[:300])
+    assert all(rows[i].text == "" and rows[i].emptied and rows[i].lines_removed == 8 for i, _ in docs[300:])
+    assert out.inputFiles() and all("line-marked" in f and f.endswith(".zstd.parquet") for f in out.inputFiles())
+
+
 # ---------------------------------------------------------------- 3 packing
 
 def brute_padding(lengths, buckets):
