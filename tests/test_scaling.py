@@ -1,12 +1,16 @@
 """Steps whose time grew faster than their input, or with the number of files or keys."""
 
 import csv
+import json
+import os
 
 import pytest
 
-from lakeshore.plans.ingest import create_database
-from lakeshore.session import DEFAULT_CONF
+from lakeshore.plans.ingest import Customer, create_database, ingest_workflow_results
+from lakeshore.session import DEFAULT_CONF, scratch_path
+from lakeshore.sinks.tables import create_or_update_table, write_rejects
 from lakeshore.sources.files import read_workflow_csv
+from lakeshore.streaming import ingest as streaming_ingest
 
 LIMIT, SPLIT = "spark.sql.codegen.hugeMethodLimit", "spark.sql.files.maxPartitionBytes"
 
@@ -86,3 +90,49 @@ def test_runs_take_and_give_plain_rows(spark):
     out = list(runs.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 11), None))
     assert [(r.status, r.run_seq, r.position, r.accepted) for r in out] == [("start", 1, 1, True), ("more", 1, 2, True), ("end", 1, 3, True)]
     assert spark.createDataFrame(out, RUN_EVENT).count() == 3
+
+
+def test_rows_of_a_large_file_stay_in_the_tasks_that_read_its_parts(spark, workdir):
+    at, tables = f"{workdir}/l/workflow=w/schedule=adhoc", f"{workdir}/t"
+    os.makedirs(at)
+
+    def load(name, rows):
+        with open(f"{at}/{name}", "w") as f:
+            f.write("id,v\n" + "".join(f"{i},{v}\n" for i, v in rows))
+        return ingest_workflow_results(spark, f"{workdir}/l", "parts_db", Customer("p", "h", ()), location_root=tables)["p_w_adhoc"]
+
+    own = {k: spark.conf.get(k) for k in (SPLIT, "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set(SPLIT, "4k")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # what Spark takes to be small does not count
+        assert load("2024-01-01-a.csv", [(i, i) for i in range(3000)])["files_written"] > 3
+        assert load("2024-01-01-a.csv", [(i, f"{i}.5") for i in range(3000)])["rejected"] == 3000
+        rejects = f"{tables}/_quarantine/p_w_adhoc"
+        assert len([f for _, _, names in os.walk(rejects) for f in names if f.endswith(".parquet")]) > 3
+        assert sorted(int(json.loads(r.record)["id"]) for r in spark.read.parquet(rejects).collect()) == list(range(3000))
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+
+
+def test_redrive_holds_no_rows_in_executor_memory(spark, workdir, monkeypatch):
+    create_or_update_table(spark, spark.createDataFrame([(1, "a", "f0")], "n bigint, v string, source_file string"),
+                           "held_t", ["source_file"], location=f"{workdir}/t")
+    record = lambda n: (json.dumps({"n": n, "v": None if n == "3" else "b"}), "n", "f1")
+    write_rejects(spark.createDataFrame([record(n) for n in ("2", "3", "oops")],
+                                        "record string, reason string, source_file string"), f"{workdir}/q")
+    held, cached = [], spark.sparkContext._jsc.getPersistentRDDs
+    before = set(cached())
+
+    def write(df, path):
+        held.append(set(cached()) - before)
+        write_rejects(df, path)
+
+    monkeypatch.setattr(streaming_ingest, "write_rejects", write)
+    scratch = scratch_path(spark, "materialized")
+    folders = set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
+    assert streaming_ingest.redrive(spark, f"{workdir}/q", "default", "held_t", f"{workdir}/q2") == 2
+    assert held == [set()]                                                # was: the parsed rows, cached
+    assert set(os.listdir(scratch)) == folders                            # the scratch table is given back
+    assert sorted(((r.n, r.v) for r in spark.table("held_t").collect())) == [(1, "a"), (2, "b"), (3, None)]
+    assert [json.loads(r.record)["n"] for r in spark.read.parquet(f"{workdir}/q2").collect()] == ["oops"]
